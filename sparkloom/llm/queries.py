@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontaminate, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity
+from . import dartminhash, decontaminate, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, wrappers
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
