@@ -1,16 +1,29 @@
-"""Corpus pipeline: each stage gets all that the one before it kept, is written as Parquet and read again."""
+"""Corpus pipeline: each stage gets all that the one before it kept, is written as Parquet and read again.
+
+Toxic documents go, one document of each near-duplicate class stays, documents with benchmark windows go, the rest are
+repeated or left out until each source has its share of the words, and what remains is written as token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, mixing
+from sparkloom.llm import dartminhash, decontaminate, mixing, tokens, toxicity
 from sparkloom.llm.common import fresh_dir, table
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on ``labels``, does not find toxic."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return dartminhash.one_of_each(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
+    """Documents that hold no window of ``benchmark``."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -19,8 +32,19 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("decontamination", benchmark_decontamination), ("mixing", source_mixing)]
-ORACLE_SQL = None
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' places in the token files, read back from them."""
+    return tokens.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_files", token_files),
+]
+ORACLE_SQL = None  # no stage but the third can be said in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
