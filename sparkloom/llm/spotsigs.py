@@ -66,7 +66,7 @@ def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     m = min(MOST_BLOCKS, max(1, -(-n // block)))
     cuts = sorted({x for x in (ids.agg(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 10 * m)).first()[0] or [])}) if m > 1 else []
     # one number per block, held in the plan
-    number = F.lit(0) if not cuts else F.coalesce(_bucket(F.col("doc_id"), cuts), F.lit(0))
+    number = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket(F.col("doc_id"), cuts))
     firsts = {r["b"]: r["f"] for r in ids.select(number.alias("b"), "doc_id").groupBy("b").agg(F.min(F.struct("doc_id")).alias("s")).select("b", F.col("s.doc_id").alias("f")).collect()}
     order = sorted(firsts)
     after = {b: order[i - 1] if i else order[-1] for i, b in enumerate(order)}  # the block that ends before block b begins

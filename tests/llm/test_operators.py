@@ -319,6 +319,17 @@ def test_html(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_deep_pages():
+    page = "<div>" * 5000 + "deep<p>two" + "</div>" * 5000 + "<p>after"
+    assert wrappers.blocks(wrappers.parse(page), wrappers.pattern(wrappers.parse(page))) == ["deep", "two", "after"]
+
+
+def test_order_with_null_ids(spark):
+    df = spark.range(0, 100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).unionByName(spark.createDataFrame([(None, "none")], "doc_id long, text string"))
+    after = {r.text: r.next_text for r in spotsigs.with_next(df, block=10).collect()}
+    assert after["99"] == "none" and after["none"] == "0" and after["5"] == "6"
+
+
 def test_wrapper_alignment():
     pages = ["<div><p>a</p><p>b</p><i>x</i></div>", "<div><p>c</p><table><tr><td>t</td></tr></table></div>", "<div><h2>z</h2><p>d</p></div>"]
     whole = None
