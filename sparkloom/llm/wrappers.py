@@ -47,7 +47,7 @@ NOISE = frozenset(
 )
 #: Those of them that an article element itself may be left out for.
 NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo related comment comments reply replies widget".split())
-FIXED, LINKS, SALTS = 5, 0.5, 32
+FIXED, LINKS, SALTS, DEPTH = 5, 0.5, 32, 150
 CLOSES_P = BLOCK - {"button", "select", "option", "svg", "object", "audio", "video", "canvas", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -92,6 +92,7 @@ def parse(source: str) -> Element:
     root = Element("", "", False, False)
     stack, run, linked, link, at = [root], [], 0, 0, 0
     out_inline: list[str] = []
+    flat: list[str] = []  # elements nested deeper than DEPTH: their texts belong to the last one above
     one_article = len(re.findall(r"<(?:article|main)\b", source, re.I)) == 1
 
     def flush():
@@ -143,6 +144,10 @@ def parse(source: str) -> Element:
         flush()
         out_inline.clear()
         link = 0
+        if closing and flat:
+            if tag in flat:
+                del flat[len(flat) - 1 - flat[::-1].index(tag) :]
+            continue
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -171,6 +176,9 @@ def parse(source: str) -> Element:
         if tag in ("article", "main") and one_article:
             while stack[-1].out and len(stack) > 1:  # the only article, in a region that was never closed
                 stack.pop()
+        if len(stack) > DEPTH:
+            flat.append(tag)
+            continue
         above = stack[-1]
         sig = tag + "".join(f".{n}" for n in sorted(names)) if names else tag
         marked = tag in ("article", "main") or attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower()
