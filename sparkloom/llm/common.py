@@ -44,6 +44,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh_texts(texts):
+    """An Arrow column of texts (null: empty) as a new array without offset: some kernels misread slices of large strings."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.fill_null(texts, "").take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     name = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,9 +7,11 @@ the probability of their weighted Jaccard similarity.  Only darts below a rank o
 so the cost is a few darts per coordinate however long the text is; where a coordinate stays empty, the rank is doubled.
 
 Signatures are cut in bands; documents (after exact copies are collapsed to one node) that share a band are candidates.
-Each bucket compares its members with its first one; a member that is not similar to it is compared with every other
-member of the bucket, so links are not lost, and groups of near copies cost one comparison per member.  Every candidate
-is verified by the exact weighted Jaccard similarity of its shingles; classes are the connected components of the links.
+Each bucket compares its members with a head, the one that meets most others over all buckets; large ones try a few heads
+in turn.  Members of a bucket that are then still in different components are weighed against each other by their whole
+signatures and then their shingles, in blocks within classes of similar length; of these only links that join components,
+fewer than members, are made into rows.  Every link is verified by the exact weighted Jaccard similarity of the shingles;
+classes are the connected components of the links.
 
 Defined cases: a null text has no words; texts with the same words in the same order (none, too) are copies; fewer than
 five words make one shingle; repeated rows are copies; a class is named by its smallest doc_id (null only if all are).
@@ -26,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, by_value, cut
+from .common import WORD_GAP, by_value, cut, fresh_texts
 
 by_value(__name__)
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 6
 #: Rows up to which a list of ids is broadcast (under 50 MB as a hash table).
 BROADCAST_ROWS = 500_000
+#: Heads that a bucket tries before its members are weighed pair by pair; buckets up to SMALL try one.
+ROUNDS_OF_HEADS, SMALL = 1, 8
 #: Documents whose darts are thrown together.
 STEP = 1_000
 
@@ -55,7 +59,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and each document's offsets in them."""
     import xxhash
 
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    low = pc.ascii_lower(fresh_texts(texts))
     split = pc.split_pattern_regex(low, WORD_GAP)
     coded = split.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
@@ -136,17 +140,20 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elements = np.concatenate([s for s, _ in sets])
             counts = np.concatenate([c for _, c in sets]).astype(np.float64)
             owner = np.repeat(np.arange(n), [len(s) for s, _ in sets])
-            h = bands(signatures(elements, counts, owner, n)).view(np.int64)
+            ranks = signatures(elements, counts, owner, n)
+            h = bands(ranks).view(np.int64)
+            short = (_mix(ranks.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
             weight = np.bincount(owner, counts, n).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(h.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(weight), lists], ["doc_id", "th", "node", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(weight), lists, pa.array([r.tobytes() for r in short], pa.binary())], ["doc_id", "th", "node", "weight", "bands", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hashes, offsets = word_hashes(b.column("text"))
-        blobs = [shingles(hashes[offsets[i] : offsets[i + 1]]).tobytes() for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(blobs, pa.binary())], ["node", "blob"])
+        sets = [shingles(hashes[offsets[i] : offsets[i + 1]]) for i in range(b.num_rows)]
+        short = [np.sort(s.astype(np.uint32)).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())], ["node", "blob", "short"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -166,6 +173,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
 
+def _links(least: float):
+    """Links of a bucket and length class that join different components, at most one less than members.
+
+    Pairs of different components are weighed by their signatures in blocks; those that agree in as many coordinates as
+    similar ones do but for one in thousands are compared by their shingles, unless links found here join them already."""
+    k = BANDS * ROWS
+    agree = k * least - 4 * math.sqrt(k * least * (1 - least))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, own, part = table["node"].combine_chunks(), table["own"].to_numpy(), table["part"][0].as_py()
+        weight = table["weight"].to_numpy().astype(np.float64)
+        label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, k)
+        sets = [np.frombuffer(x, np.uint32) for x in table["short"].to_pylist()]
+        left, right = [], []
+        mine = np.flatnonzero(own == part)  # pairs within this class or with the one before; those within that are its own
+        for at in range(0, len(mine), step := max(1, 30_000_000 // (k * max(1, len(sig))))):
+            a = mine[at : at + step]
+            ok = (label[a][:, None] != label[None]) & (np.minimum(weight[a][:, None], weight[None]) >= least * np.maximum(weight[a][:, None], weight[None]))
+            ok &= (own[None] != part) | (a[:, None] < np.arange(len(own))[None])
+            i, j = np.nonzero(ok)
+            same = np.concatenate([np.zeros(0, bool)] + [(sig[a[i[x : x + 100_000]]] == sig[j[x : x + 100_000]]).sum(1) >= agree for x in range(0, len(i), 100_000)])
+            for x, y in zip(a[i[same]].tolist(), j[same].tolist(), strict=True):
+                if label[x] != label[y] and jaccard(sets[x], sets[y]) >= least:
+                    label[label == label[y]] = label[x]
+                    left.append(x)
+                    right.append(y)
+        return pa.table([node.take(pa.array(v, pa.int64())) for v in (left, right)], ["node", "other"])
+
+    return run
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -188,38 +227,64 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Per document row: doc_id, th (hash of the text), class_id, class_size, keep_id and keep_th (the row that stays for its class)."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(rows.mapInArrow(_fingerprint, f"doc_id {kind}, th long, node binary, weight long, bands array<long>"), "fingerprints")
+    prints = cut(rows.mapInArrow(_fingerprint, f"doc_id {kind}, th long, node binary, weight long, bands array<long>, sig binary"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     # exact copies collapse here, before anything is compared
-    nodes = cut(prints.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
+    nodes = cut(prints.groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     spread = cut(nodes.where("weight > 0").select("node", "weight", F.explode("bands").alias("band")), "bands")
-    heads = spread.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = cut(spread.join(_maybe_broadcast(cut(heads, "heads")), "band"), "buckets")
-    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(spread.join(_maybe_broadcast(cut(sizes, "sizes")), "band"), "buckets")
+    # a text that others were copied from shares more buckets than they do with each other: it goes first
+    shared = cut(shared.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node"), "buckets")
 
     texts = shared.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("k"), F.col("first.th").alias("t"))
     chosen = _maybe_broadcast(cut(texts, "candidates"))
     wanted = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["k"]) & rows["th"].eqNullSafe(chosen["t"]))
-    sets = cut(wanted.select("node", "text").mapInArrow(_sets, "node binary, blob binary").dropDuplicates(["node"]), "sets")
+    sets = cut(wanted.select("node", "text").mapInArrow(_sets, "node binary, blob binary, short binary").dropDuplicates(["node"]), "sets")
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a")
-        return cut(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, similarity double"), label)
-
-    tested = verified(stars, "stars")
-    links = tested.where(F.col("similarity") >= least)
-    labels = components(links)
-    failed = tested.where(F.col("similarity") < least).select(F.col("a").alias("head"), F.col("b").alias("node"))
-    # members that their bucket's first is not similar to, against the rest of the bucket: not in one component yet, and of sizes that can reach the threshold
-    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lone = named.join(failed, ["head", "node"], "left_semi").select("band", F.col("node").alias("f"), F.col("weight").alias("fw"), F.col("label").alias("fl"))
-    rest = named.where("node <> head").select("band", "node", "weight", "label")
-    pairs = lone.join(rest, "band").where((F.col("f") != F.col("node")) & (F.col("fl") != F.col("label")) & (F.least("fw", "weight") >= F.greatest("fw", "weight") * least))
-    pairs = pairs.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(pairs, "rest").where(F.col("similarity") >= least)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+        return cut(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, similarity double"), "verified")
+
+    fits = F.least("weight", "w") >= F.greatest("weight", "w") * least  # else the sizes alone keep them apart
+    tested, used, labels = None, None, nodes.limit(0).select("node", F.col("node").alias("label"))
+
+    def test(pairs: DataFrame) -> bool:
+        """Verifies the pairs not tested before; says whether there were any, and renews the components."""
+        nonlocal tested, labels
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = verified(pairs)
+        found = not new.where(F.col("similarity") >= least).isEmpty()
+        tested = new if tested is None else tested.unionByName(new)
+        if found:
+            labels = components(tested.where(F.col("similarity") >= least))
+        return found
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    for turn in range(ROUNDS_OF_HEADS):
+        members = labelled(shared if not turn else shared.where(F.col("n") > SMALL))
+        if used is None:
+            fresh = members.withColumn("was", F.lit(None).cast("boolean"))
+        else:
+            fresh = members.join(used.withColumn("was", F.lit(True)), ["band", "node"], "left")
+        head = F.max(F.when(F.col("was").isNull(), F.struct("met", "node", "label", "weight"))).alias("h")
+        heads = fresh.groupBy("band").agg(head, F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y and h is not null")
+        heads = cut(heads.select("band", F.col("h.node").alias("other"), F.col("h.label").alias("o"), F.col("h.weight").alias("w")), "heads")
+        taken = heads.select("band", F.col("other").alias("node"))
+        used = taken if used is None else used.unionByName(taken)
+        if heads.isEmpty() or not test(members.join(heads, "band").where((F.col("node") != F.col("other")) & (F.col("label") != F.col("o")) & fits)):
+            break
+
+    # what is still in several components within a bucket: its pairs are weighed in blocks, and the links that join components are verified
+    members = labelled(shared.where("n > 2"))
+    mixed = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
+    part = F.floor(F.log(F.col("weight").cast("double")) / F.lit(-math.log(least))).cast("int")
+    dealt = members.join(_maybe_broadcast(cut(mixed, "mixed")), "band").join(nodes.select("node", "sig"), "node").join(sets.select("node", "short"), "node").select("band", "node", "weight", "label", "sig", "short", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
+    test(dealt.groupBy("band", "part").applyInArrow(_links(least), "node binary, other binary"))
 
     groups = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"))
     named = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
