@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, let, unsigned
 
 #: Documents folded in one block; the tree has log_BLOCK(rows) levels.
-BLOCK = 64
+BLOCK = 512
 SPACE_RUN = r"[^\x20\x09-\x0D]+"
 
 
