@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 
 def ascii_tokens(name: Column) -> Column:
     """[name, name without outer underscores, its segments by case, digits and underscores but the leading one], lower-cased, first of each."""

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 SCHEMA = (
     "uri string, tag string, kind string, name string, fqn string, owner string, namespace string, types string, value string, description string, deprecated string, "
     "visibility int, is_static boolean, modifier string, start_line int, start_char int, end_line int, end_char int, seq long"
