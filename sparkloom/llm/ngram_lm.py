@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, by_value, fresh_dir, worker_cache
+from .common import Store, by_value, fresh_dir, fresh_texts, worker_cache
 
 by_value(__name__)
 
 DISCOUNT, MIN_COUNT = 0.75, 2
 #: Bytes of text handled at once, characters per vocabulary shard, training words per trie shard.
-STEP_BYTES, VOCABULARY_CHARS, SHARD_WORDS = 12_000_000, 100_000_000, 2_500_000
+STEP_BYTES, VOCABULARY_CHARS, SHARD_WORDS = 8_000_000, 100_000_000, 2_500_000
 U = np.uint64
-SAMPLE = 16  # every so many set (or clear) bits have their place listed
+BLOCK = 512  # bits
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,10 @@ def _nth(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of n values: low bits packed, high bits in unary, places of every SAMPLE-th bit listed."""
+    """A sorted sequence of n values: low bits packed, high bits in unary; of every BLOCK bits the count of set and clear ones before is listed.
+
+    A lookup finds the run of values with the same high bits by two selects and halves it on the low bits, so contexts
+    with very many successors, which share few high parts, cost a logarithm."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
@@ -77,10 +80,10 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (U(64) - off[over]))
         place = (values >> U(low_bits)).astype(np.int64) + np.arange(n)
         size = (int(place[-1]) if n else 0) + 2
-        flags = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
+        flags = np.zeros(-(-size // BLOCK) * BLOCK, np.uint8)
         flags[place] = 1
-        clear = np.flatnonzero(flags == 0)
-        return cls(n, low_bits, low, np.packbits(flags, bitorder="little").view(U), place[::SAMPLE].astype(np.int64), clear[::SAMPLE].astype(np.int64))
+        ones = np.concatenate([[0], np.cumsum(flags.reshape(-1, BLOCK).sum(1, dtype=np.int64))])
+        return cls(n, low_bits, low, np.packbits(flags, bitorder="little").view(U), ones, np.arange(len(ones)) * BLOCK - ones)
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ones, self.zeros]
@@ -91,10 +94,11 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the k-th set (flip: clear) bit."""
-        at = (self.zeros if flip else self.ones)[k // SAMPLE]
-        word, left = at >> 6, k % SAMPLE
+        before = self.zeros if flip else self.ones
+        block = np.searchsorted(before, k, "right") - 1
+        left, word = k - before[block], block * (BLOCK // 64)
         bits = self.high[word]
-        bits = (~bits if flip else bits) & (~U(0) << (at & 63).astype(U))
+        bits = ~bits if flip else bits
         count = np.bitwise_count(bits).astype(np.int64)
         todo = np.flatnonzero(left >= count)
         while len(todo):
@@ -127,20 +131,20 @@ class EliasFano:
         last = int(self.access(np.array([self.n - 1]))[0])
         ask = np.flatnonzero(x <= U(last))
         high, want = high[ask], x[ask] & U((1 << self.low_bits) - 1)
-        bit = np.zeros(len(ask), np.int64)
-        later = high > 0
-        bit[later] = self._select(high[later] - 1, True) + 1
-        i = bit - high
-        live = np.arange(len(ask))
+        begin, end = np.zeros(len(ask), np.int64), self._select(high, True) - high
+        later = np.flatnonzero(high > 0)
+        begin[later] = self._select(high[later] - 1, True) + 1 - high[later]
+        stop = end.copy()
+        live = np.flatnonzero(begin < end)
         while len(live):
-            one = (self.high[bit[live] >> 6] >> (bit[live] & 63).astype(U)) & U(1) == U(1)
-            live = live[one]
-            low = self._lows(i[live])
-            same = low == want[live]
-            out[ask[live[same]]] = i[live[same]]
-            live = live[low < want[live]]
-            bit[live] += 1
-            i[live] += 1
+            middle = (begin[live] + end[live]) >> 1
+            less = self._lows(middle) < want[live]
+            begin[live] = np.where(less, middle + 1, begin[live])
+            end[live] = np.where(less, end[live], middle)
+            live = live[begin[live] < end[live]]
+        hit = np.flatnonzero(begin < stop)
+        hit = hit[self._lows(begin[hit]) == want[hit]]
+        out[ask[hit]] = begin[hit]
         return out
 
 
@@ -188,7 +192,7 @@ def text_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, each word's place among them (documents one after the other, each with its end), offsets."""
     import xxhash
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(fresh_texts(texts)))
     coded = split.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy().astype(np.int64)
