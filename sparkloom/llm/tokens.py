@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, by_value, fresh_dir, worker_cache
+from .common import Store, by_value, fresh_dir, fresh_texts, worker_cache
 
 by_value(__name__)
 
@@ -36,8 +36,8 @@ MAGIC = b"LOOMTOK1"
 END = 1
 #: Documents and characters of each that the dictionary is trained on; its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 8_000, 32_768
-#: Pieces kept encoded per worker.
-CACHE = 400_000
+#: Words, and pieces of words, kept encoded per worker.
+CACHE = 300_000
 ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
 #: Fixed value: the cutting pattern that the tokenizer file states.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,6 +49,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """The last used entries: two generations of at most CACHE / 2; what is asked for in the old one moves to the young one."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        if (v := self.young.get(key)) is None and (v := self.old.get(key)) is not None:
+            self.young[key] = v
+        return v
+
+    def turn(self) -> None:
+        """To be called between batches."""
+        if len(self.young) > CACHE // 2:
+            self.young, self.old = {}, self.young
+
+
 class Encoder:
     """Encodes columns of texts; one per worker and tokenizer file."""
 
@@ -62,7 +80,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.seen = Recent(), Recent()
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -76,8 +94,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces that are not known, many at a time; the ends of words in the ids tell them apart."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+        to = self.pieces.young
         groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -85,13 +102,23 @@ class Encoder:
             if len(ends) == len(group) and ends[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
                 for p, end in zip(group, ends.tolist(), strict=True):
-                    self.known[p] = raw[at * 4 : end * 4]
+                    to[p] = raw[at * 4 : end * 4]
                     at = end
             else:
-                self.known |= {p: self.whole(p) for p in group}
+                for p in group:
+                    to[p] = self.whole(p)
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word by itself."""
+        self.seen.turn()
+        self.pieces.turn()
+        out = [self.seen.get(w) for w in words]
+        if fresh := [i for i, b in enumerate(out) if b is None]:
+            for i, b in zip(fresh, self._words([words[i] for i in fresh]), strict=True):
+                out[i] = self.seen.young[words[i]] = b
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
         plain = list(range(len(words)))
         if ODD.search("\n".join(words)):
@@ -103,16 +130,17 @@ class Encoder:
         again = self.normal(" ".join(normal[k] for k in wide)).split(" ") if wide else []
         unstable = {k for k, b in zip(wide, again, strict=True) if b != normal[k]} if len(again) == len(wide) else set(wide)
         cut = [(i, self.cut(n)) for k, (i, n) in enumerate(zip(plain, normal, strict=True)) if k not in unstable]
-        if fresh := list({p for _, ps in cut for p in ps} - self.known.keys()):
-            self._learn(fresh)
-        known = self.known
+        known = {p: self.pieces.get(p) for _, ps in cut for p in ps}
+        if missing := [p for p, b in known.items() if b is None]:
+            self._learn(missing)
+            known |= {p: self.pieces.young[p] for p in missing}
         for i, ps in cut:
             out[i] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         return [self.whole(w) if b is None else b for w, b in zip(words, out, strict=True)]
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and the documents' offsets in them."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = fresh_texts(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = self.words(coded.dictionary.to_pylist()) + [np.array([END], "<u4").tobytes()]
@@ -146,7 +174,7 @@ class Writer:
         import zstandard
 
         self.store, self.name, self.width, self.hash = store, name, width, hashlib.sha256(dictionary).hexdigest()
-        self.zip = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
+        self.zip = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         self.part = f"{store.root}/.{name}.{hashlib.sha256(np.random.bytes(16)).hexdigest()[:16]}"
         self.out, self.at, self.ids, self.index = store.fs.open_output_stream(self.part, compression=None), len(MAGIC), [], ([], [], [])
         self.out.write(MAGIC)
@@ -205,7 +233,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> list[tupl
     """Writes the files in order of doc_id; returns (file number, documents, tokens), a row per file."""
     tokenizer = tokenizer or tokenizer_path()
     rows = docs.select("doc_id", "text")
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    h = F.xxhash64("doc_id")
+    most = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = rows.where(h <= F.lit(most)).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect() if most is not None else []
     encoder = Encoder.get(tokenizer)
     width = 2 if len(encoder.closes) <= 65_536 else 4
     ids, offsets = encoder.column(pa.array([r["text"] for r in sample], pa.string()))
