@@ -8,11 +8,12 @@ then by host over a salted level, so no task sees all pages of a large host.
 
 Wrapper and markup together tell the article from the rest.  Regions that say what they are (nav, header, footer, aside,
 form, roles, names of classes and ids) are left out; where a page marks an article or main part, only that is kept; texts
-that the wrapper holds fixed over FIXED or more different pages are the template's own; elsewhere, blocks that are mostly
+that the wrapper holds fixed over FIXED or more different pages are the template's own, but where they are the greater
+part of a marked article the pages are copies of one article, and all of it is kept; elsewhere, blocks that are mostly
 links are left out.  Nothing else is dropped.
 
 Defined cases: null or empty html has an empty text; a null or unreadable url is the host ''; unclosed and crossed tags
-are closed as in browsers; repeated pages count once per task; an empty table gives no rows; extra columns are ignored.
+are closed as in browsers; pages with the same bytes count once per host; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_value, cut, worker_cache
@@ -205,8 +206,8 @@ def pattern(e: Element | Text) -> list:
 def _follow(children: list[list], p: list) -> None:
     """Adds p behind the children; one that follows its like makes a repeated group."""
     if children and children[-1][0] == p[0] != "#":
-        n = children[-1][2]
-        children[-1] = merge(children[-1], p)
+        n = max(children[-1][2], p[2])
+        children[-1] = merge(children[-1], p, False)
         children[-1][1], children[-1][2] = "*" if children[-1][1] in "?*" and p[1] in "?*" else "+", n
     else:
         children.append(p)
@@ -216,14 +217,16 @@ def _quantifier(a: str, b: str) -> str:
     return {(False, False): "1", (True, False): "?", (False, True): "+", (True, True): "*"}["?" in (a, b) or "*" in (a, b), "+" in (a, b) or "*" in (a, b)]
 
 
-def merge(a: list, b: list) -> list:
-    """The pattern that covers two patterns of the same signature."""
+def merge(a: list, b: list, apart: bool = True) -> list:
+    """The pattern that covers two patterns of the same signature.  Times seen are pages: those of different pages (apart)
+    add up; of neighbours, which the same pages may hold, the greater number is sure."""
+    seen = a[2] + b[2] if apart else max(a[2], b[2])
     if a[0] == "#":
-        return ["#", _quantifier(a[1], b[1]), a[2] + b[2], a[3] if a[3] == b[3] else None]
+        return ["#", _quantifier(a[1], b[1]), seen, a[3] if a[3] == b[3] else None]
     x, y, i, j, out = a[3], b[3], 0, 0, []
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            _follow(out, merge(x[i], y[j]))
+            _follow(out, merge(x[i], y[j], apart))
             i, j = i + 1, j + 1
             continue
         # the mismatch: skip on the side where the other's element comes sooner
@@ -234,7 +237,7 @@ def merge(a: list, b: list) -> list:
         else:
             p, j = y[j], j + 1
         _follow(out, [p[0], {"1": "?", "+": "*"}.get(p[1], p[1]), p[2], p[3]])
-    return [a[0], _quantifier(a[1], b[1]), a[2] + b[2], out]
+    return [a[0], _quantifier(a[1], b[1]), seen, out]
 
 
 def blocks(page: Element, wrapper: list | None) -> list[str]:
@@ -262,13 +265,14 @@ def blocks(page: Element, wrapper: list | None) -> list[str]:
     walk(page, wrapper)
     article = any(m for m in marked) and any(a for _, a, _, _ in found)
     if article:
-        return [t for t, a, fixed, _ in found if a and not fixed]
+        own = [(t, fixed) for t, a, fixed, _ in found if a]
+        copied = sum(len(t) for t, fixed in own if fixed) > sum(len(t) for t, _ in own) / 2
+        return [t for t, fixed in own if copied or not fixed]
     return [t for t, _, fixed, linked in found if not fixed and linked <= LINKS * len(t)]
 
 
-def host(url: str | None) -> str:
-    m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "", re.I)
-    return m.group(1).lower() if m else ""
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,22 +280,17 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     salt = TaskContext.get().partitionId() % SALTS
     held: dict[str, list] = {}
-    seen: set[tuple[str, int]] = set()
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(p) for p in held.values()], pa.string())], ["host", "salt", "wrapper"])
 
     for b in batches:
-        for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            if not source or (key := (host(url), hash(source))) in seen:
-                continue
-            seen.add(key)
+        for name, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             p = pattern(parse(source))
-            held[key[0]] = merge(held[key[0]], p) if key[0] in held else p
-        if len(held) > 5_000 or len(seen) > 500_000:
+            held[name] = merge(held[name], p) if name in held else p
+        if len(held) > 5_000:
             yield out()
             held.clear()
-            seen.clear()
     yield out()
 
 
@@ -303,9 +302,11 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) from all pages."""
+    """(host, wrapper as JSON) from all different pages."""
     schema = "host string, salt int, wrapper string"
-    partial = pages.select("url", "html").mapInArrow(_partial, schema)
+    full = pages.select(host(F.col("url")).alias("host"), "html").where("html <> ''")
+    different = full.groupBy("host", F.sha2("html", 256)).agg(F.first("html").alias("html"))
+    partial = different.select("host", "html").mapInArrow(_partial, schema)
     salted = partial.groupBy("host", "salt").applyInArrow(_merged, schema)
     return salted.groupBy("host").applyInArrow(_merged, schema).select("host", "wrapper")
 
@@ -333,6 +334,5 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = cut(infer(pages), "wrappers").select(F.col("host").alias("h"), "wrapper")
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("h") + 64), F.lit(0))).first()[0]
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.select("page_id", "url", "html", name.alias("host")).join(side, F.col("host") == F.col("h"), "left")
+    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(side, F.col("host") == F.col("h"), "left")
     return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

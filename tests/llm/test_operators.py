@@ -319,6 +319,19 @@ def test_html(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    marked, plain = "<article><h1>T</h1><p>whole story</p></article>", "<div><h1>T</h1><p>whole story</p></div>"
+    pages = [(i, f"http://{h}.example/{i}", PAGE.format(0, body)) for i in range(12) for h, body in (("a", marked), ("b", plain))]
+    pages += [(i, f"http://c.example/{i}", PAGE.format(i, marked)) for i in range(12)]  # differ outside the article
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(12, "page_id")
+    assert {r.text for r in wrappers.extract(df).collect()} == {"T\n\nwhole story"}
+
+
+def test_neighbours_count_as_one_page():
+    page = wrappers.parse("<div><ul>" + "<li>same</li>" * 6 + "</ul></div>")
+    assert wrappers.blocks(page, wrappers.pattern(page)) == ["same"] * 6
+
+
 def test_deep_pages():
     page = "<div>" * 5000 + "deep<p>two" + "</div>" * 5000 + "<p>after"
     assert wrappers.blocks(wrappers.parse(page), wrappers.pattern(wrappers.parse(page))) == ["deep", "two", "after"]
