@@ -12,7 +12,7 @@ memory-mapped by the scoring tasks.
   P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
   P2(w|v) = (c(vw) - D) / c(v) + rest(v) P1(w),   P3(w|uv) = (c(uvw) - D) / c(uv) + rest(uv) P2(w|v)
 
-where pairs and triples seen fewer than MIN_COUNT times are left to the rest, which is one less the sum of the terms kept.
+where the rest is one less the sum of the terms kept: with min_count 1 all pairs and triples, else those seen as often at least.
 
 Defined cases: null is the empty text, which has the end word alone; a null doc_id trains; without training text every
 word has P1 = 1; repeated rows count and are scored each; extra columns are ignored.
@@ -291,7 +291,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
     """Counts docs and writes the model's files."""
     spark = docs.sparkSession
     path = fresh_dir(spark, "ngram-model")
@@ -358,7 +358,7 @@ def train(docs: DataFrame) -> Model:
         place = np.concatenate([np.searchsorted(u2, q)[np.cumsum(p[2].view(np.int64))] for q, p in zip(pairs, parts, strict=True)])
         u3, c3 = summed((place.astype(U) << U(32)) | np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64))
         del parts, pairs, place
-        keep2, keep3 = c2 >= MIN_COUNT, c3 >= MIN_COUNT
+        keep2, keep3 = c2 >= min_count, c3 >= min_count
         of = (np.cumsum(keep2) - 1)[(u3[keep3] >> U(32)).astype(np.int64)]
         u2, c2, last, c3 = u2[keep2], c2[keep2], u3[keep3] & U(0xFFFFFFFF), c3[keep3]
         first = (u2 >> U(32)).astype(np.int64)
@@ -478,5 +478,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
-    return score(docs, train(docs.where(~held_out())))
+def train_and_score(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    return score(docs, train(docs.where(~held_out()), min_count))

@@ -19,7 +19,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.train_and_score(table(spark, sf_dir, "documents"))
+    return ngram_lm.train_and_score(table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

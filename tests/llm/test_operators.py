@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import dartminhash, decontaminate, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, wrappers
+from sparkloom.llm import dartminhash, decontaminate, licenses, mixing, ngram_lm, queries, secrets, spotsigs, tokens, toxicity, wrappers
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -244,6 +244,32 @@ def test_language_model(spark):
     assert ngram_lm.train_and_score(df.limit(0)).count() == 0
 
 
+def test_language_model_keeps_what_stands_once(spark, tmp_path):
+    data = [(i, prose(300 + i, 60)) for i in range(30)]
+    held = {i for i, _ in data if zlib.crc32(str(i).encode()) % 5 == 1}
+    once = next(t for i, t in data if i not in held)  # a held-out document copies a text that stands once in training
+    data = [(i, once if i in held else t) for i, t in data]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    train = [[*t.split(), None] for i, t in data if i not in held]
+    c1 = Counter(w for t in train for w in t)
+    c2, c3 = Counter(p for t in train for p in zip(t, t[1:])), Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    n, v, d = sum(c1.values()), len(c1), ngram_lm.DISCOUNT
+    after1, after2 = Counter(p[0] for p in c2), Counter(p[:2] for p in c3)
+
+    def logp(t, i):
+        p = (c1[t[i]] + 0.5) / (n + 0.5 * (v + 1))
+        if i > 0 and after1[t[i - 1]]:
+            p = d * after1[t[i - 1]] / c1[t[i - 1]] * p + max(c2[t[i - 1], t[i]] - d, 0) / c1[t[i - 1]]
+        if i > 1 and after2[t[i - 2], t[i - 1]]:
+            p = d * after2[t[i - 2], t[i - 1]] / c2[t[i - 2], t[i - 1]] * p + max(c3[t[i - 2], t[i - 1], t[i]] - d, 0) / c2[t[i - 2], t[i - 1]]
+        return math.log10(p)
+
+    got = {r.doc_id: r.score for r in queries.op3_lm_scoring(spark, str(tmp_path)).collect()}
+    for i, text in data:
+        t = [*text.split(), None]
+        assert got[i] == pytest.approx(sum(logp(t, k) for k in range(len(t))), abs=0.03 * len(t))
+
+
 def test_signatures_estimate_weighted_jaccard():
     e = dartminhash._mix(np.arange(900, dtype=np.uint64) + np.uint64(1))
     r = np.random.default_rng(3)
