@@ -13,7 +13,7 @@ part of a marked article the pages are copies of one article, and all of it is k
 links are left out.  Nothing else is dropped.
 
 Defined cases: null or empty html has an empty text; a null or unreadable url is the host ''; unclosed and crossed tags
-are closed as in browsers; pages with the same bytes count once per host; an empty table gives no rows; extra columns are ignored.
+are closed as in browsers, at any depth; below DEPTH elements a wrapper has no patterns, so nothing there is held fixed; pages with the same bytes count once per host; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ NOISE = frozenset(
 NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo related comment comments reply replies widget".split())
 FIXED, LINKS, SALTS, DEPTH = 5, 0.5, 32, 150
 CLOSES_P = BLOCK - {"button", "select", "option", "svg", "object", "audio", "video", "canvas", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+P_WALLS = frozenset("td th li div article section".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
@@ -93,7 +94,7 @@ def parse(source: str) -> Element:
     root = Element("", "", False, False)
     stack, run, linked, link, at = [root], [], 0, 0, 0
     out_inline: list[str] = []
-    flat: list[str] = []  # elements nested deeper than DEPTH: their texts belong to the last one above
+    places: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
     one_article = len(re.findall(r"<(?:article|main)\b", source, re.I)) == 1
 
     def flush():
@@ -112,6 +113,14 @@ def parse(source: str) -> Element:
             if link:
                 linked += len(text)
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(place: int):
+        """Takes the elements from a place on off the stack."""
+        while len(stack) > max(place, 1):
+            places[stack.pop().tag].pop()
+
     while m := TOKEN.search(source, at):
         words(source[at : m.start()])
         at = m.end()
@@ -145,46 +154,28 @@ def parse(source: str) -> Element:
         flush()
         out_inline.clear()
         link = 0
-        if closing and flat:
-            if tag in flat:
-                del flat[len(flat) - 1 - flat[::-1].index(tag) :]
-            continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if place := last((tag,)):
+                close(place)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "li", "div", "article", "section"):
-                    break
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in WALLS[tag]:
-                    break
+        if tag in CLOSES_P and (place := last(("p",))) > last(P_WALLS):
+            close(place)
+        if tag in CLOSES and (place := last(CLOSES[tag])) > last(WALLS[tag]):
+            close(place)
         if tag == "body":
             while stack[-1].tag == "head":
-                stack.pop()
+                close(len(stack) - 1)
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
         names = _names(attributes)
         if tag in ("article", "main") and one_article:
             while stack[-1].out and len(stack) > 1:  # the only article, in a region that was never closed
-                stack.pop()
-        if len(stack) > DEPTH:
-            flat.append(tag)
-            continue
+                close(len(stack) - 1)
         above = stack[-1]
         sig = tag + "".join(f".{n}" for n in sorted(names)) if names else tag
         marked = tag in ("article", "main") or attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower()
         element = Element(tag, sig, above.out or _is_out(tag, attributes, names), above.article or marked)
         above.children.append(element)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(element)
     words(source[at:])
     flush()
@@ -194,12 +185,12 @@ def parse(source: str) -> Element:
 # A pattern is [signature, quantifier (1, ?, + or *), times seen, children] of an element, or ["#", quantifier, times seen, text or null (slot)] of a text.
 
 
-def pattern(e: Element | Text) -> list:
+def pattern(e: Element | Text, depth: int = 0) -> list:
     if isinstance(e, Text):
         return ["#", "1", 1, e.text]
     children: list[list] = []
-    for c in e.children:
-        _follow(children, pattern(c))
+    for c in e.children if depth <= DEPTH else ():
+        _follow(children, pattern(c, depth + 1))
     return [e.sig, "1", 1, children]
 
 
@@ -245,9 +236,10 @@ def blocks(page: Element, wrapper: list | None) -> list[str]:
     marked: list[bool] = []
     found: list[tuple[str, bool, bool, int]] = []
 
-    def walk(e: Element, p: list | None):
-        at = 0
-        for c in e.children:
+    open_ = [(page, wrapper, iter(page.children), 0)]
+    while open_:
+        e, p, children, at = open_.pop()
+        for c in children:
             sig = "#" if isinstance(c, Text) else c.sig
             q = None
             if p is not None:
@@ -260,9 +252,9 @@ def blocks(page: Element, wrapper: list | None) -> list[str]:
                     found.append((c.text, e.article, fixed, c.linked))
             elif not c.out:
                 marked.append(c.article)
-                walk(c, q)
+                open_ += [(e, p, children, at), (c, q, iter(c.children), 0)]
+                break
 
-    walk(page, wrapper)
     article = any(m for m in marked) and any(a for _, a, _, _ in found)
     if article:
         own = [(t, fixed) for t, a, fixed, _ in found if a]

@@ -363,6 +363,16 @@ def test_deep_pages():
     assert wrappers.blocks(wrappers.parse(page), wrappers.pattern(wrappers.parse(page))) == ["deep", "two", "after"]
 
 
+@pytest.mark.parametrize("depth", [200, 60_000])
+def test_deep_regions(depth):
+    down, up = "<div>" * depth, "</div>" * depth
+    own = lambda page: wrappers.blocks(wrappers.parse(page), wrappers.pattern(wrappers.parse(page)))
+    assert own(down + "<nav>menu</nav>text<aside>side</aside><ul><li>one<li>two</ul>" + up) == ["text", "one", "two"]
+    assert own(down + "<p>around<article>story<p>more</article>" + up) == ["story", "more"]
+    assert own("<nav>" + down + "<p>menu" + up + "</nav><p>text") == ["text"]  # the closing tags above an unclosed element count
+    assert own("<article>" + down + "<li>story" + up + "</article><section><p>comment</section>") == ["story"]
+
+
 def test_order_with_null_ids(spark):
     df = spark.range(0, 100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).unionByName(spark.createDataFrame([(None, "none")], "doc_id long, text string"))
     after = {r.text: r.next_text for r in spotsigs.with_next(df, block=10).collect()}
