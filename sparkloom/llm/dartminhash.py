@@ -9,8 +9,8 @@ so the cost is a few darts per coordinate however long the text is; where a coor
 Signatures are cut in bands; documents (after exact copies are collapsed to one node) that share a band are candidates.
 Each bucket compares its members with a head, the one that meets most others over all buckets; large ones try a few heads
 in turn.  Members of a bucket that are then still in different components are weighed against each other by their whole
-signatures and then their shingles, in blocks within classes of similar length; of these only links that join components,
-fewer than members, are made into rows.  Every link is verified by the exact weighted Jaccard similarity of the shingles;
+signatures and then their shingles, in blocks within classes of similar length; a bucket of more than CELL members is dealt
+to cells over many tasks.  Of these only links that join components, fewer than a cell's members, are made into rows.  Every link is verified by the exact weighted Jaccard similarity of the shingles;
 classes are the connected components of the links.
 
 Defined cases: a null text has no words; texts with the same words in the same order (none, too) are copies; fewer than
@@ -37,6 +37,8 @@ SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 6
 BROADCAST_ROWS = 500_000
 #: Heads that a bucket tries before its members are weighed pair by pair; buckets up to SMALL try one.
 ROUNDS_OF_HEADS, SMALL = 1, 8
+#: Members of one block of a large bucket; a cell, weighed in one task, holds about two blocks.
+CELL = 4_096
 #: Documents whose darts are thrown together.
 STEP = 1_000
 
@@ -174,7 +176,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(least: float):
-    """Links of a bucket and length class that join different components, at most one less than members.
+    """Links of a bucket's cell and length class that join different components, at most one less than members.
 
     Pairs of different components are weighed by their signatures in blocks; those that agree in as many coordinates as
     similar ones do but for one in thousands are compared by their shingles, unless links found here join them already."""
@@ -205,6 +207,25 @@ def _links(least: float):
     return run
 
 
+def deal(members: DataFrame, mixed: DataFrame, most: int = CELL) -> DataFrame:
+    """Members of the mixed buckets (band, n) with their `cells`: any two of a bucket with different labels meet in one.
+
+    Up to `most` members are one cell.  Else the commonest label, whose members need not meet each other, and the others are
+    cut into blocks of about `most` rows, and each two blocks but those of the commonest label make a cell."""
+    large = _maybe_broadcast(cut(mixed.where(F.col("n") > most).select("band"), "large"))
+    counts = members.join(large, "band").groupBy("band", "label").agg(F.count("*").alias("c"))
+    chiefs = counts.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    chiefs = chiefs.select("band", F.col("top.label").alias("chief"), F.ceil((F.col("all") - F.col("top.c")) / most).alias("k"), F.ceil(F.col("top.c") / most).alias("l"))
+    h, k, w = F.xxhash64("node"), F.col("k"), F.col("k") + F.col("l")
+    others, chief = F.sequence(F.lit(0).cast("long"), k - 1), F.sequence(k, w - 1)
+    own = F.pmod(h, k)
+    stray = F.concat(F.transform(others, lambda x: F.least(own, x) * w + F.greatest(own, x)), F.transform(chief, lambda x: own * w + x))
+    common = F.transform(others, lambda x: x * w + k + F.pmod(h, F.col("l")))
+    cells = F.when(k.isNull(), F.array(F.lit(0).cast("long"))).when(F.col("label") == F.col("chief"), common).otherwise(stray)
+    of_mixed = members.join(_maybe_broadcast(mixed.select("band")), "band")
+    return of_mixed.join(_maybe_broadcast(cut(chiefs, "chiefs")), "band", "left").withColumn("cells", cells).drop("chief", "k", "l")
+
+
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -281,10 +302,11 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     # what is still in several components within a bucket: its pairs are weighed in blocks, and the links that join components are verified
     members = labelled(shared.where("n > 2"))
-    mixed = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
+    mixed = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed"), F.first("n").alias("n")).where("mixed").select("band", "n")
     part = F.floor(F.log(F.col("weight").cast("double")) / F.lit(-math.log(least))).cast("int")
-    dealt = members.join(_maybe_broadcast(cut(mixed, "mixed")), "band").join(nodes.select("node", "sig"), "node").join(sets.select("node", "short"), "node").select("band", "node", "weight", "label", "sig", "short", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
-    test(dealt.groupBy("band", "part").applyInArrow(_links(least), "node binary, other binary"))
+    rest = deal(members, cut(mixed, "mixed")).join(nodes.select("node", "sig"), "node").join(sets.select("node", "short"), "node")
+    dealt = rest.withColumn("cell", F.explode("cells")).select("band", "cell", "node", "weight", "label", "sig", "short", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
+    test(dealt.groupBy("band", "part", "cell").applyInArrow(_links(least), "node binary, other binary"))
 
     groups = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"))
     named = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))

@@ -305,6 +305,27 @@ def test_near_duplicates(spark, docs):
     assert dartminhash.classes(df.limit(0)).count() == 0
 
 
+def test_large_buckets_are_dealt(spark):
+    label = lambda i: i if i < 7 else i % 9 if i < 30 else -1
+    data = [(band, i, label(i), 400 if band == 1 else 30) for band in (1, 2) for i in range(400 if band == 1 else 30)]
+    members = spark.createDataFrame(data, "band long, node long, label long, n long")
+    mixed = spark.createDataFrame([(1, 400), (2, 30)], "band long, n long")
+    cells = {}
+    for r in dartminhash.deal(members, mixed, 32).collect():
+        assert len(r.cells) == len(set(r.cells))
+        for c in r.cells:
+            cells.setdefault((r.band, c), set()).add(r.node)
+    assert max(map(len, cells.values())) < 120 and {b for b, c in cells if b == 2 and c == 0} == {2}
+    assert sum(map(len, cells.values())) < 1_000  # the commonest label is not copied with the square
+    for band, n in ((1, 400), (2, 30)):
+        assert all(any(i in x and j in x for (b, _), x in cells.items() if b == band) for i in range(n) for j in range(i) if label(i) != label(j))
+
+
+def test_near_duplicates_in_dealt_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(dartminhash.deal, "__defaults__", (2,))
+    test_near_duplicates(spark, docs)
+
+
 def test_toxicity(spark):
     r = np.random.default_rng(8)
     bad = ["zorgle", "blarf"]
