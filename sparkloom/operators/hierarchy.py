@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Levels that the recursive query may take; beyond, and for wide closures, closure_loop.
-LEVELS = 100
-
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node, depth): all that a seed reaches over edges(child, parent), itself at depth 0, nearest depth of each; cycles end."""
+    """(seed, node, depth): all that a seed reaches over edges(child, parent), itself at depth 0, nearest depth of each; cycles end.
+
+    A recursive query under Spark's limits of levels and rows; whole_closure has none."""
     spark = edges.sparkSession
     e, s = (f"v{uuid.uuid4().hex}" for _ in range(2))
     edges.select("child", "parent").createOrReplaceTempView(e)
@@ -29,7 +29,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def closure_loop(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
     """The same for any depth and width: each round joins only the new frontier and is written to a shared folder, so plans stay short."""
     spark: SparkSession = edges.sparkSession
-    step = edges.select(F.col("child").alias("node"), "parent").distinct()
+    step = edges.where("parent IS NOT NULL").select(F.col("child").alias("node"), "parent").distinct()
     frontier, depth, paths = seeds.select("seed", F.col("seed").alias("node")).distinct(), 0, []
     while True:
         path = f"{folder}/depth-{depth}-{uuid.uuid4().hex}"
@@ -44,6 +44,12 @@ def closure_loop(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(*paths) if paths else frontier.withColumn("depth", F.lit(0).cast("long"))
 
 
+def whole_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """closure_loop in the folder that driver and executors share; a temporary one only where the session names none."""
+    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    return closure_loop(edges, seeds, f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}")
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the first row in order, by an aggregate (partial sums keep hot keys small)."""
     others = [c for c in rows.columns if c not in keys]
@@ -68,6 +74,6 @@ def static_access(visibility: Column, static: Column, owner: Column, current: Co
 def nearest_kept(nodes: DataFrame, edges: DataFrame, kept: Column) -> DataFrame:
     """(node, parent, depth): kept nodes under their nearest kept ancestor (null: none); the others are spliced out."""
     keep = nodes.where(kept).select("node")
-    up = closure(edges, keep.withColumnRenamed("node", "seed")).where("depth > 0")
+    up = whole_closure(edges, keep.withColumnRenamed("node", "seed")).where("depth > 0")
     above = up.join(keep, "node", "left_semi").groupBy("seed").agg(F.min_by("node", "depth").alias("parent"), F.count("*").alias("depth"))
     return keep.join(above.withColumnRenamed("seed", "node"), "node", "left").select("node", "parent", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))

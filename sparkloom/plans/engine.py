@@ -112,10 +112,10 @@ class Catalog:
 
         Classes come before interfaces; a class's own members before those of the traits it uses; traits give methods only."""
         line = self.edges.where("kind = 'extends'").select("child", "parent")
-        up = H.closure(line, classes)
+        up = H.whole_closure(line, classes)
         faces = self.edges.where("kind = 'implements'").select(F.col("child").alias("node"), F.col("parent").alias("face"))
         seeds = up.join(faces, "node").select("seed", "face", "depth")
-        reach = H.closure(line, seeds.select(F.col("face").alias("seed"))).withColumnsRenamed({"seed": "face", "depth": "more"})
+        reach = H.whole_closure(line, seeds.select(F.col("face").alias("seed"))).withColumnsRenamed({"seed": "face", "depth": "more"})
         all_up = up.select("seed", F.col("node").alias("of"), F.lit(0).alias("phase"), "depth", F.lit(0).alias("ord"))
         if kind == "method":
             traits = self.edges.where("kind = 'use'").select(F.col("child").alias("node"), F.col("parent").alias("of"), (F.col("ord") + 1).alias("ord"))

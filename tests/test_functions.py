@@ -56,6 +56,13 @@ def test_closure_ends_on_cycles_and_equals_loop(spark, tmp_path):
     assert a == b and (4, 3, 3) in a and (9, 9, 0) in a
 
 
+def test_outline_deeper_than_recursive_queries(spark):
+    edges = spark.range(1, 116).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    nodes = spark.range(0, 116).select(F.col("id").alias("node"))
+    got = hierarchy.nearest_kept(nodes, edges, F.col("node").isin(0, 115)).collect()
+    assert sorted((r.node, r.parent, r.depth) for r in got) == [(0, None, 0), (115, 0, 1)]
+
+
 def test_line_starts_and_lines(spark):
     df = spark.createDataFrame([(1, "a\r\nbc\n\nd\re")], "k long, t string")
     assert df.select(positional.line_starts(F.col("t"))).first()[0] == [0, 3, 6, 7, 9]
