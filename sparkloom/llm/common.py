@@ -52,6 +52,31 @@ def fresh_texts(texts):
     return pc.fill_null(texts, "").take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string())
 
 
+def text_steps(batch, text="text", size: int = 4_000_000):
+    """An Arrow batch in slices of about ``size`` bytes of its column of texts."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def relax() -> None:
+    """At the end of a task's Python part: gives memory back that this worker, which may idle for long, has freed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     name = spark.conf.get("spark.checkpoint.dir", None)

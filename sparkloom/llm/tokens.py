@@ -2,16 +2,18 @@
 
 A file holds ``MAGIC``, one zstandard frame per document (its ids, little-endian, 2 bytes each when every id fits, else 4),
 then an Arrow IPC index (doc_id, offset, bytes, n_tokens), then a JSON footer (dictionary hash, width, totals, place of
-the index), the footer's length and ``MAGIC`` again.  The dictionary is trained on the id arrays of a bounded sample and
-lies beside the files as dictionary-<sha256>; a file whose hash has no dictionary beside it can't be read by mistake.
-
-Encoding goes by distinct words: the tokenizer drops white space and never joins across it, so each distinct word of a
-batch is normalised and cut by the tokenizer's own pattern once, each distinct piece is encoded once, and the documents'
-arrays are gathered from these.  Words with special tokens, other white space or unstable normal forms go through the
-tokenizer whole.
-
-Defined cases: null is the empty text, which has the end id alone; order is doc_id (null first), then text; repeated rows
-are separate documents; an empty table gives no rows; extra columns are ignored.
+the index), the footer's length and ``MAGIC`` again.  The dictionary is trained on serialized id arrays: those of SAMPLE
+blocks of ids, taken by hash from anywhere in documents taken by hash (a bounded sample, for compression only); it lies
+beside the files as dictionary-<sha256>, and a file whose hash has no dictionary beside it can't be read by mistake.
+
+Documents are encoded and compressed where they lie; only frames are dealt out in the order of the files.  A text of
+characters that the worker has found to be lower-cased and classed alike by Arrow and the tokenizer is cut by the
+tokenizer's own pattern in Arrow, and each distinct piece of a batch is encoded once; all other texts go through the
+tokenizer by distinct words (it drops white space and never joins across it).
+
+Defined cases: null is the empty text, which has the end id alone; order is doc_id (null first), then a hash of the text;
+repeated rows are separate documents; a very long text is encoded whole, as one document; an empty table gives no rows;
+extra columns, also of the names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +30,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, by_value, fresh_dir, fresh_texts, worker_cache
+from .common import Store, by_value, cut, fresh_dir, fresh_texts, relax, text_steps, worker_cache
 
 by_value(__name__)
 
 MAGIC = b"LOOMTOK1"
 END = 1
-#: Documents and characters of each that the dictionary is trained on; its size.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 8_000, 32_768
-#: Words, and pieces of words, kept encoded per worker.
+#: Blocks of ids that the dictionary is trained on, ids in a block, bytes of the dictionary.
+SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 800, 2_048, 32_768
+#: Pieces, and words of other texts, kept encoded per worker.
 CACHE = 300_000
-ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
-#: Fixed value: the cutting pattern that the tokenizer file states.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of a file read at once.
+STEP_BYTES = 8_000_000
+#: Fixed value: the cutting pattern that the tokenizer file states (its white space written out).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\p{L}\p{N}]+"
+#: Characters beyond ASCII that may be plain, if the tokenizer treats each like Arrow; none of them composes with others.
+WIDE = ((0xA1, 0x24F), (0x370, 0x3FF), (0x400, 0x482), (0x48A, 0x52F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 
 def tokenizer_path() -> str:
@@ -71,16 +76,15 @@ class Encoder:
     """Encodes columns of texts; one per worker and tokenizer file."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.normal = self.tokenizer.normalizer.normalize_str
-        self.cut = regex.compile(PIECE).findall
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.size = max(vocabulary.values()) + 1
+        self.closes = np.zeros(self.size, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces, self.seen = Recent(), Recent()
+        self.odd = self._odd()
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -89,6 +93,23 @@ class Encoder:
             cache["encoder", path] = cls(path)
         return cache["encoder", path]
 
+    def _odd(self) -> str:
+        """A pattern that finds what a plain text may not hold: characters treated otherwise, controls, starts of special tokens."""
+        wide = [chr(c) for a, b in WIDE for c in range(a, b + 1)]
+        low = pc.utf8_lower(pa.array(wide)).to_pylist()
+        same = [self.tokenizer.normalizer.normalize_str(x) == y and len(y) == 1 and self.tokenizer.normalizer.normalize_str(y) == y for x, y in zip(wide, low, strict=True)]
+        # between two letters a letter makes one piece of three, any other character pieces of its own
+        here = pc.replace_substring_regex(pa.array([f"a{y}a" for y in low]), PIECE, r" \0").to_pylist()
+        there = [[f"a{y}a"[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{y}a")] for y in low]
+        plain = sorted({ord(x) for x, ok, h, t in zip(wide, same, here, there, strict=True) if ok and h.split(" ")[1:] == t})
+        ranges = [[plain[0], plain[0]]]
+        for c in plain[1:]:
+            if c == ranges[-1][1] + 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        return r"<\||[^\x{9}-\x{D}\x{20}-\x{7E}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
     def whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -108,53 +129,49 @@ class Encoder:
                 for p in group:
                     to[p] = self.whole(p)
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word by itself."""
-        self.seen.turn()
+    def _plain(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of plain texts, each with its end."""
+        cut = pc.ascii_split_whitespace(pc.binary_join_element_wise(pc.replace_substring_regex(pc.utf8_lower(texts), PIECE, r" \0"), pa.scalar("\0", pa.large_string()), pa.scalar(" ", pa.large_string())))
+        coded = cut.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
         self.pieces.turn()
-        out = [self.seen.get(w) for w in words]
-        if fresh := [i for i, b in enumerate(out) if b is None]:
-            for i, b in zip(fresh, self._words([words[i] for i in fresh]), strict=True):
-                out[i] = self.seen.young[words[i]] = b
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(words)
-        plain = list(range(len(words)))
-        if ODD.search("\n".join(words)):
-            plain = [i for i in plain if not ODD.search(words[i])]
-        normal = self.normal(" ".join(words[i] for i in plain)).split(" ") if plain else []
-        if len(normal) != len(plain):
-            plain = normal = []
-        wide = [k for k, n in enumerate(normal) if not n.isascii()]
-        again = self.normal(" ".join(normal[k] for k in wide)).split(" ") if wide else []
-        unstable = {k for k, b in zip(wide, again, strict=True) if b != normal[k]} if len(again) == len(wide) else set(wide)
-        cut = [(i, self.cut(n)) for k, (i, n) in enumerate(zip(plain, normal, strict=True)) if k not in unstable]
-        known = {p: self.pieces.get(p) for _, ps in cut for p in ps}
-        if missing := [p for p, b in known.items() if b is None]:
-            self._learn(missing)
-            known |= {p: self.pieces.young[p] for p in missing}
-        for i, ps in cut:
-            out[i] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        return [self.whole(w) if b is None else b for w, b in zip(words, out, strict=True)]
+        known = [self.pieces.get(p) if p not in ("", "\0") else b"" for p in names]
+        if missing := [i for i, b in enumerate(known) if b is None]:
+            self._learn([names[i] for i in missing])
+            for i in missing:
+                known[i] = self.pieces.young[names[i]]
+        known = [np.array([END], "<u4").tobytes() if p == "\0" else b for p, b in zip(names, known, strict=True)]
+        ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in known])]).astype(np.int32)
+        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(known), "<u4"))).take(coded.indices)
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        return pa.LargeListArray.from_arrays(pa.array(ids.offsets.to_numpy()[offsets - offsets[0]] - ids.offsets[0].as_py()), ids.flatten())
+
+    def _odd_one(self, text: str) -> np.ndarray:
+        self.seen.turn()
+        words = re.split("[\t-\r ]+", text)
+        for w in words:
+            if self.seen.get(w) is None:
+                self.seen.young[w] = self.whole(w)
+        return np.frombuffer(b"".join([*map(self.seen.get, words), np.array([END], "<u4").tobytes()]), "<u4")
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and the documents' offsets in them."""
         texts = fresh_texts(texts)
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        words = self.words(coded.dictionary.to_pylist()) + [np.array([END], "<u4").tobytes()]
-        lens = np.array([len(w) // 4 for w in words], np.int64)
-        begins = np.cumsum(lens) - lens
-        flat = np.frombuffer(b"".join(words), "<u4")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(words) - 1)
-        n = lens[order]
-        at = np.cumsum(n) - n
-        ids = flat[np.repeat(begins[order] - at, n) + np.arange(int(n.sum()))]
-        ends = offsets[1:] + np.arange(len(offsets) - 1)
-        return ids, np.concatenate([[0], (at + n)[ends]]) if len(ends) else np.zeros(1, np.int64)
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = self._plain(texts.filter(pa.array(~odd)))
+        ids, offsets = plain.values.to_numpy(), plain.offsets.to_numpy()
+        if not odd.any():
+            return ids, offsets
+        of_plain, parts = iter(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), []
+        for i, o in enumerate(odd.tolist()):
+            if o:
+                parts.append(self._odd_one(texts[i].as_py()))
+            else:
+                a, b = next(of_plain)
+                parts.append(ids[a:b])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 def train_dictionary(samples: list[bytes]):
@@ -170,29 +187,25 @@ def train_dictionary(samples: list[bytes]):
 class Writer:
     """One file."""
 
-    def __init__(self, store: Store, name: str, dictionary: bytes, width: int):
-        import zstandard
-
-        self.store, self.name, self.width, self.hash = store, name, width, hashlib.sha256(dictionary).hexdigest()
-        self.zip = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
+    def __init__(self, store: Store, name: str, dictionary_hash: str, width: int):
+        self.store, self.name, self.width, self.hash = store, name, width, dictionary_hash
         self.part = f"{store.root}/.{name}.{hashlib.sha256(np.random.bytes(16)).hexdigest()[:16]}"
-        self.out, self.at, self.ids, self.index = store.fs.open_output_stream(self.part, compression=None), len(MAGIC), [], ([], [], [])
+        store.fs.create_dir(store.root, recursive=True)
+        self.out, self.at, self.index = store.fs.open_output_stream(self.part, compression=None), len(MAGIC), []
         self.out.write(MAGIC)
         self.tokens = 0
 
-    def add(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
-        narrow = ids.astype(f"<u{self.width}")
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            frame = self.zip.compress(narrow[a:b].tobytes())
-            self.out.write(frame)
-            for to, v in zip(self.index, (self.at, len(frame), b - a), strict=True):
-                to.append(v)
-            self.at += len(frame)
-            self.tokens += b - a
-        self.ids.append(doc_ids)
-
-    def close(self, kind: pa.DataType) -> tuple[int, int]:
-        table = pa.table([pa.chunked_array(self.ids, kind), *(pa.array(x, pa.int64()) for x in self.index)], ["doc_id", "offset", "bytes", "n_tokens"])
+    def add(self, doc_ids: pa.Array, frames: pa.Array, n_tokens: pa.Array) -> None:
+        size = pc.binary_length(frames).to_numpy().astype(np.int64)
+        for frame in frames:
+            self.out.write(frame.as_buffer())
+        ends = self.at + np.cumsum(size)
+        self.index.append(pa.record_batch([doc_ids, pa.array(ends - size), pa.array(size), n_tokens], ["doc_id", "offset", "bytes", "n_tokens"]))
+        self.at = int(ends[-1])
+        self.tokens += pc.sum(n_tokens).as_py()
+
+    def close(self) -> tuple[int, int]:
+        table = pa.Table.from_batches(self.index)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(table)
@@ -225,43 +238,87 @@ class Reader:
         self.offset, self.bytes = (self.index[c].to_numpy() for c in ("offset", "bytes"))
 
     def ids(self, i: int) -> np.ndarray:
-        raw = self.unzip.decompress(self.f.read_at(int(self.bytes[i]), int(self.offset[i])))
-        return np.frombuffer(raw, f"<u{self.footer['width']}").astype("<u4")
+        return self._open(self.f.read_at(int(self.bytes[i]), int(self.offset[i])))
+
+    def _open(self, frame: bytes) -> np.ndarray:
+        return np.frombuffer(self.unzip.decompress(frame), f"<u{self.footer['width']}").astype("<u4")
+
+    def every(self) -> Iterator[np.ndarray]:
+        """The ids of each document in order; frames are read many at once."""
+        ends = self.offset + self.bytes
+        i, n = 0, len(ends)
+        while i < n:
+            begin = int(self.offset[i])
+            j = max(i + 1, int(np.searchsorted(ends, begin + STEP_BYTES, "right")))
+            block = self.f.read_at(int(ends[j - 1]) - begin, begin)
+            for k in range(i, j):
+                yield self._open(block[int(self.offset[k]) - begin : int(ends[k]) - begin])
+            i = j
+
+
+def dictionary_for(rows: DataFrame, tokenizer: str, width: int) -> bytes:
+    """A dictionary trained on SAMPLE blocks of ids: those with the smallest hashes in the SAMPLE documents with the smallest hashes."""
+    h = F.xxhash64("doc_id", F.xxhash64("text"))
+    most = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if most is None:
+        return train_dictionary([]).as_bytes()
+
+    def cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, offsets = Encoder.get(tokenizer).column(b.column("text"))
+            raw = ids.astype(f"<u{width}")
+            blocks = [raw[i : min(i + SAMPLE_IDS, z)].tobytes() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for i in range(a, z, SAMPLE_IDS)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in blocks], pa.binary()), pa.array(blocks, pa.binary())], ["h", "block"])
+
+    # SAMPLE documents, or as many blocks of longer ones: at most SAMPLE rows of 2 * SAMPLE_IDS or 4 * SAMPLE_IDS bytes reach the driver
+    blocks = rows.where(h <= F.lit(most)).select("text").distinct().mapInArrow(cut_ids, "h binary, block binary").distinct().orderBy("h").limit(SAMPLE)
+    return train_dictionary([bytes(r["block"]) for r in blocks.select("block").collect()]).as_bytes()
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> list[tuple[int, int, int]]:
     """Writes the files in order of doc_id; returns (file number, documents, tokens), a row per file."""
     tokenizer = tokenizer or tokenizer_path()
+    width = 2 if Encoder.get(tokenizer).size <= 65_536 else 4
     rows = docs.select("doc_id", "text")
-    h = F.xxhash64("doc_id")
-    most = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    sample = rows.where(h <= F.lit(most)).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect() if most is not None else []
-    encoder = Encoder.get(tokenizer)
-    width = 2 if len(encoder.closes) <= 65_536 else 4
-    ids, offsets = encoder.column(pa.array([r["text"] for r in sample], pa.string()))
-    raw = ids.astype(f"<u{width}")
-    dictionary = train_dictionary([raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]).as_bytes()
-    Store(path).write(f"dictionary-{hashlib.sha256(dictionary).hexdigest()}", dictionary)
+    dictionary = dictionary_for(rows, tokenizer, width)
+    name = hashlib.sha256(dictionary).hexdigest()
+    Store(path).write(f"dictionary-{name}", dictionary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=1)
+        compress = zstandard.ZstdCompressor(level=1, dict_data=shared, write_content_size=True).compress
+        for whole in batches:
+            for b in text_steps(whole):
+                ids, offsets = Encoder.get(tokenizer).column(b.column("text"))
+                raw = memoryview(ids.astype(f"<u{width}")).cast("B")
+                at = (offsets * width).tolist()
+                frames = [compress(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "th", "n_tokens", "frame"])
+        relax()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # written once: finding the ranges and dealing the frames both read it
+    frames = cut(rows.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(encode, f"doc_id {kind}, th long, n_tokens long, frame binary"), "frames")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, writer, kind = TaskContext.get().partitionId(), None, None
+        number, writer = TaskContext.get().partitionId(), None
         for b in batches:
-            if not b.num_rows:
-                continue
-            kind = b.schema.field("doc_id").type
-            writer = writer or Writer(Store(path), f"part-{number:06d}", dictionary, width)
-            step = 2_000  # documents encoded at once
-            for i in range(0, b.num_rows, step):
-                part = b.slice(i, step)
-                writer.add(part.column("doc_id"), *Encoder.get(tokenizer).column(part.column("text")))
+            if b.num_rows:
+                writer = writer or Writer(Store(path), f"part-{number:06d}", name, width)
+                writer.add(b.column("doc_id"), b.column("frame"), b.column("n_tokens"))
         if writer:
-            docs, tokens = writer.close(kind)
+            docs, tokens = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, docs, tokens)], ["file", "docs", "tokens"])
 
-    sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = sorted_rows.mapInArrow(run, "file long, docs long, tokens long")
+    # equal rows are told apart by their place, so even one id that a third of all rows hold is cut to many files
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th").asc(), F.col("place").asc()]
+    placed = frames.withColumn("place", F.monotonically_increasing_id())
+    made = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "file long, docs long, tokens long")
     return sorted(tuple(r) for r in made.collect())  # a row per file
 
 
@@ -279,7 +336,7 @@ def read(spark: SparkSession, path: str, files: list[tuple[int, int, int]], id_t
                 number, start = starts[i]
                 reader = Reader(Store(path), f"part-{number:06d}")
                 n = reader.index["n_tokens"].to_numpy()
-                crc = [zlib.crc32(reader.ids(k).tobytes()) for k in range(len(n))]
+                crc = [zlib.crc32(x.tobytes()) for x in reader.every()]
                 table = pa.table([reader.index["doc_id"], pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names)
                 yield from table.to_batches(max_chunksize=10_000)
 
