@@ -5,8 +5,13 @@ contains every word of it, so the window's rarest word over all documents (ties:
 prefix.  Each place of that word in a document gives one possible start; starts whose window would pass an end of the
 document fall away (length and position bounds) and the rest are verified word by word.
 
-Defined cases: a null text has no words; an item without words has no windows; repeated document rows give a row each;
-a null item_id is listed as the empty string; extra columns are ignored.
+Places are kept by (doc_id, hash of the text), so rows that are repeated are looked at as one and each get the result; only
+rows with a place are joined back to the documents.  While the windows fit a broadcast nothing but those places moves; beyond,
+the documents' words are dealt out one by one as (document, place, word), and the texts of documents with a candidate once.
+
+Defined cases: a null or empty text has no words; an item without words has no windows; a very long text is searched whole;
+repeated document rows give a row each; windows that several items share count for each; a null item_id is listed as the
+empty string; an empty table of documents gives no rows, an empty benchmark no hits; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,42 +43,47 @@ def anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return windows.withColumn("wid", F.xxhash64("item_id", "window")).join(ranked, "wid").select("item_id", "window", F.col("best.word").alias("anchor"), F.col("best.rel").alias("rel"))
 
 
-def places(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep_all: bool = True) -> DataFrame:
-    """Verified window places: row, doc_id, n_words, span struct(a, b) of word numbers, item_id; with ``keep_all`` also a null span for each document."""
+def places(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Verified window places: doc_id, th (hash of the text), a and b (first and last word), item_id."""
     anchors = cut(anchored(item_windows(benchmark, n), docs), "windows")
     bound = anchors.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length(F.array_join("window", " "))), F.lit(0)).alias("bytes")).first()
-    side = anchors.select(F.col("anchor"), F.col("rel"), F.col("window"), F.col("item_id"))
-    if bound["rows"] <= BROADCAST_ROWS and bound["bytes"] <= BROADCAST_BYTES:
-        side = F.broadcast(side)
-    rows = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
-    # the extra null at the end carries a document without any hit through the join
-    spots = rows.select("row", "doc_id", F.size("w").alias("n_words"), "w", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
-    joined = spots.join(side, spots["word"] == side["anchor"], "left" if keep_all else "inner")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     start = F.col("pos") - F.col("rel")
     inside = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
-    exact = F.when(inside, F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")).otherwise(False)
-    return joined.where(F.col("word").isNull() | (F.col("window").isNotNull() & exact)).select(
-        "row", "doc_id", "n_words", "w", F.when(F.col("word").isNotNull(), F.struct(start.alias("a"), (start + F.size("window") - 1).alias("b"))).alias("span"), "item_id"
-    )
+    exact = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")
+    if bound["rows"] <= most and bound["bytes"] <= BROADCAST_BYTES:
+        spots = rows.select("doc_id", "th", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+        found = spots.join(F.broadcast(anchors), F.col("word") == F.col("anchor")).where(inside & exact)
+    else:
+        spots = rows.select("doc_id", "th", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+        candidates = spots.join(anchors, F.col("word") == F.col("anchor")).where(inside).select(F.col("doc_id").alias("k"), F.col("th").alias("t"), "pos", "rel", "window", "item_id").distinct()
+        texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words(F.col("text")).alias("w"))
+        found = candidates.join(texts, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))).where(exact)
+    return found.select("doc_id", "th", start.alias("a"), (start + F.size("window") - 1).alias("b"), "item_id")
+
 
+def _few(df: DataFrame, label: str) -> DataFrame:
+    """The frame, written; to be broadcast where it is small."""
+    df = cut(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = BROADCAST_ROWS) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = places(docs, benchmark, n)
-    per = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    per = places(docs, benchmark, n, most).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))
-    return per.select(
-        "doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    hit = _few(per.select(F.col("doc_id").alias("k"), F.col("th").alias("t"), F.size(covered).alias("n_hit"), F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha")), "contaminated")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")), "left").select(
+        "doc_id", "n_words", count("n_hit").alias("n_hit"), count("n_items").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of docs without any window; texts are not shuffled when the few contaminated ids fit a broadcast."""
-    bad = cut(places(docs, benchmark, n, keep_all=False).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("bad"), F.xxhash64("w").alias("wh")).distinct(), "contaminated")
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(side, (F.coalesce(docs["doc_id"].cast("string"), F.lit("null")) == side["bad"]) & (F.xxhash64(words(docs["text"])) == side["wh"]), "left_anti")
+    """The rows of docs, with all their columns, without any window; texts are not shuffled when the few contaminated ids fit a broadcast."""
+    bad = _few(places(docs, benchmark, n).select(F.col("doc_id").alias("k"), F.col("th").alias("t")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k"]) & (F.xxhash64(docs["text"]) == bad["t"]), "left_anti")
 
 
 ORACLE = r"""

@@ -59,6 +59,7 @@ def test_decontamination(spark, docs):
     assert got == want
     clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
+    assert Counter(tuple(r) for r in decontaminate.contamination(docs, bench, most=0).collect()) == want  # the way beyond the broadcast bound
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert all(not r["contaminated"] for r in rows(decontaminate.contamination(docs, bench.limit(0))))
 
@@ -163,7 +164,7 @@ def test_secrets(docs):
 
 def test_entropy_window_equals_direct():
     text = "aB3" * 10 + prose(4, 3).replace(" ", "") + "kJ8sQ2mX9vB4nL7pR1tY6wZ3cF5hG0dA"
-    alphabet, width, bits = secrets.CLASSES[1][1:]
+    alphabet, width, bits = secrets.CLASSES[3][1:4]
     entropy = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
     want = {i for k in range(len(text) - width + 1) if set(text[k : k + width]) <= alphabet and entropy(text[k : k + width]) >= bits - 1e-12 for i in range(k, k + width)}
     assert {i for a, b in secrets._dense(text, alphabet, width, bits) for i in range(a, b)} == want
@@ -236,7 +237,7 @@ def test_language_model(spark):
             p = (1 - rest2[t[i - 2], t[i - 1]]) * p + keep3.get((t[i - 2], t[i - 1], t[i]), 0)
         return math.log10(p)
 
-    for r in ngram_lm.train_and_score(df).collect():
+    for r in ngram_lm.train_and_score(df, min_count=2).collect():
         t = tok[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(t), sum(c1[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
@@ -426,3 +427,69 @@ def test_pipeline(spark, tmp_path):
     assert (50 in ids[1]) and (51 not in ids[1])
     assert 53 in ids[1] and 53 not in ids[2] and set(ids[2]) == set(ids[1]) - {53}
     assert sorted(ids[4]) == sorted(ids[3])
+
+
+def brute_labels(texts, templates):
+    """Labels of the templates whose key phrases all stand in place, from every start."""
+    lists = [words(t) for t in texts]
+    df = Counter(w for ws in lists for w in set(ws))
+    idf = {w: math.log((len(texts) + 1) / (df[w] + 1)) + 1e-3 for _, t, _ in templates for w in licenses.plain(t)}
+    out = []
+    for ws in lists:
+        got = set()
+        stands = lambda at, ph: at >= 0 and ws[at : at + len(ph)] == ph  # noqa: E731, B023
+        for label, text, keys in templates:
+            t, phrases = licenses.plain(text), [licenses.plain(k) for k in keys]
+            places = [licenses.place_of(k, t) for k in phrases]
+            own = min((-idf[w], w, a + j, k) for k, (a, ph) in enumerate(zip(places, phrases)) for j, w in enumerate(ph))[3]
+            for start in range(-len(t), len(ws)):
+                if stands(start + places[own], phrases[own]):
+                    room = [0 if k == own else licenses.SLACK + abs(a - places[own]) // licenses.DRIFT for k, a in enumerate(places)]
+                    if all(any(stands(start + a + o, ph) for o in range(-r, r + 1)) for a, ph, r in zip(places, phrases, room)):
+                        got.add(label)
+        out.append(got)
+    return out
+
+
+def test_license_labels(spark):
+    texts = [
+        "This work is licensed under the GNU General Public License, version 3. Apache License, Version 2.0",
+        "licensed under the gnu general public license version 3",
+        "GNU General Public License only",
+        "a program under the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "mit license " * 3 + prose(5, 30),
+        prose(6, 50) + " " + licenses.TEMPLATES[1][1] + " " + prose(7, 20),
+        licenses.TEMPLATES[1][1].replace("substantial", "large"),
+        " ".join(licenses.plain(licenses.TEMPLATES[1][1])[20:]),
+        "cc by nc sa 4.0 cc by 4 0", "", None, "version 3 gnu general public license",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("w", F.lit("clash"))
+    base = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    want = [x | {k for k, v in base.items() if f" {v} " in f" {' '.join(words(t))} "} for x, t in zip(brute_labels(texts, licenses.TEMPLATES), texts)]
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [",".join(sorted(x)) for x in want]
+    assert got[0].labels == "apache-2,gpl-3" and got[1].labels == "gpl-3" and got[1].score > 0.9 and got[2].labels == "" and got[6].score == 1
+
+
+def test_license_scan_is_linear(spark):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        df = spark.createDataFrame([(1, "released under the MIT license and the GNU General Public License version 3 " * n)], "doc_id long, text string")
+        began = time.time()
+        r = licenses.scan(df).collect()[0]
+        took.append(time.time() - began)
+        assert r.labels == "gpl-3,mit" and r.n_words == 13 * n
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_entropy_suppression(spark):
+    shown = lambda t: [x for x in secrets.scan_text(t)[4].split(",") if x.startswith("entropy")]
+    assert shown("k kJ8sQ2mX9vB4nLsample7pR1tY6wZ3cF5hG0dA") == ["entropy:2:40"]  # letters of a placeholder inside are no reason
+    assert shown("example-kJ8sQ2mX9vB4nL7pR1tY") and shown("x Q7RT2MZ5KP9WX3LB here") and shown("aB3dE6gH9jK2mN5p") == ["entropy:0:16"]
+    for t in ("README-example-0123456789-file", "some_long_name/with_words/2024", "123e4567-e89b-12d3-a456-426614174000", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "20240101120000123456", "a" * 40 + "1", "page_2/section_14/v2/utf8"):
+        assert not shown(t), t
+    assert len(shown(("kJ8sQ2mX9vB4nL7pR1tY " + prose(8, 20) + " ") * 2000)) == 2000
+    assert secrets.scan(spark.createDataFrame([(1, None, "x")], "doc_id long, text string, spans string")).collect()[0].spans == ""
