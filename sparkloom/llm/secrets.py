@@ -1,12 +1,15 @@
 """Secret scan: fixed patterns, plus sliding-window Shannon entropy per character class with an allow-list.
 
-Candidate strings are maximal runs of token characters.  A window slides over a candidate and character counts are kept
-by adding the character that enters and taking off the one that leaves, so each step costs the same; windows whose
-entropy passes the threshold of their character class are joined to spans.  Placeholders, identifiers made of plain
-words and other listed shapes are suppressed.  Spans of the patterns always stay.
-
-Defined cases: a null or empty text has no spans; overlapping kinds are all listed; repeated rows give a row each; an
-empty table gives no rows; extra columns are ignored.
+Candidate strings are maximal runs of token characters.  A window slides over a candidate once per character class and
+character counts are kept by adding the character that enters and taking off the one that leaves, so each step costs the
+same; windows that lie in the class and whose entropy passes its threshold are joined to spans, and a candidate with one is
+reported whole, as a secret is not to be cut.  The allow-list is about whole candidates: only one whose every part between separators is
+a plain word, a listed placeholder or a number, or a UUID as a whole, is suppressed; a random string never is for the letters it
+happens to hold.  Spans of the patterns always stay.
+
+Defined cases: a null or empty text has no spans; a very long text is scanned whole; overlapping kinds are all listed, at one start in
+the order of KINDS; an entropy span within a pattern's span is not listed again; repeated rows give a row each; an empty table
+gives no rows; extra columns, also of the names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value
+from .common import by_value, small_batches
 
 by_value(__name__)
 
@@ -27,16 +30,18 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Character class: window, bits.  The first class that holds all of a candidate's window decides.
-CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.6))
-#: Shapes that are not secrets: words joined by - _ /, UUIDs, numbers, placeholders.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Character class: name, characters, window, bits, and what a candidate must hold for the class to be asked.
+CLASSES = (
+    ("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0, re.compile(r"(?=.*[0-9])(?=.*[a-fA-F])")),
+    ("base32", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16, 3.4, re.compile(r"(?=.*[0-9])(?=.*[A-Z])")),
+    ("base62", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 16, 3.5, re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")),
+    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.6, re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")),
+)
+#: Candidates that are no secrets: words (of one case or with a capital) and numbers joined by separators, and UUIDs.
 ALLOW = (
-    re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[-_/=+](?:[A-Za-z]{2,}|[0-9]{1,4}))*"),
+    re.compile(r"[-_/=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[a-z]+[0-9]{1,2}|v[0-9]+)(?:[-_/=+]+|\Z))+"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9+=/_-]+"),
-    re.compile(r"(?i).*(?:example|placeholder|changeme|xxxx|dummy|sample|lorem).*"),
 )
 
 
@@ -66,13 +71,13 @@ def _dense(text: str, alphabet: frozenset, width: int, bits: float) -> list[tupl
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Candidates with a window dense enough for its character class, unless allow-listed; whole candidates are reported."""
+    """Candidates with a window dense enough for a character class that they may be of, unless allow-listed."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if not (DIGITS.search(run) and LETTERS.search(run)) or any(a.fullmatch(run) for a in ALLOW):
+        if any(a.fullmatch(run) for a in ALLOW):
             continue
-        if any(_dense(run, alphabet, width, bits) for _, alphabet, width, bits in CLASSES):
+        if any(holds.match(run) and _dense(run, alphabet, width, bits) for _, alphabet, width, bits, holds in CLASSES):
             found.append(m.span())
     return found
 
@@ -102,4 +107,4 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", *names])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
