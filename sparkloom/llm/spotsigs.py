@@ -6,8 +6,12 @@ takes its words one by one instead, so texts in languages without listed anchors
 compared by Jaccard similarity; the ratio of the set sizes bounds it, so pairs below a threshold are pruned by length
 before any hash is compared, and the pair join partitions sets by length.
 
+A document's own set is made before the texts are dealt out in order and travels with its text, so each set is made once.
+
 Defined cases: a null text is empty; an empty set has an empty fingerprint, likeness 1 to another empty set and 0 to any
-other; documents are ordered by doc_id (null first), then text, then row; the next of the last is the first (itself, if alone).
+other; a very long text is read whole; documents are ordered by doc_id (null first), then text, repeated rows next to each
+other in any order (they are equal); the next of the last is the first (itself, if alone); an empty table gives no rows;
+extra columns, also of the names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -56,8 +60,9 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, F.lit(1.0)).when(small == 0, F.lit(0.0)).when(small < large * F.lit(least), F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
-def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, text (null: empty) and next_text, the text of the next document in order.
+def with_next(docs: DataFrame, block: int = BLOCK, carry=None) -> DataFrame:
+    """doc_id, text (null: empty), next_text, the text of the next document in order, and with ``carry`` (a function of the
+    text's column) also own and next_own, what it gives for both texts.
 
     Blocks of ids are cut at quantiles; each block also gets a ghost of the next block's first document, so one shuffle
     deals the texts out and no task sees more than a block."""
@@ -71,16 +76,19 @@ def with_next(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     order = sorted(firsts)
     after = {b: order[i - 1] if i else order[-1] for i, b in enumerate(order)}  # the block that ends before block b begins
     ghosts = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(firsts[b]).cast(docs.schema["doc_id"].dataType).alias("f"), F.lit(after[b]).alias("b")))]) if order else None
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), number.cast("int").alias("b"))
+    text = F.coalesce("text", F.lit(""))
+    kept = ["text"] if carry is None else ["text", "own"]
+    rows = docs.select("doc_id", text.alias("text"), number.cast("int").alias("b"), *([] if carry is None else [carry(text).alias("own")]))
     if ghosts is None:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        return rows.select("doc_id", *kept, *[F.col(c).alias(f"next_{c}") for c in kept])
     g = F.element_at(ghosts, F.col("b"))
     places = F.when(g["f"].eqNullSafe(F.col("doc_id")), F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost")), F.struct(g["b"].alias("b"), F.lit(1).alias("ghost")))).otherwise(
         F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost")))
     )
-    dealt = rows.select("doc_id", "text", F.inline(places))
+    dealt = rows.select("doc_id", *kept, F.inline(places))
     w = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(w)).where("ghost = 0").select("doc_id", "text", "next_text")
+    after = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in kept}).where("ghost = 0")
+    return after.select("doc_id", *kept, *[f"next_{c}" for c in kept])
 
 
 def _bucket(x: Column, cuts: list) -> Column:
@@ -93,11 +101,11 @@ def _bucket(x: Column, cuts: list) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited."""
-    rows = with_next(docs)
+    rows = with_next(docs, carry=signature_set)
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), signature_set(F.col("text")).alias("s"), signature_set(edited).alias("e"), signature_set(F.col("next_text")).alias("x"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("own").alias("s"), signature_set(edited).alias("e"), F.col("next_own").alias("x"))
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("x")).alias("near_next"), "edited",
