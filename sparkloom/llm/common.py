@@ -52,16 +52,43 @@ def fresh_texts(texts):
     return pc.fill_null(texts, "").take(pa.array(range(len(texts)), pa.int64())).cast(pa.large_string())
 
 
-def text_steps(batch, text="text", size: int = 4_000_000):
-    """An Arrow batch in slices of about ``size`` bytes of its column of texts."""
+def text_steps(batches, text="text", size: int = 4_000_000):
+    """The rows of Arrow batches in batches of about ``size`` bytes of text: small ones are joined, large ones cut."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64) // size
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
+    held, held_size = [], 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            begun = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, begun + size - held_size, "right")))
+            held.append(batch.slice(at, to - at))
+            held_size += int(ends[to - 1]) - begun
+            at = to
+            if held_size >= size or at < batch.num_rows:
+                yield joined()
+                held, held_size = [], 0
+    if held:
+        yield joined()
+
+
+#: Rows of an Arrow batch: a few megabytes of usual documents, and far from the 2 GiB that a column of text may hold.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session hands Python small Arrow batches from here on, unless it was told to another size than Spark's own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def relax() -> None:
@@ -78,10 +105,13 @@ def relax() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and runs on one machine."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
-        name = worker_cache().setdefault("shared", "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        name = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", name)
     return name.rstrip("/")
 
 

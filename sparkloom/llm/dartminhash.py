@@ -13,8 +13,10 @@ signatures and then their shingles, in blocks within classes of similar length;
 to cells over many tasks.  Of these only links that join components, fewer than a cell's members, are made into rows.  Every link is verified by the exact weighted Jaccard similarity of the shingles;
 classes are the connected components of the links.
 
-Defined cases: a null text has no words; texts with the same words in the same order (none, too) are copies; fewer than
-five words make one shingle; repeated rows are copies; a class is named by its smallest doc_id (null only if all are).
+Defined cases: a null or empty text has no words; texts with the same words in the same order (none, too) are copies; fewer
+than five words make one shingle; a very long text is read whole; repeated rows are copies; a class is named by its smallest
+doc_id (null only if all are), of rows that share it by the smallest hash of the text; an empty table gives no rows; extra
+columns, also of the names used here, are ignored by `classes` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, by_value, cut, fresh_texts
+from .common import WORD_GAP, by_value, cut, fresh_texts, relax, small_batches, text_steps
 
 by_value(__name__)
 
@@ -129,7 +131,7 @@ def bands(ranks: np.ndarray) -> np.ndarray:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for whole in batches:
+    for whole in text_steps(batches):
         for at in range(0, whole.num_rows, STEP):
             b = whole.slice(at, STEP)
             hashes, offsets = word_hashes(b.column("text"))
@@ -148,6 +150,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight = np.bincount(owner, counts, n).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(h.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(weight), lists, pa.array([r.tobytes() for r in short], pa.binary())], ["doc_id", "th", "node", "weight", "bands", "sig"])
+    relax()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +249,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Per document row: doc_id, th (hash of the text), class_id, class_size, keep_id and keep_th (the row that stays for its class)."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("th"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = cut(rows.mapInArrow(_fingerprint, f"doc_id {kind}, th long, node binary, weight long, bands array<long>, sig binary"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
@@ -317,7 +320,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs with one document of each class: its smallest doc_id (of repeated rows one)."""
+    """The rows of docs, with all their columns, with one document of each class: its smallest doc_id (of rows that repeat it any one)."""
     found = cut(classes(docs, least), "classes")
     out = found.where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("th").eqNullSafe(F.col("keep_th")))).select(F.col("doc_id").alias("k"), F.col("th").alias("t")).distinct()
     out = _maybe_broadcast(cut(out, "dropped"))
@@ -327,5 +330,5 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return kept
     again = _maybe_broadcast(repeated)
     same = kept["doc_id"].eqNullSafe(again["k"]) & F.xxhash64(kept["text"]).eqNullSafe(again["t"])
-    single = kept.join(again, same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))).where("n = 1").drop("n")
+    single = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, same, "left_anti").unionByName(single)

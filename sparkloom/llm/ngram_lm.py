@@ -15,7 +15,9 @@ memory-mapped by the scoring tasks.
 where the rest is one less the sum of the terms kept: with min_count 1 all pairs and triples, else those seen as often at least.
 
 Defined cases: null is the empty text, which has the end word alone; a null doc_id trains; without training text every
-word has P1 = 1; repeated rows count and are scored each; extra columns are ignored.
+word has P1 = 1; a very long text is counted and scored whole; words of equal counts need no order, ranks go by hash;
+repeated rows count and are scored each; an empty table gives no rows; more different words than 32 bits hold are an error;
+extra columns, also of the names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, by_value, fresh_dir, fresh_texts, worker_cache
+from .common import Store, by_value, fresh_dir, fresh_texts, relax, small_batches, text_steps, worker_cache
 
 by_value(__name__)
 
-DISCOUNT, MIN_COUNT = 0.75, 2
+DISCOUNT, MIN_COUNT = 0.75, 1
 #: Bytes of text handled at once, characters per vocabulary shard, training words per trie shard.
 STEP_BYTES, VOCABULARY_CHARS, SHARD_WORDS = 8_000_000, 100_000_000, 2_500_000
 U = np.uint64
@@ -202,16 +204,6 @@ def text_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.insert(index[real], offsets[1:], len(names)), offsets + np.arange(len(offsets))
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-        group = size // STEP_BYTES
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [b.num_rows]])
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if z > a:
-                yield b.slice(a, z - a)
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -295,12 +287,12 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
     """Counts docs and writes the model's files."""
     spark = docs.sparkSession
     path = fresh_dir(spark, "ngram-model")
-    texts = docs.select("text")
+    texts = small_batches(docs).select("text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n_vocabulary = max(4, -(-chars // VOCABULARY_CHARS))
 
     def count_words(batches):
-        for b in steps(batches):
+        for b in text_steps(batches, size=STEP_BYTES):
             hashes, index, _ = text_tokens(b.column("text"))
             keys, counts = summed(hashes, np.bincount(index, minlength=len(hashes)))
             keys, counts = keys[counts > 0], counts[counts > 0]
@@ -321,12 +313,14 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
     for r in made:
         sizes[r["shard"]] = r["words"]
     tokens = sum(r["tokens"] for r in made)
+    if sum(sizes) + 1 >= 2**32:
+        raise ValueError("more than 4,294,967,295 different words: ranks are packed in pairs of 32 bits")
     shards = max(4, -(-tokens // SHARD_WORDS))
     model = Model(path, sizes, tokens, shards)
 
     def count_grams(batches):
         vocabulary = model.vocabulary()
-        for b in steps(batches):
+        for b in text_steps(batches, size=STEP_BYTES):
             hashes, index, offsets = text_tokens(b.column("text"))
             ids = vocabulary.ids(hashes)[index].astype(U)
             last = np.zeros(len(ids), bool)
@@ -366,9 +360,9 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
         total = U(sum(sizes) + 1)
         term2 = (c2 - DISCOUNT) / np.maximum(vocabulary.gather(first, "vocabulary", 1), 1)
         term3 = (c3 - DISCOUNT) / c2[of]
-        rest2 = np.clip(1 - np.bincount(of, term3, len(u2)), 1e-6, 1)
         code2, book2 = quantised(term2)
         code3, book3 = quantised(term3)
+        rest2 = np.clip(1 - np.bincount(of, book3[code3], len(u2)), 1e-6, 1)  # of the terms as they are stored
         code_rest, book_rest = quantised(rest2)
         levels = [
             EliasFano.build(heads), EliasFano.build(head.astype(U) * total + (u2 & U(0xFFFFFFFF))), EliasFano.build(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(u2)))])),
@@ -424,7 +418,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         vocabulary, store, total = model.vocabulary(), Store(model.path), sum(model.sizes) + 1
-        for b in steps(batches):
+        for b in text_steps(batches, size=STEP_BYTES):
             hashes, index, offsets = text_tokens(b.column("text"))
             own = vocabulary.ids(hashes)
             count = vocabulary.gather(own, "vocabulary", 0)

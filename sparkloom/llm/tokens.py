@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, by_value, cut, fresh_dir, fresh_texts, relax, text_steps, worker_cache
+from .common import Store, by_value, cut, fresh_dir, fresh_texts, relax, small_batches, text_steps, worker_cache
 
 by_value(__name__)
 
@@ -264,7 +264,7 @@ def dictionary_for(rows: DataFrame, tokenizer: str, width: int) -> bytes:
         return train_dictionary([]).as_bytes()
 
     def cut_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_steps(batches):
             ids, offsets = Encoder.get(tokenizer).column(b.column("text"))
             raw = ids.astype(f"<u{width}")
             blocks = [raw[i : min(i + SAMPLE_IDS, z)].tobytes() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for i in range(a, z, SAMPLE_IDS)]
@@ -279,7 +279,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> list[tupl
     """Writes the files in order of doc_id; returns (file number, documents, tokens), a row per file."""
     tokenizer = tokenizer or tokenizer_path()
     width = 2 if Encoder.get(tokenizer).size <= 65_536 else 4
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     dictionary = dictionary_for(rows, tokenizer, width)
     name = hashlib.sha256(dictionary).hexdigest()
     Store(path).write(f"dictionary-{name}", dictionary)
@@ -290,13 +290,12 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> list[tupl
         shared = zstandard.ZstdCompressionDict(dictionary)
         shared.precompute_compress(level=1)
         compress = zstandard.ZstdCompressor(level=1, dict_data=shared, write_content_size=True).compress
-        for whole in batches:
-            for b in text_steps(whole):
-                ids, offsets = Encoder.get(tokenizer).column(b.column("text"))
-                raw = memoryview(ids.astype(f"<u{width}")).cast("B")
-                at = (offsets * width).tolist()
-                frames = [compress(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "th", "n_tokens", "frame"])
+        for b in text_steps(batches):
+            ids, offsets = Encoder.get(tokenizer).column(b.column("text"))
+            raw = memoryview(ids.astype(f"<u{width}")).cast("B")
+            at = (offsets * width).tolist()
+            frames = [compress(raw[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(np.diff(offsets)), pa.array(frames, pa.binary())], ["doc_id", "th", "n_tokens", "frame"])
         relax()
 
     kind = docs.schema["doc_id"].dataType.simpleString()

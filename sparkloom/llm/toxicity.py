@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, fresh_texts, relax, text_steps
+from .common import by_value, cut, fresh_texts, relax, small_batches, text_steps
 
 by_value(__name__)
 
@@ -137,15 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> list[Link]:
     sample = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")).drop("h")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in text_steps(whole):
-                names_, row, col = features(b.column("text"))
-                lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1))), names_.take(pa.array(col)).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("fold", *names)), lists.cast(pa.list_(pa.string()))], ["fold", *names, "w"])
+        for b in text_steps(batches):
+            names_, row, col = features(b.column("text"))
+            lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1))), names_.take(pa.array(col)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("fold", *names)), lists.cast(pa.list_(pa.string()))], ["fold", *names, "w"])
         relax()
 
     # at most SAMPLE rows of numbers: a proven bound for the broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "fold", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "fold", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = cut(texts.select("fold", *names, "text").mapInArrow(words, ", ".join(["fold int", *(f"{c} int" for c in names), "w array<string>"])), "sample")
     per = [F.sum((F.col("fold") == k).cast("int")).alias(f"n{k}") for k in range(FOLDS)]
     per += [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in names for k in range(FOLDS)]
@@ -241,14 +240,13 @@ def score(docs: DataFrame, links: list[Link], least: float = 0.5) -> DataFrame:
     names = ["doc_id", *(f"p_{link.name}" for link in links), links[-1].name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in text_steps(whole):
-                p = probabilities(b.column("text"), links)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, p), pa.array(p[-1] >= least)], names)
+        for b in text_steps(batches):
+            p = probabilities(b.column("text"), links)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, p), pa.array(p[-1] >= least)], names)
         relax()
 
     schema = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"`{n}` double" for n in names[1:-1]), f"`{names[-1]}` boolean"]
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(schema))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, ", ".join(schema))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -261,9 +259,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> D
     links, text = train(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in text_steps(whole, text):
-                yield b.filter(pa.array(probabilities(b.column(text), links)[-1] < least))
+        for b in text_steps(batches, text):
+            yield b.filter(pa.array(probabilities(b.column(text), links)[-1] < least))
         relax()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, worker_cache
+from .common import by_value, cut, small_batches, worker_cache
 
 by_value(__name__)
 
@@ -323,7 +323,7 @@ BROADCAST_BYTES = 32_000_000
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page row: page_id, url, text, n_chars."""
-    wrappers = cut(infer(pages), "wrappers").select(F.col("host").alias("h"), "wrapper")
+    wrappers = cut(infer(small_batches(pages)), "wrappers").select(F.col("host").alias("h"), "wrapper")
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("h") + 64), F.lit(0))).first()[0]
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(side, F.col("host") == F.col("h"), "left")

@@ -493,3 +493,19 @@ def test_entropy_suppression(spark):
         assert not shown(t), t
     assert len(shown(("kJ8sQ2mX9vB4nL7pR1tY " + prose(8, 20) + " ") * 2000)) == 2000
     assert secrets.scan(spark.createDataFrame([(1, None, "x")], "doc_id long, text string, spans string")).collect()[0].spans == ""
+
+
+def test_text_steps_keep_all_rows():
+    import random
+
+    from sparkloom.llm.common import text_steps
+
+    r = random.Random(3)
+    for size in (1, 100, 1000, 20_000, 10**9):
+        for _ in range(8):
+            texts = [[None if r.random() < 0.1 else "x" * r.choice([0, 5, 300, 4000]) for _ in range(r.randint(0, 60))] for _ in range(8)]
+            batches = [pa.record_batch([pa.array(t, pa.string()), pa.array([f"{k}.{i}" for i in range(len(t))], pa.string())], ["text", "i"]) for k, t in enumerate(texts)]
+            out = list(text_steps(iter(batches), size=size))
+            assert [x for b in out for x in b.column("i").to_pylist()] == [x for b in batches for x in b.column("i").to_pylist()]
+            assert [x for b in out for x in b.column("text").to_pylist()] == [x for t in texts for x in t]
+            assert all(b.num_rows for b in out) and (size > 1 or all(b.num_rows == 1 for b in out))
