@@ -16,6 +16,7 @@ from .functions import names as N
 from .functions import tokens as T
 from .operators import hierarchy as H
 from .operators import positional as P
+from .operators import references as R
 from .operators import search as S
 from .operators import sync as Y
 
@@ -153,7 +154,7 @@ TOKENS_SQL = f"SELECT DISTINCT p_partkey AS symbol_key, t AS token FROM (SELECT
 
 @query(TOKENS_SQL)
 def token_index(spark, d):
-    return S.token_index(_symbols(spark, d), F.col("name"), F.col("symbol_key"), T.ascii_tokens)
+    return S.token_index(_symbols(spark, d), F.col("name"), F.col("symbol_key"), T.tokens)
 
 
 @query(
@@ -270,10 +271,13 @@ def outline_promote(spark, d):
 WORDS_SQL = "SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS ref FROM documents"
 
 
-@query(f"SELECT doc_id, ref, count(*) AS n FROM ({WORDS_SQL}) GROUP BY doc_id, ref")
+ORDERED_SQL = "SELECT doc_id, list_extract(ws, i) AS ref, i - 1 AS place FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]+') AS ws, unnest(range(1, len(regexp_extract_all(text, '[a-zA-Z]+')) + 1)) AS i FROM documents)"
+
+
+@query(f"SELECT doc_id, ref, count(*) AS n, CAST(min(place) AS BIGINT) AS first_place FROM ({ORDERED_SQL}) GROUP BY doc_id, ref")
 def postings_build(spark, d):
-    words = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("ref"))
-    return words.groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+    words = _t(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("place", "ref"))
+    return words.groupBy("doc_id", "ref").agg(F.count("*").alias("n"), _big(F.min("place")).alias("first_place"))
 
 
 REFS = ["License", "password", "secret"]
@@ -282,7 +286,7 @@ SEARCH_SQL = f"SELECT doc_id, ref, count(*) AS n FROM ({WORDS_SQL}) WHERE ref IN
 
 @query(SEARCH_SQL)
 def reference_search(spark, d):
-    return postings_build(spark, d).where(F.col("ref").isin(REFS))
+    return postings_build(spark, d).where(F.col("ref").isin(REFS)).select("doc_id", "ref", "n")
 
 
 @query(SEARCH_SQL)
@@ -460,4 +464,152 @@ def fuzzy_search(spark, d):
     def score(names: pd.Series) -> pd.Series:
         return names.map(lambda n: score_one(n, "smw"))
 
-    return _symbols(spark, d).select("symbol_key", "name", score("name").alias("score")).where("score > 0")
+    # names that lack the characters in order never reach Python
+    return _symbols(spark, d).where(T.may_match(F.col("name"), "smw")).select("symbol_key", "name", score("name").alias("score")).where("score > 0")
+
+
+def _words(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("place", "ref"))
+
+
+@query(SEARCH_SQL)
+def stored_filter_search(spark, d):
+    """By the filters that are kept of the documents: those that can hold a name, then the name itself."""
+    words = _words(spark, d)
+    return R.search(words, R.filters(words, "doc_id", "ref"), "doc_id", "ref", REFS).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN len(ls) <= 2 THEN length(text) ELSE least(length(ls[1]) + length(ls[2]) + 2 + 7, length(text)) END AS offset_ FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
+)
+def position_to_offset(spark, d):
+    """The place (line 2, character 7) of every document."""
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", P.position_offset(F.col("text"), F.lit(2), F.lit(7)).alias("offset_"))
+
+
+@query("SELECT user_id, string_agg(event_type, '|' ORDER BY ts, event_id) AS versions FROM events GROUP BY user_id")
+def ordered_insert(spark, d):
+    got = P.ordered_versions(_t(spark, d, "events"), "user_id", "ts", "event_id", F.col("event_type"))
+    return got.select("user_id", F.array_join("versions.value", "|").alias("versions"))
+
+
+@query(
+    "WITH e AS (SELECT *, epoch_us(ts) // 3600000000 AS h FROM events), b AS (SELECT user_id, h, max(event_id) AS event_id FROM e WHERE event_type = 'view' GROUP BY user_id, h) SELECT p.event_id AS probe, coalesce((SELECT arg_max(b.event_id, b.h) FROM b WHERE b.user_id = p.user_id AND b.h < p.h), (SELECT arg_min(b.event_id, b.h) FROM b WHERE b.user_id = p.user_id)) AS block FROM e p WHERE p.event_type = 'error'"
+)
+def import_block_asof(spark, d):
+    """The last block that starts before a place, else the first."""
+    e = _t(spark, d, "events").withColumn("h", F.expr("unix_micros(cast(ts as timestamp)) div 3600000000"))
+    blocks = e.where("event_type = 'view'").groupBy("user_id", "h").agg(F.max("event_id").alias("event_id"))
+    probes = e.where("event_type = 'error'").select("user_id", "h", F.col("event_id").alias("probe"))
+    return P.as_of_or_first(blocks, probes, "user_id", "h", F.col("event_id")).select("probe", F.col("found").alias("block"))
+
+
+RANGES_SQL = "SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, l_linenumber * 10 AS s, l_linenumber * 10 + 5 + l_orderkey % 9 AS e FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+def _ranges(spark, d):
+    rows = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    return rows.select("l_orderkey", "l_linenumber", "part", _big(F.col("l_linenumber") * 10).alias("s"), _big(F.col("l_linenumber") * 10 + 5 + F.col("l_orderkey") % 9).alias("e"))
+
+
+def _points(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), _big(F.col("o_custkey") % 75).alias("at"))
+
+
+POINTS_SQL = "SELECT o_orderkey AS l_orderkey, o_custkey % 75 AS at FROM orders"
+
+
+@query(f"SELECT p.l_orderkey, (SELECT arg_max(r.l_linenumber, r.s) FROM ({RANGES_SQL}) r WHERE r.l_orderkey = p.l_orderkey AND r.s <= p.at) AS line FROM ({POINTS_SQL}) p")
+def node_before(spark, d):
+    return P.before(_ranges(spark, d), _points(spark, d), "l_orderkey", "s", "at", F.col("l_linenumber")).select("l_orderkey", F.col("found").alias("line"))
+
+
+@query(f"SELECT p.l_orderkey, (SELECT min(r.l_linenumber) FROM ({RANGES_SQL}) r WHERE r.l_orderkey = p.l_orderkey AND r.e > p.at) AS line FROM ({POINTS_SQL}) p")
+def owner_of_position(spark, d):
+    """The first range that does not end before a place."""
+    return P.owner_of(_ranges(spark, d), _points(spark, d), "l_orderkey", "e", "l_linenumber", "at", F.col("l_linenumber")).select("l_orderkey", F.col("found").alias("line"))
+
+
+@query(f"SELECT p.l_orderkey, string_agg(CAST(r.l_linenumber AS VARCHAR), '>' ORDER BY r.s, r.e DESC) AS spine FROM ({POINTS_SQL}) p JOIN ({RANGES_SQL}) r ON r.l_orderkey = p.l_orderkey AND p.at > r.s AND p.at <= r.e GROUP BY p.l_orderkey")
+def spine_at_offset(spark, d):
+    """All ranges around a place, outermost first."""
+    got = P.spine(_ranges(spark, d), _points(spark, d), "s", "e", "at", 10, ["l_orderkey"], F.col("l_linenumber").cast("string"))
+    return got.select("l_orderkey", F.array_join("spine", ">").alias("spine"))
+
+
+@query(f"SELECT p.l_orderkey, arg_max(r.l_linenumber, r.s) AS line FROM ({POINTS_SQL}) p JOIN ({RANGES_SQL}) r ON r.l_orderkey = p.l_orderkey AND p.at >= r.s AND p.at < r.e GROUP BY p.l_orderkey")
+def scope_of_position(spark, d):
+    """The innermost range that holds a place."""
+    pairs = P.stab(_ranges(spark, d), _points(spark, d), "s", "e", "at", 10, ["l_orderkey"])
+    return P.deepest(pairs, ["l_orderkey"], ["s"], F.col("l_linenumber")).select("l_orderkey", F.col("found").alias("line"))
+
+
+@query("SELECT user_id, string_agg(event_type || repeat('[]', lvl), '|' ORDER BY first_id) AS types FROM (SELECT user_id, event_type, min(event_id) AS first_id, CASE WHEN min(event_id) % 2 = 0 THEN 1 ELSE 0 END AS lvl FROM (SELECT * FROM events) GROUP BY user_id, event_type) GROUP BY user_id")
+def type_union_shifted(spark, d):
+    """The union of the types of odd events and, one array level up, of even ones, each type where it comes first."""
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("es"))
+    one = lambda x: F.struct(x["event_type"].alias("fqn"), F.lit(0).cast("long").alias("array_level"))
+    acc = F.aggregate("es", F.array().cast("array<struct<fqn:string,array_level:bigint>>"), lambda a, x: N.shift_union(a, F.array(one(x)), F.when(x["event_id"] % 2 == 0, 1).otherwise(0)))
+    return e.select("user_id", N.types_text(acc).alias("types"))
+
+
+@query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS r FROM part) WHERE r = 1")
+def unique_values(spark, d):
+    return S.unique_first(_t(spark, d, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", ["p_name", "p_partkey"])
+
+
+@query("SELECT page_id, url FROM pages WHERE starts_with(replace(url, 'https://', 'file://'), 'file://')")
+def navigatable_places(spark, d):
+    return _t(spark, d, "pages").where(N.navigatable(F.replace("url", F.lit("https://"), F.lit("file://")))).select("page_id", "url")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def in_literal_set(spark, d):
+    return _t(spark, d, "orders").where(S.in_set(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "1-URGENT"])).select("o_orderkey")
+
+
+@query(
+    "SELECT page_id, concat_ws('-', ss[len(ss)], array_to_string(list_transform(ss[1:len(ss)-1], lambda x: x[1]), ''), left(md5(url), 8)) AS short FROM (SELECT page_id, url, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS ss FROM pages)"
+)
+def short_uri_id(spark, d):
+    return _t(spark, d, "pages").select("page_id", N.short_id(F.col("url")).alias("short"))
+
+
+KINDS_SQL = "SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'change' WHEN 'purchase' THEN 'close' ELSE event_type END AS kind FROM events"
+
+
+def _kinds(spark, d):
+    kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "change").when(F.col("event_type") == "purchase", "close").otherwise(F.col("event_type"))
+    return _t(spark, d, "events").select("user_id", "event_id", kind.alias("kind"))
+
+
+@query(f"SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM ({KINDS_SQL}) WHERE kind IN ('open', 'change', 'close')) WHERE r = 1 AND kind <> 'close'")
+def open_documents(spark, d):
+    return Y.open_documents(_kinds(spark, d), "user_id", "event_id", "kind").select("user_id", "event_id", "kind")
+
+
+@query(
+    "SELECT event_id, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) OVER w, 0) AS BIGINT) AS wave, max(CASE WHEN event_type <> 'view' THEN event_id END) OVER w AS waits_for FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+)
+def ordered_dispatch(spark, d):
+    """Views are parallel; everything else lets what follows wait."""
+    return Y.dispatch(_t(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "view").select("event_id", "wave", "waits_for")
+
+
+@query(f"WITH k AS ({KINDS_SQL}) SELECT event_id FROM k a WHERE kind = 'change' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.kind = 'close' AND b.user_id = a.user_id AND b.event_id % 10 = a.event_id % 10 AND b.event_id > a.event_id)")
+def cancelled_requests(spark, d):
+    k = _kinds(spark, d).withColumn("number", F.col("event_id") % 10)
+    return Y.cancelled(k.where("kind = 'change'"), k.where("kind = 'close'"), "user_id", "number", "event_id").select("event_id")
+
+
+@query(
+    "SELECT d.doc_id AS uri, coalesce(string_agg(CAST(m.line AS VARCHAR), ',' ORDER BY m.line), '') AS lines FROM documents d LEFT JOIN (SELECT doc_id, i - 1 AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(ls[i], 'password')) m ON m.doc_id = d.doc_id WHERE d.doc_id % 3 = 0 GROUP BY d.doc_id"
+)
+def publish_lists(spark, d):
+    """The full list of each document of a batch (here: a third of them), empty ones too."""
+    from .streaming import publish
+
+    docs = _t(spark, d, "documents")
+    found = docs.select(F.col("doc_id").alias("uri"), F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).where(F.contains("t", F.lit("password"))).select("uri", "line")
+    batch = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("uri"))
+    return publish.by_document(found, batch).select("uri", F.array_join("diagnostics.line", ",").alias("lines"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BS = "\\"
-#: Native types and magic names that never take a namespace, and spelling aliases.
-NATIVES = (
-    "string int float bool array object mixed void null callable iterable resource boolean integer double false true self static $this".split() + ["__DIR__", "__FILE__"]
-)
+#: Names that never take a namespace, and spelling aliases.
+NATIVES = tuple("mixed null bool true false int float real double string binary array object callable void static $this __DIR__ __FILE__".split())
+#: Names of the scope of the access itself, and of its parent.
+RELATIVE, PARENT = ("static", "self", "$this"), ("parent",)
 ALIASES = {"boolean": "bool", "integer": "int"}
 VISIBILITY = ("public", "protected", "private")
 
@@ -31,8 +31,25 @@ def namespace_of(fqn: Column) -> Column:
     return F.when(head == "", F.lit(BS)).otherwise(head)
 
 
+def is_relative(name: Column) -> Column:
+    return name.isin(*RELATIVE)
+
+
+def is_parent(name: Column) -> Column:
+    return name.isin(*PARENT)
+
+
+def is_empty_type(t: Column) -> Column:
+    return t["fqn"].isin("", BS)
+
+
+def is_empty_types(types: Column) -> Column:
+    """A type set without any named type."""
+    return ~F.exists(types, lambda t: ~is_empty_type(t))
+
+
 def is_qualified(name: Column) -> Column:
-    return name.startswith(BS) | name.isin(NATIVES)
+    return name.startswith(BS) | name.isin(*NATIVES)
 
 
 def qualify(name: Column, namespace: Column) -> Column:
@@ -79,6 +96,12 @@ def type_union(types: Column) -> Column:
     return F.aggregate(types, F.slice(types, 1, 0), lambda acc, t: F.when(F.exists(acc, lambda a: a["fqn"] == t["fqn"]), acc).otherwise(F.concat(acc, F.array(t))))
 
 
+def shift_union(types: Column, more: Column, levels: Column | int) -> Column:
+    """The union after ``levels`` were added to the array level of each type of ``more``."""
+    up = F.transform(more, lambda t: F.struct(t["fqn"].alias("fqn"), (t["array_level"] + levels).cast("long").alias("array_level")))
+    return type_union(F.concat(types, up))
+
+
 def types_text(types: Column) -> Column:
     return F.array_join(F.transform(F.filter(types, lambda t: ~t["fqn"].isin("", BS)), type_text), "|")
 
@@ -115,13 +138,32 @@ def canonical_uri(uri: Column, root: str) -> Column:
 
 
 def path_to_uri(path: Column) -> Column:
-    """file:// URI with each segment percent-encoded."""
-    encoded = F.transform(F.split(path, "/"), lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")))
+    """file:// URI with each segment percent-encoded; a drive letter gets a slash before it and keeps its colon."""
+    path = F.replace(path, F.lit(BS), F.lit("/"))
+    path = F.when(F.regexp_like(path, F.lit("^[A-Za-z]:")), F.concat(F.lit("/"), path)).otherwise(path)
+    encoded = F.transform(F.split(path, "/"), lambda s: F.when(F.regexp_like(s, F.lit("^[A-Za-z]:$")), s).otherwise(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))))
     return F.concat(F.lit("file://"), F.array_join(encoded, "/"))
 
 
 def uri_to_path(uri: Column) -> Column:
-    return F.array_join(F.transform(F.split(F.regexp_replace(uri, "^file://", ""), "/"), lambda s: F.url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))), "/")
+    return F.array_join(F.transform(F.split(F.regexp_replace(F.regexp_replace(uri, "^file://", ""), "^/([A-Za-z]:)", "$1"), "/"), lambda s: F.url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))), "/")
+
+
+def short_id(uri: Column) -> Column:
+    """Last segment, initials of the segments before it and eight digits of a hash: a short name of a uri."""
+    segments = F.split(F.regexp_replace(uri, "^[a-z]+://", ""), "/")
+    initials = F.array_join(F.transform(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))), lambda s: F.substring(s, 1, 1)), "")
+    return F.concat_ws("-", F.element_at(segments, -1), initials, F.substring(F.md5(uri.cast("binary")), 1, 8))
+
+
+def query_decode(text: Column) -> Column:
+    """A uri as it stands in a query: a plus is no space, colons may be escaped."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def navigatable(uri: Column) -> Column:
+    """Places that an editor can open; those of bundled sources are not."""
+    return uri.startswith("file://")
 
 
 def insert_text(full: Column, typed: Column) -> Column:

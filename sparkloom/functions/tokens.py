@@ -1,4 +1,4 @@
-"""Identifier tokens: native for ASCII names, exact (also for bytes that are no UTF-8) in Python."""
+"""Identifier tokens, as a native column and for one name: segments by character class, cut by one pattern."""
 
 from __future__ import annotations
 
@@ -11,62 +11,42 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
 
-def ascii_tokens(name: Column) -> Column:
-    """[name, name without outer underscores, its segments by case, digits and underscores but the leading one], lower-cased, first of each."""
-    bare = F.btrim(name, F.lit("_"))
-    segments = F.regexp_extract_all(name, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"), F.lit(0))
-    inner = F.when(F.regexp_like(name, F.lit("^[A-Za-z0-9]")), F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0)))).otherwise(segments)
-    return F.array_distinct(F.filter(F.transform(F.concat(F.array(name, bare), inner), F.lower), lambda t: t != ""))
+def segment_pattern(bad: str) -> str:
+    """A segment and the underscore behind it: other characters with the upper-case one before them, or upper-case ones that no
+    other one follows, or digits.  ``bad`` are characters that stand for bytes that are no text; like underscores they only part."""
+    other = rf"[^\p{{Lu}}\p{{Nd}}_{bad}]"
+    return rf"(?:\p{{Lu}}?{other}+|\p{{Lu}}+(?!{other})|\p{{Nd}}+)_?"
+
+
+def tokens(name: Column) -> Column:
+    """[name, name without outer underscores, its segments], lower-cased, first of each.
+
+    A segment that an underscore follows counts from two characters on; any other one unless the name begins with it."""
+    segments = F.regexp_extract_all(name, F.lit(segment_pattern("\\x{FFFD}")), F.lit(0))
+    begins = F.regexp_like(name, F.lit("^[^_\\x{FFFD}]"))
+    kept = F.filter(segments, lambda s, i: F.when(s.endswith("_"), F.length(s) > 2).otherwise((i > 0) | ~begins))
+    parts = F.transform(kept, lambda s: F.rtrim(s, F.lit("_")))
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(name, F.btrim(name, F.lit("_"))), parts), F.lower), lambda t: t != ""))
+
+
+ascii_tokens = tokens
 
 
 def exact_tokens(name: bytes) -> list[bytes]:
-    """The token list of a name: itself, itself without outer underscores, and its segments.
-
-    A segment ends at an underscore, at a byte that is no UTF-8, between upper case and lower case before the last upper
-    character, and where the class of characters (upper, digit, other) changes; one that begins the name is not listed,
-    but an underscore lists what lies before it if that has more than one character."""
-    marks: list[tuple[int, int, int]] = []  # start, end, class of each character: 1 other, 2 upper, 3 digit, 4 underscore, 0 invalid
-    i = 0
-    while i < len(name):
-        for n in range(1, 5):
-            try:
-                ch = name[i : i + n].decode()
-            except UnicodeDecodeError:
-                continue
-            marks.append((i, i + n, 4 if ch == "_" else 2 if ch.isupper() else 3 if ch.isdigit() else 1))
-            i += n
-            break
-        else:
-            marks.append((i, i + 1, 0))
-            i += 1
-    out = [name, name.strip(b"_")]
-    start, previous, kind, last, restart = 0, 0, 0, 0, False
-    for at, end, k in marks:
-        if k == 0:
-            if 0 < start < at and not restart:
-                out.append(name[start:at])
-            restart = True
-            continue
-        if restart:
-            start, restart = at, False
-        if k == 4:
-            if start < last:
-                out.append(name[start : next(e for a, e, _ in marks if a == last)])
-            kind, start, previous, last = 0, end, end, at
-            continue
-        if kind and k != kind:
-            if kind == 2 and k == 1:
-                if start != previous and start:
-                    out.append(name[start:previous])
-                start = previous
-            else:
-                if start:
-                    out.append(name[start:at])
-                start = at
-        kind, previous, last = k, at, at
-    if start and not restart and start < len(name):
-        out.append(name[start:])
-    return list(dict.fromkeys(t for t in out if t))
+    """The same list of one name, not lower-cased, which may hold bytes that are no UTF-8."""
+    import regex
+
+    text = name.decode("utf-8", "surrogateescape")
+    found = [(m.start(), m.group()) for m in regex.finditer(segment_pattern("\udc80-\udcff"), text)]
+    parts = [s.rstrip("_") for at, s in found if (len(s) > 2 if s.endswith("_") else at > 0)]
+    return [t.encode("utf-8", "surrogateescape") for t in dict.fromkeys([text, text.strip("_"), *parts]) if t]
+
+
+def may_match(text: Column, pattern: str) -> Column:
+    """Whether a text holds a pattern's characters in order (case ignored): all that a fuzzy score needs to be positive."""
+    import re
+
+    return F.regexp_like(F.lower(text), F.lit("(?s)" + ".*".join(re.escape(c) for c in pattern.lower())))
 
 
 def fuzzy_score(text: str, pattern: str) -> int:

@@ -44,10 +44,20 @@ def closure_loop(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(*paths) if paths else frontier.withColumn("depth", F.lit(0).cast("long"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none and runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def whole_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """closure_loop in the folder that driver and executors share; a temporary one only where the session names none."""
-    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return closure_loop(edges, seeds, f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}")
+    """closure_loop in the folder that driver and executors share."""
+    return closure_loop(edges, seeds, f"{shared_folder(edges.sparkSession)}/closure-{uuid.uuid4().hex}")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,26 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lines whose offsets are summed in one run; longer texts sum the runs first, so no array is grown line by line.
+RUN = 256
+BREAK = r"\r\n|\n|\r"
+
+
+def _before(lengths: Column) -> Column:
+    """Of each length the sum of those before it."""
+    grown = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    return F.slice(grown, F.lit(1), F.size(lengths))
+
+
 def line_starts(text: Column) -> Column:
     """Offsets (characters, from 0) at which lines begin; LF, CRLF and CR end a line."""
-    lines = F.split(text, r"\r\n|\n|\r", -1)
-    ends = F.regexp_extract_all(text, F.lit(r"\r\n|\n|\r"), F.lit(0))
-    lengths = F.zip_with(lines, ends, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
-    grown = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.slice(grown, 1, F.size(lines))
+    lines, ends = F.split(text, BREAK, -1), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
+    lengths = F.zip_with(lines, ends, lambda a, b: (F.length(a) + F.coalesce(F.length(b), F.lit(0))).cast("long"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / RUN).cast("int")), lambda r: F.slice(lengths, r * RUN + 1, F.lit(RUN)))
+
+    def placed(runs: Column) -> Column:
+        sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, n: a + n))
+        return F.flatten(F.zip_with(runs, _before(sums), lambda r, first: F.transform(_before(r), lambda x: x + first)))
+
+    return F.get(F.transform(F.array(runs), placed), F.lit(0))
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, start, length): explode first, running sum over the lines of a document after."""
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\n|\r", -1)).alias("line", "t"), F.regexp_extract_all(F.col(text), F.lit(r"\r\n|\n|\r"), F.lit(0)).alias("e"))
-    n = F.length("t") + F.coalesce(F.length(F.get("e", F.col("line"))), F.lit(0))
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select(key, F.col("line").cast("long").alias("line"), F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long").alias("start"), F.length("t").cast("long").alias("length"))
+    """(key, line, start, length): the starts are an array of the document, so nothing is shuffled."""
+    per = docs.select(key, line_starts(F.col(text)).alias("s"), F.transform(F.split(F.col(text), BREAK, -1), F.length).alias("n"))
+    rows = per.select(key, F.posexplode(F.arrays_zip("s", "n")).alias("line", "z"))
+    return rows.select(key, F.col("line").cast("long").alias("line"), F.col("z.s").alias("start"), F.col("z.n").cast("long").alias("length"))
+
+
+def position_offset(text: Column, line: Column, character: Column) -> Column:
+    """Offset (characters) of a position: the start of its line and the characters in it, at most the text's end."""
+    starts = line_starts(text)
+    return F.when(line >= F.size(starts), F.length(text).cast("long")).otherwise(F.least(F.get(starts, line.cast("int")) + character, F.length(text).cast("long")))
 
 
 def offset_line(text: Column, offset: Column) -> Column:
     """Line of an offset: breaks before it, without any join."""
-    return F.regexp_count(F.substring(text, F.lit(1), offset.cast("int")), F.lit(r"\r\n|\n|\r")).cast("long")
+    return F.regexp_count(F.substring(text, F.lit(1), offset.cast("int")), F.lit(BREAK)).cast("long")
 
 
 def as_of(versions: DataFrame, probes: DataFrame, key: str, at: str, value: Column, inclusive: bool = True, tie: str | None = None) -> DataFrame:
@@ -57,3 +77,38 @@ def deepest(pairs: DataFrame, keys: list[str], order: list[str], value: Column)
 def active_parameter(ends: Column, at: Column) -> Column:
     """Number of ranges that end at or before a position."""
     return F.size(F.filter(ends, lambda e: e <= at)).cast("long")
+
+
+def ordered_versions(versions: DataFrame, key: str, start: str, seq: str, value: Column) -> DataFrame:
+    """(key, versions): of each key an array by start; equal starts stay in the order they came."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(start).alias("start"), F.col(seq).alias("seq"), value.alias("value"))))
+    return versions.groupBy(key).agg(F.transform(listed, lambda v: F.struct(v["start"].alias("start"), v["value"].alias("value"))).alias("versions"))
+
+
+def as_of_or_first(blocks: DataFrame, probes: DataFrame, key: str, at: str, value: Column) -> DataFrame:
+    """Probes with the last block of their key that starts before them; where none does, its first."""
+    first = blocks.groupBy(key).agg(F.min_by(value, at).alias("_first"))
+    return as_of(blocks, probes, key, at, value, inclusive=False).join(first, key, "left").withColumn("found", F.coalesce("found", "_first")).drop("_first")
+
+
+def before(nodes: DataFrame, points: DataFrame, key: str, start: str, at: str, value: Column) -> DataFrame:
+    """Points with the last node (in order of start) that starts before them or holds them."""
+    return as_of(nodes.withColumnRenamed(start, at), points, key, at, value, inclusive=True)
+
+
+def owner_of(ranges: DataFrame, points: DataFrame, key: str, end: str, order: str, at: str, value: Column) -> DataFrame:
+    """Points with the first range (in order) that does not end before them; it may begin after them.
+
+    Ranges are ordered by their ends too, so the first with an end beyond the point is the as-of lookup run from the back."""
+    r = ranges.select(key, (-F.col(end)).alias(at), F.struct(F.col(order).alias("o"), value.alias("v")).alias("_x"))
+    p = points.withColumn("_at", F.col(at)).withColumn(at, -F.col(at))
+    found = as_of(r, p, key, at, F.col("_x"), inclusive=False)
+    return found.withColumn(at, F.col("_at")).withColumn("found", F.col("found.v")).drop("_at")
+
+
+def spine(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, cell: int, keys: list[str], value: Column) -> DataFrame:
+    """Points with all ranges whose (start, end] holds them, outermost first."""
+    shifted = points.withColumn("_p", F.col(at)).withColumn(at, F.col(at) - 1)
+    held = stab(ranges, shifted, start, end, at, cell, keys)
+    chain = F.transform(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e"), value.alias("v")))), lambda x: x["v"])
+    return held.groupBy(*keys, F.col("_p").alias(at)).agg(chain.alias("spine"))

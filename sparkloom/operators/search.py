@@ -70,3 +70,15 @@ def union_kinds(kinds: list[tuple[str, DataFrame]]) -> DataFrame:
         df = df.withColumns({"kind": F.lit(name), "kind_ord": F.lit(i).cast("long")})
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def in_set(column: Column, values: list) -> Column:
+    """Membership in a list, each value once."""
+    return column.isin(*dict.fromkeys(values)) if values else F.lit(False)
+
+
+def unique_first(found: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of each key the first row in order, as the values of a completion are listed once."""
+    others = [c for c in found.columns if c != key]
+    best = found.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_r"))
+    return best.select(key, *[F.col("_r")[c].alias(c) for c in others])

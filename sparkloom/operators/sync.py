@@ -56,3 +56,24 @@ def edit_fold(edits: DataFrame, key: str, order: str, base: DataFrame | None = N
         folded = folded.join(base.select(key, F.col("text").alias("_t")), key, "left")
     first = F.coalesce(F.col("_t"), F.lit("")) if base is not None else F.lit("")
     return folded.select(key, F.aggregate("e", first, lambda t, x: splice(t, x["start"], x["end"], x["text"])).alias("text"))
+
+
+def open_documents(events: DataFrame, key: str, order: str, kind: str) -> DataFrame:
+    """Documents whose last event is not `close`, with all columns of it: what an editor holds in memory."""
+    return latest(events.where(F.col(kind).isin("open", "change", "close")), [key], [order]).where(F.col(kind) != "close")
+
+
+def dispatch(requests: DataFrame, connection: str, order: str, parallel: Column) -> DataFrame:
+    """Adds `wave` and `waits_for`: a request starts when those before it have finished or declared themselves parallel.
+
+    A wave is a run of parallel requests and the one after it, which all may start together; waits_for is the last request of
+    the connection that is not parallel, which must have finished (null: none)."""
+    before = Window.partitionBy(connection).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.when(parallel, F.lit(None)).otherwise(F.col(order))
+    return requests.withColumns({"wave": F.coalesce(F.sum(F.when(parallel, 0).otherwise(1)).over(before), F.lit(0)).cast("long"), "waits_for": F.max(alone).over(before)})
+
+
+def cancelled(requests: DataFrame, cancels: DataFrame, connection: str, number: str, order: str) -> DataFrame:
+    """Requests without those that a later cancel of the same connection names."""
+    last = cancels.groupBy(connection, number).agg(F.max(order).alias("_c"))
+    return requests.join(last, [connection, number], "left").where(F.col("_c").isNull() | (F.col("_c") < F.col(order))).drop("_c")

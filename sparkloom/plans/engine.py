@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import tokens as T
 from ..operators import hierarchy as H
+from ..operators import references as R
 from ..operators import search as S
 from ..operators import sync as Y
 from ..sources import php
 
+#: Bundled sources have uris of this scheme.
+STUBS = "loomstubs"
 #: Kinds in the order of workspace results; members have an owner.
 KINDS = ("class", "const", "class_const", "define", "function", "interface", "method", "property", "trait")
 MEMBERS = ("class_const", "method", "property")
-VERSION = (0, 1, 0)
+#: Version of the tables that are written, and the oldest that is read; an older catalog is cleared.
+VERSION, OLDEST = (0, 2, 0), (0, 2, 0)
 
 
 def symbol_key(df: DataFrame) -> Column:
@@ -31,7 +35,7 @@ class Catalog:
     """Tables of one code base."""
 
     def __init__(self, rows: DataFrame):
-        self.rows = rows
+        self.rows, self._memo = rows, {}
         self.symbols = rows.where("tag = 'symbol'").withColumn("symbol_key", symbol_key(rows)).withColumn("lookup_key", F.when(F.col("kind") == "class", N.lookup_key(F.col("fqn"))).when(F.col("kind") == "method", F.lower("name")).otherwise(F.col("fqn")))
         self.edges = rows.where("tag = 'edge'").select("uri", "kind", F.col("fqn").alias("child"), F.col("value").alias("parent"), F.col("name").cast("int").alias("ord"))
         self.references = rows.where("tag = 'reference'").select("uri", F.col("fqn").alias("ref"), "start_line", "start_char", "end_line", "end_char")
@@ -40,16 +44,65 @@ class Catalog:
         self.accesses = rows.where("tag = 'access'")
 
     @classmethod
-    def of_folder(cls, spark: SparkSession, folder: str) -> Catalog:
-        return cls(php.extract(php.scan(spark, folder)))
+    def of_folder(cls, spark: SparkSession, folder: str, stubs: str | None = None) -> Catalog:
+        """The code below a folder, and bundled sources below another."""
+        files = php.scan(spark, folder)
+        if stubs:
+            files = files.unionByName(php.scan(spark, stubs, STUBS))
+        return cls(php.extract(files))
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Catalog:
+        return cls(spark.createDataFrame([], php.SCHEMA))
 
     def save(self, path: str) -> None:
-        """Parquet by tag, so each table is a partition that a reader prunes to."""
-        self.rows.repartition("tag", "uri").sortWithinPartitions("fqn").write.mode("overwrite").partitionBy("tag").option("loom.version", ".".join(map(str, VERSION))).parquet(path)
+        """Parquet by tag, so each table is a partition that a reader prunes to; the version beside it."""
+        self.rows.repartition("tag", "uri").sortWithinPartitions("fqn").write.mode("overwrite").partitionBy("tag").parquet(f"{path}/rows")
+        write_version(self.rows.sparkSession, path, VERSION)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
-        return cls(spark.read.parquet(path).select(*php.COLUMNS))
+        """The saved catalog; one of a version before OLDEST is cleared and comes back empty."""
+        migrate(spark, path)
+        return cls(spark.read.schema(php.SCHEMA).parquet(f"{path}/rows").select(*php.COLUMNS))
+
+    @staticmethod
+    def clear(spark: SparkSession, path: str) -> None:
+        """Takes every row away; the catalog stays readable."""
+        spark.createDataFrame([], php.SCHEMA).write.mode("overwrite").parquet(f"{path}/rows")
+
+    def with_document(self, uri: str, text: str) -> Catalog:
+        """The catalog with a document as an editor holds it, read or not before."""
+        spark = self.rows.sparkSession
+        one = spark.createDataFrame([(uri, text)], "uri string, content string")
+        return Catalog(Y.replace_documents(self.rows, php.extract(one), one.select("uri")))
+
+    def document(self, uri: str, files: DataFrame | None = None) -> DataFrame:
+        """All rows of a document: those held, else read from the files that are given."""
+        held = self.rows.where(F.col("uri") == uri)
+        if files is None or not held.isEmpty():
+            return held
+        return php.extract(files.where(F.col("uri") == uri))
+
+    def manifest(self, uri: str) -> DataFrame:
+        """The symbols that a document defines."""
+        return self.symbols.where(F.col("uri") == uri).select("kind", "owner", "fqn", "symbol_key", "seq").orderBy("seq")
+
+    def memo(self, name: str, make) -> DataFrame:
+        """A frame that several requests use: made and kept once for this catalog."""
+        if name not in self._memo:
+            self._memo[name] = make().persist()
+        return self._memo[name]
+
+    def forget(self) -> None:
+        for frame in self._memo.values():
+            frame.unpersist()
+        self._memo.clear()
+
+    def sync_stubs(self, folder: str, stored: DataFrame) -> Catalog:
+        """The catalog after the bundled sources whose digest differs from the stored one were read again; none of the others goes."""
+        new = Y.changed(php.scan(self.rows.sparkSession, folder, STUBS), stored)
+        return Catalog(Y.replace_documents(self.rows, php.extract(new), new.select("uri")))
 
     def sync(self, files: DataFrame, stored: DataFrame) -> Catalog:
         """The catalog after a new listing (uri, content, sha1): changed files are read again, missing ones go, the rest stays."""
@@ -72,10 +125,10 @@ class Catalog:
 
     def tokens(self, kind: str) -> DataFrame:
         name = F.when(F.col("kind") == "property", F.expr("substring(name, 2)")).otherwise(F.col("name"))
-        return S.token_index(self.symbols.where(F.col("kind") == kind), name, F.col("symbol_key"), T.ascii_tokens)
+        return S.token_index(self.symbols.where(F.col("kind") == kind), name, F.col("symbol_key"), T.tokens)
 
-    def search(self, kind: str, keyword: str, limit: int = S.LIMIT) -> DataFrame:
-        """Symbols of a kind by a keyword, which may name a scope: its tokens are looked up in the token index."""
+    def _found(self, kind: str, keyword: str) -> tuple[DataFrame, list[str]]:
+        """Symbols of a kind by a keyword, which may name a scope, and their order: its tokens are looked up in the token index."""
         scope, _, short = keyword.rpartition("\\")
         scope = "" if not scope and not keyword.startswith("\\") else scope or "\\"
         words = [t.decode() for t in T.exact_tokens(short.lower().encode())] or [""]
@@ -83,19 +136,52 @@ class Catalog:
         symbols = self.symbols.where(F.col("kind") == kind)
         if scope and kind == "class":
             root = "\\" if scope == "\\" else ("" if scope.startswith("\\") else "\\") + scope + "\\"
-            return symbols.where(F.col("fqn").startswith(root) & F.contains("name", F.lit(short))).orderBy("lookup_key", "uri").limit(limit)
+            return symbols.where(F.col("fqn").startswith(root) & F.contains("name", F.lit(short))), ["lookup_key", "uri"]
         if not short and kind in ("class_const", "property") and scope:
-            return symbols.where(owner == scope).orderBy("name").limit(limit)
+            return symbols.where(owner == scope), ["name"]
         if not short and kind == "method":
-            return symbols.limit(0)
+            return symbols.limit(0), ["name"]
         found = S.token_search(self.tokens(kind), words, None).join(symbols, "symbol_key")
-        return (found.where(owner == scope) if scope else found).orderBy("word_ord", "token", "symbol_key").limit(limit).select(symbols.columns)
+        return (found.where(owner == scope) if scope else found), ["word_ord", "token", "symbol_key"]
+
+    def search(self, kind: str, keyword: str, limit: int = S.LIMIT) -> DataFrame:
+        """The first symbols of a kind that a keyword finds."""
+        found, order = self._found(kind, keyword)
+        return found.orderBy(*order).limit(limit).select(self.symbols.columns)
+
+    def search_limited(self, kind: str, keyword: str, limit: int = S.LIMIT) -> DataFrame:
+        """As search, with `is_complete`: whether these are all."""
+        found, order = self._found(kind, keyword)
+        return S.limited(found, order, limit).select(*self.symbols.columns, "is_complete")
+
+    def globals(self, name: str) -> DataFrame:
+        """Global variables of a name."""
+        return self.symbols.where((F.col("kind") == "global") & (F.col("name") == name))
+
+    def fuzzy_members(self, kind: str, classes: DataFrame, word: str) -> DataFrame:
+        """Members of classes or interfaces with those they inherit that a word matches, with its score; all for an empty word."""
+        from .cursor import fuzzy
+
+        return fuzzy(self.inherited(kind, classes), "name", word)
+
+    def relations(self, classes: DataFrame) -> DataFrame:
+        """(one, other): pairs of a class (column ``seed``) and those it inherits from, both ways round."""
+        up = H.whole_closure(self.edges.where("kind = 'extends'").select("child", "parent"), classes).where("depth > 0")
+        return up.select(F.col("seed").alias("one"), F.col("node").alias("other")).unionByName(up.select(F.col("node").alias("one"), F.col("seed").alias("other"))).distinct()
 
     def workspace_symbols(self, keyword: str, limit: int = S.LIMIT) -> DataFrame:
         if not keyword:
             return S.union_kinds([(k, self.symbols.limit(0).drop("kind")) for k in KINDS])
         return S.union_kinds([(k, self.search(k, keyword, limit).drop("kind")) for k in KINDS])
 
+    def filters(self) -> DataFrame:
+        """The membership filter of each document's references, to be kept beside the catalog."""
+        return R.filters(self.references, "uri", "ref")
+
+    def find_filtered(self, stored: DataFrame, refs: list[str]) -> DataFrame:
+        """Places of references, by the filters kept of the documents first."""
+        return R.search(self.references, stored, "uri", "ref", refs)
+
     def namespaces(self) -> DataFrame:
         """(scope, token, ns): each part of a namespace under its parent scope."""
         ns = self.rows.where("tag = 'namespace' and fqn <> '\\\\'").select("fqn").distinct()
@@ -132,12 +218,14 @@ class Catalog:
         ok = H.instance_access(F.col("visibility"), F.col("owner"), F.lit(current), F.col("seed") == current, F.lit(via_this))
         return H.first_wins(rows.where(ok), ["seed", "name"], list(self.ORDER))
 
-    def static_members(self, kind: str, classes: DataFrame, current: str = "", how: str = "name") -> DataFrame:
-        """What ``X::`` reaches; how: parent, relative or name. Constants count as static."""
-        rows = self.inherited(kind, classes)
+    def static_members(self, kind: str, classes: DataFrame, current: str = "", how: str = "name", related: bool = False) -> DataFrame:
+        """What ``X::`` reaches; how: parent, relative or name. Constants count as static.
+
+        Protected members of classes that the named one inherits from are reached too: constants always, others where ``related`` asks for it."""
+        rows = self.inherited(kind, classes).withColumn("related", (F.col("of") != F.col("seed")) & F.lit(related or kind == "class_const"))
         static = F.lit(True) if kind == "class_const" else F.coalesce("is_static", F.lit(False))
-        ok = H.static_access(F.col("visibility"), static, F.col("owner"), F.lit(current), F.lit(how), F.col("seed") == F.col("owner"))
-        return H.first_wins(rows.where(ok), ["seed", "name"], list(self.ORDER))
+        ok = H.static_access(F.col("visibility"), static, F.col("owner"), F.lit(current), F.lit(how), F.col("seed") == F.col("owner"), F.col("related"))
+        return H.first_wins(rows.where(ok).drop("related"), ["seed", "name"], list(self.ORDER))
 
     def constructor(self, classes: DataFrame) -> DataFrame:
         rows = self.inherited("method", classes).where("lower(name) = '__construct' and visibility = 0")
@@ -186,3 +274,78 @@ class Catalog:
 
     def errors(self) -> DataFrame:
         return self.rows.where("tag = 'error'")
+
+
+def write_version(spark: SparkSession, path: str, version: tuple[int, ...]) -> None:
+    spark.createDataFrame([(".".join(map(str, version)),)], "version string").write.mode("overwrite").json(f"{path}/version")
+
+
+def read_version(spark: SparkSession, path: str) -> str:
+    """The version written beside a catalog; v0.0.0 where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.schema("version string").json(f"{path}/version").first()
+    except AnalysisException:
+        row = None
+    return row["version"] if row and row["version"] else "0.0.0"
+
+
+def migrate(spark: SparkSession, path: str) -> bool:
+    """Clears a catalog older than OLDEST and writes the version; whether it did. A version that cannot be read changes nothing."""
+    text = read_version(spark, path).lstrip("v")
+    if not all(p.isdigit() for p in text.split(".")) or tuple(map(int, text.split("."))) >= OLDEST:
+        return False
+    Catalog.clear(spark, path)
+    write_version(spark, path, VERSION)
+    return True
+
+
+class Workspace:
+    """Catalogs of several folders, by the root that a document's uri begins with."""
+
+    #: What the requests of an opened workspace cover.
+    CAPABILITIES = ("definition", "hover", "signatures", "references", "rename", "completion", "symbols", "outline", "diagnostics")
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.catalogs, self.streams = spark, {}, {}
+
+    def add(self, root: str, folder: str, saved: str | None = None, stubs: str | None = None) -> Catalog:
+        """Reads a folder (or what was saved of it, after the version gate) and serves it under a root."""
+        if saved:
+            catalog = Catalog.load(self.spark, saved)
+            if not catalog.rows.isEmpty():
+                self.catalogs[root] = catalog
+                return catalog
+        self.catalogs[root] = Catalog.of_folder(self.spark, folder, stubs)
+        if saved:
+            self.catalogs[root].save(saved)
+        return self.catalogs[root]
+
+    def remove(self, root: str) -> None:
+        """Ends what watches a root and lets go of its catalog."""
+        for stream in self.streams.pop(root, []):
+            stream.stop()
+        if root in self.catalogs:
+            self.catalogs.pop(root).forget()
+
+    def watch(self, root: str, stream) -> None:
+        """A running stream that is stopped with its root."""
+        self.streams.setdefault(root, []).append(stream)
+
+    def route(self, uri: str) -> Catalog | None:
+        """The catalog of the first root (in the order they were added) that the uri begins with."""
+        return next((c for root, c in self.catalogs.items() if uri.startswith(root)), None)
+
+    def routed(self, documents: DataFrame, uri: str = "uri") -> DataFrame:
+        return S.route(documents, uri, list(self.catalogs))
+
+    def open(self, roots: dict[str, str]) -> tuple[str, ...]:
+        """Adds all folders; gives what can be asked."""
+        for root, folder in roots.items():
+            self.add(root, folder)
+        return self.CAPABILITIES
+
+    def close(self) -> None:
+        for root in [*self.catalogs, *self.streams]:
+            self.remove(root)

@@ -1,7 +1,12 @@
 """PHP sources to rows: scan of folders, and a tagged-row extraction per file in Arrow batches.
 
-One row per declaration, hierarchy edge, import, reference and variable mark; files are independent, so the scan runs on as
-many tasks as there are splits and a file that does not parse gives what was read before the fault, and an ``error`` row.
+One row per declaration, hierarchy edge, import, reference, variable mark, scope, typed expression, argument list and argument;
+files are independent, so the scan runs on as many tasks as there are splits and a file that does not parse gives what was
+read before the fault, and an ``error`` row.
+
+A row with tag ``expr`` is a node of an expression that may have types: ``seq`` names it in its file, ``value`` is the node whose
+types it starts from (the object of an access, the last value of a variable, the collection of a loop), ``types`` are those that
+the text itself states.  Plans follow these links; the extraction resolves nothing but names.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
 SCHEMA = (
@@ -23,11 +30,11 @@ SCHEMA = (
     "visibility int, is_static boolean, modifier string, start_line int, start_char int, end_line int, end_char int, seq long"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-#: Words of the language that are never names, and its native types.
+#: Words of the language that are never names.
 KEYWORDS = frozenset(
     "abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile exit extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public require require_once return static switch throw trait try unset use var while xor yield".split()
 )
-NATIVES = frozenset("string int float bool array object mixed void null callable iterable resource boolean integer double false true self static $this parent".split())
+NATIVES = frozenset(N.NATIVES)
 MAGIC = {"self", "static", "parent", "$this"}
 LEX = re.compile(
     r"""(?P<doc>/\*\*.*?(?:\*/|\Z))|(?P<comment>/\*.*?(?:\*/|\Z)|//(?:(?!\?>)[^\r\n])*|\#(?!\[)(?:(?!\?>)[^\r\n])*)|(?P<close>\?>)"""
@@ -36,13 +43,20 @@ LEX = re.compile(
     r"""|(?P<number>\d[\w.]*)|(?P<space>\s+)|(?P<op>\?->|->|::|=>|\.\.\.|\*\*=?|<=>|===?|!==?|<=|>=|&&|\|\||\?\?=?|[-+*/.%&|^]=|\+\+|--|\#\[|.)""",
     re.S | re.M | re.X,
 )
+#: Nodes with an argument list of their own.
+CALLS = {"function", "method", "static_method", "new"}
 TAG = re.compile(r"@([\w-]+)[ \t]*([^\n]*)")
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(uri, content, sha1) of every .php file below a folder; bytes are not decoded here."""
+def scan(spark: SparkSession, folder: str, scheme: str | None = None) -> DataFrame:
+    """(uri, content, sha1) of every .php file below a folder; bytes are not decoded here.
+
+    With a scheme the files are bundled sources: their uris are the scheme and the path below the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.php").load(folder)
-    return files.select(F.col("path").alias("uri"), "content", F.sha1("content").alias("sha1"))
+    uri = F.col("path")
+    if scheme:
+        uri = F.concat(F.lit(scheme + "://"), F.regexp_extract("path", re.escape("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/") + "(.*)", 1))
+    return files.select(uri.alias("uri"), "content", F.sha1("content").alias("sha1"))
 
 
 class Token:
@@ -96,6 +110,9 @@ class Extractor:
         self.lines = [0] + [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
         self.namespace, self.imports, self.doc = "", {"class": {}, "function": {}, "const": {}}, None
         self.owner, self.parent, self.scope = "", "", 0
+        self.last, self.open, self.due, self.loose = None, [], [], False  # the node just read, open brackets, assignments, an operator since the last statement
+        self.versions: dict[int, dict[str, tuple]] = {}  # of each scope and variable: node it has its types from, types stated
+        self.place: tuple[str, Token | None, Token | None] = ("open", None, None)  # what a new import goes after
 
     # tokens
     def peek(self, k: int = 0) -> Token:
@@ -129,8 +146,11 @@ class Extractor:
         return "\\" + (self.namespace + "\\" if self.namespace else "") + short
 
     def class_name(self, name: str) -> str:
-        if name.startswith("\\") or name.lower() in NATIVES:
-            return {"self": self.owner, "static": self.owner, "$this": self.owner, "parent": self.parent}.get(name.lower(), name) or name
+        low = name.lower()
+        if low in N.RELATIVE or low in N.PARENT:
+            return (self.parent if low in N.PARENT else self.owner) or name
+        if name.startswith("\\") or low in NATIVES:
+            return name
         head, _, rest = name.partition("\\")
         if (full := self.imports["class"].get(head.lower())) is not None:
             self.row("use", "class", head, self.peek(-1))
@@ -150,13 +170,16 @@ class Extractor:
             return [self.imports[kind][key]]
         return list(dict.fromkeys(["\\" + name, self.fqn(name)]))
 
-    def type_list(self, text: str | None) -> str | None:
+    def type_list(self, text: str | None, late: bool = False) -> str | None:
+        """Resolved names of a type text; late: those that stand for the class of the access stay."""
         if not text:
             return None
         out = []
         for t in re.split(r"[|&]", text.lstrip("?").strip("()")):
             base = re.sub(r"(\[\])+$", "", t)
-            if re.fullmatch(r"\\?[\w\\\x80-\U0010ffff$]+", base):
+            if late and base in ("static", "$this"):
+                out.append(t)
+            elif re.fullmatch(r"\\?[\w\\\x80-\U0010ffff$]+", base):
                 out.append(self.class_name(base) + t[len(base) :])
         return "|".join(dict.fromkeys(out)) or None
 
@@ -169,10 +192,18 @@ class Extractor:
 
     # grammar
     def run(self) -> list[dict]:
+        self.row("scope", "file", "", Token("op", "", 0, len(self.text)), value="0")
+        begin = re.search(r"<\?(?:php\b|=)?", self.text, re.I)
+        if begin:
+            self.place = ("open", None, Token("op", "", begin.start(), begin.end()))
         try:
             self.statements(None)
         except RecursionError:
             self.row("error", "depth", "", self.peek())
+        kind, first, last = self.place
+        if last:
+            line = self.lines[self.position((first or last).start)[0]]
+            self.row("insert", kind, "", last, value=self.text[line : (first or last).start] if first else "", description="\r\n" if "\r\n" in self.text else "\n")
         return self.rows
 
     def statements(self, close: str | None) -> None:
@@ -195,10 +226,11 @@ class Extractor:
         if token.kind == "name" and self.peek(-1).text not in ("->", "?->", "::"):
             after = self.peek(1)
             if word == "namespace" and (after.kind == "name" or after.text == "{"):
-                self.i += 1
+                first = self.next()
                 self.namespace = self.next().text.strip("\\") if self.peek().kind == "name" else ""
                 self.imports = {"class": {}, "function": {}, "const": {}}
                 self.row("namespace", "namespace", self.namespace, self.peek(-1), fqn="\\" + self.namespace)
+                self.place = ("namespace", first, self.peek())
                 if self.take("{"):
                     self.statements("}")
                 return
@@ -225,8 +257,10 @@ class Extractor:
                 doc = self.take_doc()
                 while self.peek().kind == "var":
                     v = self.next()
-                    self.row("symbol", "global", v.text, v, fqn=v.text, types=self.type_list(doc.types("global") if doc else None))
+                    types = self.type_list(doc.types("global") if doc else None)
+                    self.row("symbol", "global", v.text, v, fqn=v.text, types=types)
                     self.mark(v, "declare")
+                    self.version(v.text, self.node("global", v.text, v, types=types)["seq"], None)
                     self.take(",")
                 return
         self.expression_token()
@@ -239,7 +273,7 @@ class Extractor:
         return self.text[self.t[start].start : self.t[i - 1].end] if i > start and start < len(self.t) else ""
 
     def use(self) -> None:
-        self.i += 1
+        first = self.next()
         kind = self.next().text.lower() if self.peek().text.lower() in ("function", "const") else "class"
         prefix = ""
         while self.peek().kind in ("name", "op") and self.peek().text != ";":
@@ -262,7 +296,8 @@ class Extractor:
                 alias = last.text
             self.imports[own][alias if own == "const" else alias.lower()] = full
             self.row("import", own, alias, name, last, fqn=full)
-        self.take(";")
+        if self.take(";"):
+            self.place = ("use", first, self.peek(-1))
 
     def names(self) -> Iterator[Token]:
         while self.peek().kind == "name":
@@ -274,8 +309,7 @@ class Extractor:
         doc, kind = self.take_doc(), "class" if anonymous else self.next().text.lower()
         before = self.owner, self.parent
         if anonymous:
-            line, char = self.position(anonymous.start)
-            name, token = f"anonClass#{hashlib.md5(self.uri.encode()).hexdigest()[:6]}#{line}:{char}", anonymous
+            name, token = self.anonymous(*self.position(anonymous.start)), anonymous
         else:
             token = self.next()
             name = token.text
@@ -293,6 +327,7 @@ class Extractor:
                     to = self.class_name(n.text)
                     self.parent = to if word == "extends" and kind == "class" else self.parent
                     self.row("edge", "extends" if word == "extends" else "implements", str(ord_), n, fqn=fqn, value=to)
+                    self.node("interface" if word == "implements" or kind == "interface" else "class", n.text, n, types=to)
                     self.reference("class", to, n)
         for t, v in doc.tags if doc else ():
             if t == "method" and (m := re.match(r"(static\s+)?(?:(\S+)\s+)?(\w+)\s*\(", v)):
@@ -304,6 +339,9 @@ class Extractor:
         row["end_line"], row["end_char"] = self.position(self.peek(-1).end)
         self.owner, self.parent = before
 
+    def anonymous(self, line: int, char: int) -> str:
+        return f"anonClass#{hashlib.md5(self.uri.encode()).hexdigest()[:6]}#{line}:{char}"
+
     def members(self) -> None:
         visibility, static, modifier, declared, start = 0, False, None, None, None
         while (token := self.peek()).kind != "end":
@@ -329,6 +367,7 @@ class Extractor:
                 for ord_, n in enumerate(self.names()):
                     to = self.class_name(n.text)
                     self.row("edge", "use", str(ord_), n, fqn=self.owner, value=to)
+                    self.node("trait", n.text, n, types=to)
                     self.reference("class", to, n)
                 if self.take("{"):
                     self.skip("}")
@@ -355,6 +394,7 @@ class Extractor:
                         self.expression_token()
                     self.take(",")
                 self.take(";")
+                self.state()
                 visibility, static, modifier, declared, start = 0, False, None, None, None
             elif token.kind == "name" or word in ("?", "|", "&", "(", ")"):
                 declared = (declared or "") if word in ("?", "|", "&", "(", ")") else "|".join(filter(None, [declared, self.class_name(token.text)]))
@@ -362,6 +402,7 @@ class Extractor:
             else:
                 self.i += 1
                 start = None
+        self.row("error", "syntax", "}", self.peek())
 
     def attribute(self) -> None:
         depth = 0
@@ -392,6 +433,7 @@ class Extractor:
                 self.expression_token()
             self.take(",")
         self.take(";")
+        self.state()
 
     def parameters(self, doc: Doc | None) -> list[str]:
         shown = []
@@ -405,6 +447,7 @@ class Extractor:
                 self.i += 1
                 own = "|".join(filter(None, [self.type_list(notes.get(t.text)), types]))
                 self.mark(t, "parameter", own or None)
+                self.version(t.text, self.node("parameter", t.text, t, types=own or None, modifier=str(self.scope))["seq"], None)
                 default = self.source_until(self.i + 1) if self.peek().text == "=" else None
                 shown.append(" ".join(filter(None, [own, t.text])) + (f" = {default}" if default else ""))
                 while self.peek().kind != "end" and self.peek().text not in (",", ")"):
@@ -415,12 +458,15 @@ class Extractor:
                 self.i += 1
                 name = self.class_name(t.text)
                 types = "|".join(filter(None, [types, name]))
+                self.type_node(t, name)
                 self.reference("class", name, t)
             elif t.text == "#[":
                 self.attribute()
             else:
                 self.i += 1
-        self.take(")")
+        if not self.take(")"):
+            self.row("error", "syntax", ")", self.peek())
+        self.state()
         return shown
 
     def function(self, kind: str, visibility: int = 0, static: bool = False, modifier: str | None = None) -> None:
@@ -430,20 +476,28 @@ class Extractor:
         n = self.next()
         fqn = n.text if kind == "method" else self.fqn(n.text)
         self.row("reference", kind, n.text, n, fqn=f".{n.text}()" if kind == "method" else fqn + "()")
-        row = self.row("symbol", kind, n.text, n, fqn=fqn, visibility=visibility, is_static=static, modifier=modifier, types=self.type_list(doc.types("return") if doc else None), **self.documented(doc))
-        outer, self.scope = self.scope, len(self.rows)
+        row = self.row("symbol", kind, n.text, n, fqn=fqn, visibility=visibility, is_static=static, modifier=modifier, types=self.type_list(doc.types("return") if doc else None, True), **self.documented(doc))
+        outer, self.scope, state = self.scope, len(self.rows), self.state()
+        region = self.row("scope", kind, n.text, n, value=str(self.scope), fqn=str(outer))
         row["value"] = ", ".join(self.parameters(doc))
-        self.return_type()
+        declared = self.return_type()
+        row["types"] = row["types"] or declared
         self.body()
-        row["end_line"], row["end_char"] = self.position(self.peek(-1).end)
+        row["end_line"], row["end_char"] = region["end_line"], region["end_char"] = self.position(self.peek(-1).end)
         self.scope = outer
+        self.restore(state)
 
-    def return_type(self) -> None:
+    def return_type(self) -> str | None:
+        found = []
         if self.take(":"):
             while self.peek().kind == "name" or self.peek().text in ("?", "|", "&", "(", ")"):
                 t = self.next()
                 if t.kind == "name":
-                    self.reference("class", self.class_name(t.text), t)
+                    name = self.class_name(t.text)
+                    found.append(t.text.lower() if t.text.lower() == "static" else name)
+                    self.type_node(t, name)
+                    self.reference("class", name, t)
+        return "|".join(dict.fromkeys(found)) or None
 
     def body(self) -> None:
         if self.take("{"):
@@ -458,12 +512,134 @@ class Extractor:
     def mark(self, token: Token, kind: str, types: str | None = None) -> None:
         self.row("variable", kind, token.text, token, value=str(self.scope), types=types)
 
+    # expressions: nodes, their links, argument lists
+    def node(self, kind: str, name: str, token: Token, scope: int | None = None, types: str | None = None, **more) -> dict:
+        return self.row("expr", kind, name, token, value=None if scope is None else str(scope), types=types or None, **more)
+
+    def type_node(self, token: Token, name: str) -> None:
+        if name.lower() not in NATIVES:
+            self.node("type", token.text, token, types=name)
+
+    def version(self, name: str, node: int | None, types: str | None) -> None:
+        """A variable's types are from here on those of a node and those stated."""
+        self.versions.setdefault(self.scope, {})[name] = (node, types)
+
+    def state(self) -> tuple:
+        """What is open in the expression around a body; the body starts anew."""
+        held = self.last, self.open, self.due, self.loose
+        self.last, self.open, self.due, self.loose = None, [], [], False
+        return held
+
+    def restore(self, held: tuple) -> None:
+        self.last, self.open, self.due, self.loose = held
+        self.last = None
+
+    def settle(self) -> None:
+        """Ends the assignments of this bracket: their targets have the types of the node just read, if it is all there is."""
+        while self.due and self.due[-1][0] == len(self.open):
+            _, target, node = self.due.pop()
+            source = None if self.loose else self.last
+            if target[0] == "variable":
+                self.version(target[1], source, target[2])
+                if source is not None:
+                    self.rows[node]["value"] = str(source)
+            elif source is not None:  # a property of this class
+                self.row("link", "property", target[1], Token("op", "", 0, 0), value=str(source))
+
+    def bracket(self, token: Token, before: Token) -> None:
+        if token.text in ("(", "["):
+            called = token.text == "(" and self.last is not None and (before.kind in ("name", "var") or before.text in (")", "]", "}")) and self.rows[self.last]["kind"] in CALLS
+            header = before.text.lower() if token.text == "(" and before.kind == "name" and not called else ""
+            row = self.row("arguments", self.rows[self.last]["kind"], "", token, value=str(self.last)) if called else None
+            self.open.append({"by": token.text, "call": self.last if called else None, "row": row, "header": header, "from": self.i, "n": 0, "loose": self.loose, "of": self.last})
+            self.last, self.loose = None, False
+            return
+        self.settle()
+        if not self.open:
+            return
+        frame = self.open.pop()
+        self.argument(frame)
+        if frame["row"] is not None:
+            frame["row"]["end_line"], frame["row"]["end_char"] = self.position(token.end)
+        inner = None if self.loose or frame["n"] > 1 else self.last
+        self.loose = frame["loose"]
+        self.last = frame["call"] if frame["call"] is not None else inner if frame["by"] == "(" and not frame["header"] else None
+
+    def argument(self, frame: dict) -> None:
+        """The argument that ends before the token just read."""
+        a, b = frame["from"], self.i - 2
+        if frame["row"] is not None and b >= a:
+            self.row("argument", frame["row"]["kind"], str(frame["n"]), self.t[a], self.t[b], value=str(frame["row"]["seq"]))
+        frame["n"] += b >= a
+        frame["from"] = self.i
+
+    def operator(self, token: Token, before: Token) -> None:
+        text = token.text
+        if text in ("(", "[", ")", "]"):
+            self.bracket(token, before)
+        elif text == ",":
+            self.settle()
+            if self.open:
+                self.argument(self.open[-1])
+            self.last, self.loose = None, False
+        elif text == ";":
+            self.settle()
+            self.last, self.loose, self.open, self.due = None, False, [], []
+        elif text == "=" and self.last is not None and self.rows[self.last]["kind"] == "property" and self.rows[self.last]["modifier"] == "this":
+            self.due.append((len(self.open), ("property", self.rows[self.last]["name"]), self.last))
+            self.last, self.loose = None, False
+        elif text in ("=", "=>"):
+            self.last, self.loose = None, False
+        elif text not in ("->", "?->", "::", "&", "@"):
+            self.last, self.loose = None, True
+
+    def access(self, kind: str, token: Token) -> int:
+        """A node for a member of the node just read; modifier says how the scope is named."""
+        scope = self.rows[self.last] if self.last is not None else {"kind": "", "name": ""}
+        low = scope["name"].lower()
+        how = "this" if scope["kind"] == "this" else "parent" if low in N.PARENT else "relative" if low in N.RELATIVE and scope["kind"] == "class" else "name"
+        return self.node(kind, token.text, token, self.last, modifier=how)["seq"]
+
+    def variable(self, token: Token, types: str | None = None) -> int:
+        """A node for a use of a variable: its types are those of its last version in the scope."""
+        source, stated = self.versions.get(self.scope, {}).get(token.text, (None, None))
+        types = "|".join(dict.fromkeys(filter(None, [stated, types]))) or None
+        if token.text == "$this":
+            return self.node("this", token.text, token, types=self.owner or None)["seq"]
+        return self.node("variable", token.text, token, source, types, modifier=None if self.scope else "global")["seq"]
+
+    def assigned(self, token: Token, before: Token) -> None:
+        """A node for a variable that gets a value: by =, in a loop, in a catch."""
+        header = self.open[-1] if self.open else {"header": ""}
+        doc = self.doc if self.peek().text == "=" else None
+        stated = self.type_list(doc.types("var") if doc else None)
+        node = self.node("variable", token.text, token, types=stated)
+        if self.peek().text == "=":
+            self.next()  # no earlier value is read
+            self.take("&")
+            self.due.append((len(self.open), ("variable", token.text, stated), node["seq"]))
+            self.last, self.loose = None, False
+            return
+        if "collection" in header and before.text.lower() != "as" or self.peek().text == ")":
+            element = self.node("element", token.text, token, header.get("collection"))["seq"]
+            node["value"] = str(element)
+            self.version(token.text, element, None)
+        else:
+            self.version(token.text, None, None)
+        self.last = None
+
     def expression_token(self) -> None:
         token, before, after = self.next(), self.peek(-1), self.peek()
         before = self.t[self.i - 2] if self.i > 1 else Token("end", "", 0, 0)
         if token.kind == "op":
             if token.text == "{":
+                state = self.state()
                 self.statements("}")
+                self.restore(state)
+            elif token.text != "#[":
+                self.operator(token, before)
+            if token.text == "{":
+                pass
             elif token.text == "#[":
                 self.i -= 1
                 self.attribute()
@@ -471,30 +647,46 @@ class Extractor:
                 self.doc = None
             return
         word = token.text.lower()
+        if token.kind not in ("var", "name"):
+            self.last = None
         if token.kind == "var":
             if before.text == "::":
+                self.last = self.access("static_property", token)
                 self.row("access", "static_property", token.text, token, fqn="." + token.text)
                 self.row("reference", "property", token.text, token, fqn="." + token.text)
             elif after.text == "=" or before.text.lower() in ("as", "=>") and after.text in (")", "=>"):
                 new = self.peek(1).text.lower() == "new" and self.peek(2).kind == "name" and self.peek(2).text.lower() != "class"
                 self.mark(token, "declare", self.class_name(self.peek(2).text) if new else None)
-            elif token.text != "$this":
+                self.assigned(token, before)
+            elif self.open and self.open[-1]["header"] == "catch" and after.text == ")":
+                types = "|".join(r["types"] for r in self.rows[self.open[-1]["first"] :] if r["tag"] == "expr" and r["kind"] in ("class", "type") and r["types"]) if "first" in self.open[-1] else None
                 self.mark(token, "use")
+                self.version(token.text, self.node("variable", token.text, token, types=types)["seq"], None)
+            else:
+                if token.text != "$this":
+                    self.mark(token, "use")
+                self.last = self.variable(token)
             return
         if token.kind != "name":
             return
         if before.text in ("->", "?->"):
             method = after.text == "("
+            self.last = self.access("method" if method else "property", token)
             self.row("access", "method" if method else "property", token.text, token, fqn=f".{token.text}()" if method else f".${token.text}")
             self.row("reference", "method" if method else "property", token.text, token, fqn=f".{token.text}()" if method else f".${token.text}")
         elif before.text == "::":
             if word == "class":
+                self.last = None
                 return
             method = after.text == "("
+            self.last = self.access("static_method" if method else "class_const", token)
             self.row("access", "static_method" if method else "class_const", token.text, token, fqn=f".{token.text}()" if method else f".{token.text}")
             self.row("reference", "method" if method else "class_const", token.text, token, fqn=f".{token.text}()" if method else f".{token.text}")
         elif word in ("function", "fn"):
-            outer, self.scope = self.scope, len(self.rows)
+            outer, self.scope, state = self.scope, len(self.rows), self.state()
+            region = self.row("scope", word, "", token, value=str(self.scope), fqn=str(outer))
+            if word == "fn":  # sees all around it
+                self.versions[self.scope] = dict(self.versions.get(outer, {}))
             self.take("&")
             self.parameters(self.take_doc())
             if self.take("use") and self.take("("):
@@ -503,16 +695,24 @@ class Extractor:
                     if v.kind == "var":
                         inner, self.scope = self.scope, outer
                         self.mark(v, "use")
+                        seen = self.variable(v)
                         self.scope = inner
                         self.mark(v, "declare")
+                        self.version(v.text, seen, None)
             self.return_type()
             if word == "function":
                 self.body()
                 self.scope = outer
             else:
                 self.scope = outer
+            region["end_line"], region["end_char"] = self.position(self.peek(-1).end)
+            self.restore(state)
+            if word == "fn":  # what it is assigned to has not the types of its body
+                self.due = [d for d in self.due if d[0] != len(self.open)]
         elif word == "new" and after.text.lower() == "class":
             at = self.next()
+            line, char = self.position(at.start)
+            self.last = made = self.node("new", "class", at, types=self.fqn(self.anonymous(line, char)))["seq"]
             if self.peek().text == "(":
                 depth = 0
                 while self.peek().kind != "end":
@@ -520,19 +720,39 @@ class Extractor:
                     self.expression_token()
                     if not depth:
                         break
+            state = self.state()
             self.class_like(None, at)
+            self.restore(state)
+            self.last = made
         elif word in KEYWORDS and word not in ("static",):
+            if word == "as" and self.open and self.open[-1]["header"] == "foreach":
+                self.open[-1]["collection"] = None if self.loose else self.last
+            if word not in ("clone", "instanceof", "new", "print", "yield"):
+                self.last = None
             return
         elif after.text == "::" or before.text.lower() in ("new", "instanceof") or before.text == "(" and self.t[self.i - 3 if self.i > 2 else 0].text.lower() == "catch" or after.kind == "var":
             name = self.class_name(token.text)
+            if before.text == "(" and self.open:
+                self.open[-1]["first"] = len(self.rows)
+            kind = "new" if before.text.lower() == "new" else "type" if before.text.lower() == "instanceof" else "class"
+            held, self.last = self.last, self.node(kind, token.text, token, types=name)["seq"]
+            if kind == "type" and held is not None and self.rows[held]["kind"] == "variable":
+                tested = self.rows[held]
+                tested["types"] = "|".join(dict.fromkeys(filter(None, [tested["types"], name])))
+                self.version(tested["name"], held, None)
+                self.last, self.loose = None, True
             self.row("access", "new" if before.text.lower() == "new" else "class", token.text, token, fqn=name)
             self.reference("class", name, token)
         elif after.text == "(":
-            for name in self.other_names(token.text, "function"):
+            found = self.other_names(token.text, "function")
+            self.last = self.node("function", token.text, token, fqn="|".join(found))["seq"]
+            for name in found:
                 self.row("access", "function", token.text, token, fqn=name)
                 self.row("reference", "function", token.text, token, fqn=name + "()")
         elif word not in NATIVES and word not in ("true", "false", "null"):
-            for name in self.other_names(token.text, "const"):
+            found = self.other_names(token.text, "const")
+            self.last = self.node("const", token.text, token, fqn="|".join(found))["seq"]
+            for name in found:
                 self.row("access", "const", token.text, token, fqn=name)
                 self.row("reference", "const", token.text, token, fqn=name)
 
