@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrappers.extract(table(spark, sf_dir, "pages"))
+    return wrappers.extract(table(spark, sf_dir, "pages"), whole_articles=True)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

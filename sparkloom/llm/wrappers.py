@@ -3,17 +3,20 @@
 A page is cut into tokens and folded to nested block elements; a run of text and inline markup is one text token.  Two
 streams of the same host are aligned element by element: equal elements go on, texts that differ become slots, an element
 that follows its like becomes a repeated group, and any other mismatch is resolved by the shorter skip on either side
-into an optional group.  The result is again a pattern, so a host's pages are folded into one wrapper, per task first,
-then by host over a salted level, so no task sees all pages of a large host.
+into an optional group.  The result is again a pattern, so a host's pages are folded into one wrapper: different pages in the
+order of their hashes, dealt to salts, then salts by SALTS at a time, so no task sees all pages of a large host and the
+wrapper is the same however the rows lie.
 
-Wrapper and markup together tell the article from the rest.  Regions that say what they are (nav, header, footer, aside,
-form, roles, names of classes and ids) are left out; where a page marks an article or main part, only that is kept; texts
-that the wrapper holds fixed over FIXED or more different pages are the template's own, but where they are the greater
-part of a marked article the pages are copies of one article, and all of it is kept; elsewhere, blocks that are mostly
-links are left out.  Nothing else is dropped.
+Markup and wrapper together tell the article from the rest.  Regions that say what they are (nav, header, footer, aside,
+form, roles, names of classes and ids) are left out.  Where a page marks an article or main part, only that is kept; all of it, if
+whole articles are asked for, as the registered query does, else without the texts that the wrapper holds fixed over FIXED or
+more different pages (a lead that each issue repeats), unless those are the greater part and the pages copies of one article.
+Elsewhere the wrapper decides: fixed texts are the template's own, unless the page has no others; a block that is mostly links is left out where most blocks of the wrapper's group
+around it, over all pages of the host, are (a menu), and stays where they are not (a paragraph).  Nothing else is dropped.
 
 Defined cases: null or empty html has an empty text; a null or unreadable url is the host ''; unclosed and crossed tags
-are closed as in browsers, at any depth; below DEPTH elements a wrapper has no patterns, so nothing there is held fixed; pages with the same bytes count once per host; an empty table gives no rows; extra columns are ignored.
+are closed as in browsers, at any depth; a very long page is read whole; equal pages of a host count once; repeated rows give a
+row each; an empty table gives no rows; extra columns, also of the names used here, are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, small_batches, worker_cache
+from .common import by_value, cut, relax, small_batches, worker_cache
 
 by_value(__name__)
 
@@ -48,7 +52,8 @@ NOISE = frozenset(
 )
 #: Those of them that an article element itself may be left out for.
 NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo related comment comments reply replies widget".split())
-FIXED, LINKS, SALTS, DEPTH = 5, 0.5, 32, 150
+#: Different pages that must agree on a text, the share of links in a menu (characters of a block, blocks of a group), salts merged at once, pages folded per salt.
+FIXED, LINKS, SALTS, PAGES = 5, 0.5, 32, 1_000
 CLOSES_P = BLOCK - {"button", "select", "option", "svg", "object", "audio", "video", "canvas", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 P_WALLS = frozenset("td th li div article section".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -182,24 +187,40 @@ def parse(source: str) -> Element:
     return root
 
 
-# A pattern is [signature, quantifier (1, ?, + or *), times seen, children] of an element, or ["#", quantifier, times seen, text or null (slot)] of a text.
+# A pattern is [signature, quantifier (1, ?, + or *), pages, children, blocks of text that are mostly links, blocks of text] of an element, blocks
+# in regions that are left out not counted; a text's signature is "#" and its place of children holds the text of all pages, or null (a slot).
+SIG, QUANTIFIER, SEEN, INSIDE, LINKED, BLOCKS = range(6)
 
 
-def pattern(e: Element | Text, depth: int = 0) -> list:
+def at_any_depth() -> None:
+    """Patterns nest as pages do; these functions call none but each other on the way down."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2_000_000))
+
+
+def pattern(e: Element | Text) -> list:
+    at_any_depth()
+    return _pattern(e)
+
+
+def _pattern(e: Element | Text) -> list:
     if isinstance(e, Text):
-        return ["#", "1", 1, e.text]
+        return ["#", "1", 1, e.text, int(e.linked > LINKS * len(e.text)), 1]
     children: list[list] = []
-    for c in e.children if depth <= DEPTH else ():
-        _follow(children, pattern(c, depth + 1))
-    return [e.sig, "1", 1, children]
+    own = [e.sig, "1", 1, children, 0, 0]
+    for c in e.children:
+        p = _pattern(c)
+        for i in () if e.out else (LINKED, BLOCKS):
+            own[i] += p[i]
+        _follow(children, p)
+    return own
 
 
 def _follow(children: list[list], p: list) -> None:
     """Adds p behind the children; one that follows its like makes a repeated group."""
-    if children and children[-1][0] == p[0] != "#":
-        n = max(children[-1][2], p[2])
-        children[-1] = merge(children[-1], p, False)
-        children[-1][1], children[-1][2] = "*" if children[-1][1] in "?*" and p[1] in "?*" else "+", n
+    if children and children[-1][SIG] == p[SIG] != "#":
+        n = max(children[-1][SEEN], p[SEEN])
+        children[-1] = _merge(children[-1], p, False)
+        children[-1][QUANTIFIER], children[-1][SEEN] = "*" if children[-1][QUANTIFIER] in "?*" and p[QUANTIFIER] in "?*" else "+", n
     else:
         children.append(p)
 
@@ -208,102 +229,169 @@ def _quantifier(a: str, b: str) -> str:
     return {(False, False): "1", (True, False): "?", (False, True): "+", (True, True): "*"}["?" in (a, b) or "*" in (a, b), "+" in (a, b) or "*" in (a, b)]
 
 
-def merge(a: list, b: list, apart: bool = True) -> list:
-    """The pattern that covers two patterns of the same signature.  Times seen are pages: those of different pages (apart)
-    add up; of neighbours, which the same pages may hold, the greater number is sure."""
-    seen = a[2] + b[2] if apart else max(a[2], b[2])
-    if a[0] == "#":
-        return ["#", _quantifier(a[1], b[1]), seen, a[3] if a[3] == b[3] else None]
-    x, y, i, j, out = a[3], b[3], 0, 0, []
+def merge(a: list, b: list) -> list:
+    """The pattern that covers two patterns of the same signature, of different pages."""
+    at_any_depth()
+    return _merge(a, b, True)
+
+
+def _merge(a: list, b: list, apart: bool) -> list:
+    """Pages of different patterns (apart) add up; of neighbours, which the same pages may hold, the greater number is sure."""
+    seen = a[SEEN] + b[SEEN] if apart else max(a[SEEN], b[SEEN])
+    sums = [a[i] + b[i] for i in (LINKED, BLOCKS)]
+    own = [a[SIG], _quantifier(a[QUANTIFIER], b[QUANTIFIER]), seen, [], *sums]
+    if a[SIG] == "#":
+        own[INSIDE] = a[INSIDE] if a[INSIDE] == b[INSIDE] else None
+        return own
+    x, y, i, j, out = a[INSIDE], b[INSIDE], 0, 0, own[INSIDE]
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            _follow(out, merge(x[i], y[j], apart))
+        if i < len(x) and j < len(y) and x[i][SIG] == y[j][SIG]:
+            _follow(out, _merge(x[i], y[j], apart))
             i, j = i + 1, j + 1
             continue
         # the mismatch: skip on the side where the other's element comes sooner
-        skip_y = next((k for k in range(j, len(y)) if i < len(x) and y[k][0] == x[i][0]), None)
-        skip_x = next((k for k in range(i, len(x)) if j < len(y) and x[k][0] == y[j][0]), None)
+        skip_y = next((k for k in range(j, len(y)) if i < len(x) and y[k][SIG] == x[i][SIG]), None)
+        skip_x = next((k for k in range(i, len(x)) if j < len(y) and x[k][SIG] == y[j][SIG]), None)
         if j >= len(y) or (skip_x is not None and (skip_y is None or skip_x - i <= skip_y - j)) or (i < len(x) and skip_y is None):
             p, i = x[i], i + 1
         else:
             p, j = y[j], j + 1
-        _follow(out, [p[0], {"1": "?", "+": "*"}.get(p[1], p[1]), p[2], p[3]])
-    return [a[0], _quantifier(a[1], b[1]), seen, out]
+        _follow(out, [p[SIG], {"1": "?", "+": "*"}.get(p[QUANTIFIER], p[QUANTIFIER]), *p[SEEN:]])
+    return own
 
 
-def blocks(page: Element, wrapper: list | None) -> list[str]:
+def dumps(p: list) -> str:
+    """A pattern as JSON without nesting: its nodes in order, an element with its number of children."""
+    flat, todo = [], [p]
+    while todo:
+        node = todo.pop()
+        if node[SIG] == "#":
+            flat.append(node)
+        else:
+            flat.append([*node[:INSIDE], len(node[INSIDE]), *node[LINKED:]])
+            todo += reversed(node[INSIDE])
+    return json.dumps(flat)
+
+
+def loads(text: str) -> list:
+    root: list = []
+    todo = [(root, 1)]
+    for node in json.loads(text):
+        to, left = todo.pop()
+        to.append(node)
+        if left > 1:
+            todo.append((to, left - 1))
+        if node[SIG] != "#":
+            n, node[INSIDE] = node[INSIDE], []
+            if n:
+                todo.append((node[INSIDE], n))
+    return root[0]
+
+
+def align(children: list[Element | Text], nodes: list[list]) -> list[list | None]:
+    """The pattern's node that each child of an element stands for, by running the pattern over the children; None where it has none."""
+    steps: list[dict[int, int] | None] = []  # places that a child may have, each with that of the child before
+    now = {-1: -1}
+    for c in children:
+        sig, text = ("#", c.text) if isinstance(c, Text) else (c.sig, None)
+        new: dict[int, int] = {}
+        for k in now:
+            if k >= 0 and nodes[k][SIG] == sig != "#" and nodes[k][QUANTIFIER] in "+*":
+                new.setdefault(k, k)
+            for j in range(k + 1, len(nodes)):
+                if nodes[j][SIG] == sig and (text is None or nodes[j][INSIDE] in (None, text)):
+                    new.setdefault(j, k)
+                if nodes[j][QUANTIFIER] in "1+":
+                    break
+        steps.append(new or None)
+        now = new or now
+    ends = [k for k in now if all(n[QUANTIFIER] in "?*" for n in nodes[k + 1 :])]
+    place = min(ends or now)
+    out: list[list | None] = []
+    for step in reversed(steps):
+        out.append(None if step is None else nodes[place])
+        place = place if step is None else step[place]
+    return out[::-1]
+
+
+def blocks(page: Element, wrapper: list | None, whole_articles: bool = False) -> list[str]:
     """The page's main texts, in order."""
-    marked: list[bool] = []
-    found: list[tuple[str, bool, bool, int]] = []
+    marked = False
+    found: list[tuple[str, bool, bool, bool]] = []  # text, in an article, fixed, of a menu
+
+    def placed(e: Element, p: list | None) -> Iterator[tuple[Element | Text, list | None]]:
+        return zip(e.children, [None] * len(e.children) if p is None else align(e.children, p[INSIDE]), strict=True)
 
-    open_ = [(page, wrapper, iter(page.children), 0)]
+    open_ = [(page, placed(page, wrapper), False)]
     while open_:
-        e, p, children, at = open_.pop()
-        for c in children:
-            sig = "#" if isinstance(c, Text) else c.sig
-            q = None
-            if p is not None:
-                k = next((k for k in range(at, len(p[3])) if p[3][k][0] == sig), None)
-                if k is not None:
-                    q, at = p[3][k], k if p[3][k][1] in "+*" else k + 1
+        e, children, menu = open_.pop()
+        for c, q in children:
             if isinstance(c, Text):
-                fixed = q is not None and q[1] == "1" and q[2] >= FIXED and q[3] == c.text
                 if not e.out:
-                    found.append((c.text, e.article, fixed, c.linked))
+                    fixed = q is not None and q[QUANTIFIER] == "1" and q[SEEN] >= FIXED and q[INSIDE] == c.text
+                    found.append((c.text, e.article, fixed, menu and c.linked > LINKS * len(c.text)))
             elif not c.out:
-                marked.append(c.article)
-                open_ += [(e, p, children, at), (c, q, iter(c.children), 0)]
+                marked |= c.article
+                # the innermost element that holds two blocks or more on a page says whether this is a menu
+                inner = menu if q is None or q[BLOCKS] < 2 * q[SEEN] else q[LINKED] > LINKS * q[BLOCKS]
+                open_ += [(e, children, menu), (c, placed(c, q), inner)]
                 break
 
-    article = any(m for m in marked) and any(a for _, a, _, _ in found)
-    if article:
-        own = [(t, fixed) for t, a, fixed, _ in found if a]
-        copied = sum(len(t) for t, fixed in own if fixed) > sum(len(t) for t, _ in own) / 2
-        return [t for t, fixed in own if copied or not fixed]
-    return [t for t, _, fixed, linked in found if not fixed and linked <= LINKS * len(t)]
+    if marked and any(a for _, a, _, _ in found):
+        article = [(t, fixed) for t, a, fixed, _ in found if a]
+        copied = sum(len(t) for t, fixed in article if fixed) > sum(len(t) for t, _ in article) / 2
+        return [t for t, fixed in article if whole_articles or copied or not fixed]
+    own = [t for t, _, fixed, menu in found if not fixed and not menu]
+    return own or [t for t, _, _, menu in found if not menu]
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    salt = TaskContext.get().partitionId() % SALTS
-    held: dict[str, list] = {}
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, salt and hash to one pattern for each host and salt; equal pages count once."""
+    key, last, whole = None, None, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([json.dumps(p) for p in held.values()], pa.string())], ["host", "salt", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([dumps(whole)], pa.string())], ["host", "salt", "wrapper"])
 
     for b in batches:
-        for name, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            p = pattern(parse(source))
-            held[name] = merge(held[name], p) if name in held else p
-        if len(held) > 5_000:
-            yield out()
-            held.clear()
-    yield out()
+        for name, salt, h, source in zip(*(b.column(c).to_pylist() for c in ("host", "salt", "hash", "html")), strict=True):
+            if (name, salt) != key:
+                if key is not None:
+                    yield out()
+                key, last, whole = (name, salt), None, None
+            if h != last:
+                p = pattern(parse(source))
+                whole, last = p if whole is None else merge(whole, p), h
+    if key is not None:
+        yield out()
+    relax()
 
 
 def _merged(table: pa.Table) -> pa.Table:
     whole = None
-    for w in table["wrapper"].to_pylist():
-        whole = json.loads(w) if whole is None else merge(whole, json.loads(w))
-    return pa.table([table["host"].slice(0, 1), table["salt"].slice(0, 1), pa.array([json.dumps(whole)], pa.string())], ["host", "salt", "wrapper"])
+    for w in table.sort_by("salt")["wrapper"].to_pylist():
+        whole = loads(w) if whole is None else merge(whole, loads(w))
+    return pa.table([table["host"].slice(0, 1), table["to"].slice(0, 1), pa.array([dumps(whole)], pa.string())], ["host", "salt", "wrapper"])
 
 
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) from all different pages."""
-    schema = "host string, salt int, wrapper string"
-    full = pages.select(host(F.col("url")).alias("host"), "html").where("html <> ''")
-    different = full.groupBy("host", F.sha2("html", 256)).agg(F.first("html").alias("html"))
-    partial = different.select("host", "html").mapInArrow(_partial, schema)
-    salted = partial.groupBy("host", "salt").applyInArrow(_merged, schema)
-    return salted.groupBy("host").applyInArrow(_merged, schema).select("host", "wrapper")
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "host string, salt long, wrapper string"
+    full = pages.where("html <> ''").select(host(F.col("url")).alias("host"), "html")
+    n, levels = full.count(), 1
+    while n > PAGES * SALTS**levels:
+        levels += 1
+    hashed = full.withColumn("hash", F.sha2("html", 256)).withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(SALTS**levels)))
+    rows = hashed.repartition("host", "salt").sortWithinPartitions("host", "salt", "hash").mapInArrow(_folded, schema)
+    for _ in range(levels):
+        rows = rows.withColumn("to", F.floor(F.col("salt") / SALTS)).groupBy("host", "to").applyInArrow(_merged, schema)
+    return rows.select("host", "wrapper")
+
+
+def _extract(batches: Iterator[pa.RecordBatch], whole_articles: bool) -> Iterator[pa.RecordBatch]:
     cache = worker_cache().setdefault("wrappers", {})
     for b in batches:
         texts = []
@@ -312,19 +400,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key is not None and key not in cache:
                 if len(cache) > 2_000:
                     cache.clear()
-                cache[key] = json.loads(key)
-            texts.append("\n\n".join(blocks(parse(source), cache.get(key))) if source else "")
+                cache[key] = loads(key)
+            texts.append("\n\n".join(blocks(parse(source), cache.get(key), whole_articles)) if source else "")
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    relax()
 
 
 #: Wrappers are broadcast up to this many bytes; beyond, pages are joined to them by host (large hosts split at run time).
 BROADCAST_BYTES = 32_000_000
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, whole_articles: bool = False) -> DataFrame:
     """Per page row: page_id, url, text, n_chars."""
     wrappers = cut(infer(small_batches(pages)), "wrappers").select(F.col("host").alias("h"), "wrapper")
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("h") + 64), F.lit(0))).first()[0]
     side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(side, F.col("host") == F.col("h"), "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(lambda batches: _extract(batches, whole_articles), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
