@@ -4,11 +4,17 @@ A source's target over its size is the number of copies each of its documents is
 and the fractions are rounded in pairs.  Two documents exchange mass so that the sum of size times fraction stays the
 same, until one fraction is 0 or 1; which way is drawn with the odds that keep every document's expectation.  A block of
 documents is folded this way, long ones first, to one residual, and the residuals of the blocks are folded again, level by level, to one
-residual per source.  In the last fold a residual twice as long as the next document is rounded alone and what that misses
-is owed to the shorter documents that follow, so a source misses its target by about a short document.
+residual per source.  In the last fold, of at most BLOCK residuals, a residual twice as long as the next document is rounded
+alone and what that misses is owed to the shorter documents that follow (plain pairs would leave a small source off by a long
+document), so a source misses its target by about a short document; expectations are kept exactly but for those few.
 
-Draws are hashes of (seed, document), so reruns agree.  Defined cases: null text has size 0 and is taken 0 words;
-a null source is a source of its own, last in order; repeated rows are separate documents; an empty table gives no rows.
+Equal rows are one item, due as many times the copies, whose copies are dealt evenly over its rows; so no window and no join
+holds more rows of one document than an input partition does.
+
+Draws are hashes of (seed, document), so reruns agree.  Defined cases: a null or empty text has size 0 and is taken 0 words; a very
+long text is counted whole; a null source is a source of its own, last in order; of documents of the same size the smaller
+key is folded first; a null doc_id is no other document's; repeated rows are separate documents; an empty table gives no rows;
+extra columns, also of the names used here, are ignored by `mix` and kept by `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -105,36 +111,54 @@ def _last_pair(acc: Column, x: Column, seed: int) -> Column:
     return let(freed, owed)
 
 
+#: Documents folded between two growths of a block's list of settled ones, so a block costs little more than its length.
+RUN = 16
+
+
 def _fold(docs: Column, last: bool, seed: int) -> Column:
     """Folds array<struct(key, size, p)> to struct(done array<struct(key, up)>, rest struct(key, size, p))."""
-    folded = F.aggregate(docs, _state(F.array(), F.lit(None), F.lit(0.0)), lambda acc, x: (_last_pair if last else _pair)(acc, x, seed))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(docs) - 1) / RUN).cast("int")), lambda r: F.slice(docs, r * RUN + 1, F.lit(RUN)))
+    step = _last_pair if last else _pair
+
+    def run(acc: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, _state(F.array(), acc["rest"], acc["owed"]), lambda a, x: step(a, x, seed))
+        return let(inner, lambda i: _state(F.concat(acc["done"], i["done"]), i["rest"], i["owed"]))
+
+    folded = F.aggregate(runs, _state(F.array(), F.lit(None), F.lit(0.0)), run)
     if not last:
         return folded
     return let(folded, lambda f: F.when(f["rest"].isNull(), f).otherwise(_state(F.concat(f["done"], F.array(_settled(f["rest"], _alone(f["rest"], seed)))), F.lit(None), f["owed"])))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
-    """Per document row: doc_id, occurrence (number among rows of that doc_id and text), size, source_size, target, copies, taken."""
-    sized = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
-    sized = cut(sized.withColumn("occurrence", F.row_number().over(Window.partitionBy("doc_id").orderBy("h", F.col("source").asc_nulls_last()))), "sized")
+def _name(doc_id: Column) -> Column:
+    """A document's id as text; that of a null id is no other's."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null"))
+
+
+def _key(docs: DataFrame, like: list[str]) -> Column:
+    """The name of all rows that are equal in some columns."""
+    return F.concat_ws(":", _name(F.col("doc_id")), F.hex(F.xxhash64(*like)))
+
+
+def _shares(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """From rows (key, salt, source, size): (key, m, total): the copies that the m equal rows of a key take together; and the sources."""
     targets = cut(source_targets(sized, weights, most), "targets")
     most_docs = targets.agg(F.max("n_docs")).first()[0] or 0
     # one row per source: small as long as sources are, which is checked
     side = targets.withColumnRenamed("source", "s")
     side = F.broadcast(side) if targets.count() <= 100_000 else side
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    all_rows = sized.join(side, sized["source"].eqNullSafe(side["s"])).drop("s").withColumn("due", due)
-    all_rows = all_rows.withColumn("whole", F.floor("due").cast("int")).withColumn("p", F.when(F.col("size") > 0, F.col("due") - F.floor("due")).otherwise(F.lit(0.0)))
-    all_rows = all_rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("occurrence").cast("string")))
-    open_rows = all_rows.where((F.col("p") > 0) & (F.col("p") < 1)).select("source", "n_docs", F.struct((-F.col("size")).alias("order"), "key", "size", "p").alias("d"))
+    items = sized.groupBy("key").agg(F.count("*").alias("m"), F.first("source").alias("source"), F.first("size").alias("size"))
+    due = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("m") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    items = items.join(side, items["source"].eqNullSafe(side["s"])).drop("s").withColumn("due", due)
+    items = cut(items.select("key", "m", "source", "n_docs", "size", F.floor("due").alias("whole"), (F.col("due") - F.floor("due")).alias("p")), "items")
+    open_rows = items.where("p > 0").select("source", "n_docs", F.struct((-F.col("size")).alias("order"), "key", "size", "p").alias("d"))
     settled, level, width = [], 0, most_docs
     while True:
         last = width <= BLOCK
         blocks = F.lit(1) if last else F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(float(BLOCK // 2) * (BLOCK // 2) ** level)))
         block = F.pmod(F.xxhash64(F.lit(seed + level), F.col("d.key")), blocks)
         grouped = open_rows.groupBy("source", block.alias("block")).agg(F.first("n_docs").alias("n_docs"), F.array_sort(F.collect_list("d")).alias("ds"))
-        folded = grouped.select("source", "n_docs", _fold(F.col("ds"), last, seed + 1000 + level).alias("f"))
-        folded = cut(folded, f"fold{level}")
+        folded = cut(grouped.select("source", "n_docs", _fold(F.col("ds"), last, seed + 1000 + level).alias("f")), f"fold{level}")
         settled.append(folded.select(F.inline("f.done")))
         if last:
             break
@@ -143,19 +167,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     ups = settled[0]
     for s in settled[1:]:
         ups = ups.unionByName(s)
-    copies = F.col("whole") + F.coalesce("up", F.when(F.col("p") >= 1, F.lit(1)).otherwise(F.lit(0)))
-    return all_rows.join(ups, "key", "left").select(
-        "doc_id", "occurrence", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+    return items.join(ups, "key", "left").select("key", "m", (F.col("whole") + F.coalesce("up", F.lit(0))).alias("total")), side
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents, each repeated as often as the mix takes it (not at all: gone)."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = mix(docs, seed=seed).where("copies > 0").groupBy(name.alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("occurrence", "copies"))).alias("by"))
-    # join and window share one shuffle by the document's name
-    joined = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], name.alias("k")).join(kept, "k")
-    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    occurrence = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(place["text"]), F.col(place["source"]).asc_nulls_last()))
-    copies = joined.withColumn("n", F.coalesce(F.element_at("by", occurrence), F.lit(0))).where("n > 0")
-    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*[F.col(place[c]).alias(c) for c in docs.columns])
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
+    """Per document row: doc_id, size, source_size, target, copies, taken."""
+    key = _key(docs, ["doc_id", "text", "source"])
+    sized = cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"), F.spark_partition_id().alias("salt")), "sized")
+    shares, side = _shares(sized, weights, most, seed)
+    # equal rows are numbered by input partition: the rows of a partition follow those of the partitions before
+    before = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sized.groupBy("key", "salt").agg(F.count("*").alias("c")).join(shares, "key").withColumn("begin", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    rows = sized.join(begins, ["key", "salt"]).withColumn("i", F.col("begin") + F.row_number().over(Window.partitionBy("key", "salt").orderBy("size")))
+    copies = F.floor(F.col("total") / F.col("m")) + (F.col("i") <= F.col("total") % F.col("m")).cast("int")
+    rows = rows.select("doc_id", "source", "size", copies.cast("long").alias("copies"))
+    return rows.join(side, rows["source"].eqNullSafe(side["s"])).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: Copies of one document that are written out by one task at most.
+CHUNK = 1_000
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
+    """The documents, with all their columns, each repeated as often as the mix takes it (not at all: gone)."""
+    own, key = F.struct(*[F.col(c) for c in docs.columns]), _key(docs, ["doc_id", "text", "source"])
+    sized = cut(docs.select("source", text_size(F.col("text")).alias("size"), key.alias("key"), F.lit(0).alias("salt")), "sized")
+    shares = cut(_shares(sized, weights, most, seed)[0].where("total > 0").withColumnRenamed("key", "k"), "shares")
+    rows = docs.select(own.alias("row"), key.alias("key"), F.xxhash64(*docs.columns).alias("like"))
+    taken = rows.join(shares.where("m = 1"), F.col("key") == F.col("k")).select("row", "total")
+    many = shares.where("m > 1")
+    few = many.count()
+    if few:
+        # equal rows are brought to one with their number before they move, and their copies are dealt out in chunks
+        some = F.broadcast(many) if few <= 500_000 else many
+        one = rows.join(some, F.col("key") == F.col("k")).groupBy("key", "m", "total", "like").agg(F.first("row").alias("row"), F.count("*").alias("c"))
+        begin = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("like").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        more = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("c"), F.col("total") % F.col("m")) - F.col("begin"))
+        one = one.withColumn("begin", begin).select("row", (F.col("c") * F.floor(F.col("total") / F.col("m")) + more).alias("total")).where("total > 0")
+        chunks = one.select("row", "total", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / CHUNK))).alias("chunk"))
+        dealt = chunks.repartition(F.col("row.doc_id"), F.col("chunk"))
+        taken = taken.unionByName(dealt.select("row", F.least(F.lit(CHUNK), F.col("total") - F.col("chunk") * CHUNK).alias("total")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int")))).select("row.*")

@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures, native columns only.
 
 A spot is a common word (anchor) directly before a content word; its chain is that content word and the next one, common
-words between them skipped.  The hashes of (anchor, chain) form a document's signature set.  A document without any spot
+words between them skipped (the last content word stands alone).  The hashes of (anchor, chain) form a document's signature set.  A document without any spot
 takes its words one by one instead, so texts in languages without listed anchors still get a set.  Sets are
 compared by Jaccard similarity; the ratio of the set sizes bounds it, so pairs below a threshold are pruned by length
 before any hash is compared, and the pair join partitions sets by length.
