@@ -509,3 +509,137 @@ def test_text_steps_keep_all_rows():
             assert [x for b in out for x in b.column("i").to_pylist()] == [x for b in batches for x in b.column("i").to_pylist()]
             assert [x for b in out for x in b.column("text").to_pylist()] == [x for t in texts for x in t]
             assert all(b.num_rows for b in out) and (size > 1 or all(b.num_rows == 1 for b in out))
+
+
+def test_html_loses_no_article(spark, tmp_path):
+    page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><!-- {0} --><div class=ad>Buy {0}</div>{1}<footer>f</footer></body></html>"
+    rows, want = [], {}
+
+    def add(url, html, text):
+        want[len(rows)] = text
+        rows.append((len(rows), url, html))
+
+    for i in range(8):  # one paragraph on pages that differ in a comment; a title alike on all; equal rows
+        add(f"http://one.example/{i}", page.format(i, "<article><p>the story</p></article>"), "the story")
+        add(f"http://two.example/{i}", page.format(i, f"<article><h1>Weekly</h1><p>first of {i}</p><p>second</p></article>"), f"Weekly\n\nfirst of {i}\n\nsecond")
+        add("http://three.example/", page.format(0, "<article><p>the same</p></article>"), "the same")
+        # no article is marked: the wrapper finds the template's line and the menu, and keeps what it does not know
+        links = "<div><ul>" + "".join(f"<li><a href=/{k}>place {k} {i}</a>" for k in range(6)) + "</ul></div>"
+        add(f"http://four.example/{i}", page.format(i, f"<div><p>own text {i}</p><p>See <a href=x>the long linked paper number {i}</a></p></div>{links}<i>All rights</i>"), f"own text {i}\n\nSee the long linked paper number {i}")
+        add(f"http://five.example/{i}", page.format(i, "<div>nothing else</div>"), "nothing else")
+    add("http://six.example/", page.format(0, "<p>See <a href=x>the only linked paper</a>"), "See the only linked paper")
+    add("http://seven.example/", "<div>" * 3000 + "<nav>menu</nav><p>deep<aside>side</aside>" + "</div>" * 3000, "deep")
+    add("http://eight.example/", "<article>" + "<p>long paragraph</p>" * 20_000 + "</article>", "\n\n".join(["long paragraph"] * 20_000))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("wrapper", F.lit("clash"))
+    for parts in (1, 8):
+        got = {r.page_id: r.text for r in wrappers.extract(df.repartition(parts, "page_id"), whole_articles=True).collect()}
+        assert {k for k in want if got[k] != want[k]} == set()
+    alone = {r[0]: "\n\n".join(wrappers.blocks(wrappers.parse(r[2]), None, True)) for r in rows}
+    assert sum(alone[k] != want[k] for k in want) >= 8  # the wrapper's work: without it these pages come out otherwise
+
+
+def test_wrappers_are_the_same_however_rows_lie(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, f"http://h{i % 3}.example/{i}", "<div>" + "".join(f"<{t}>{t}{r.integers(0, 3)}</{t}>" for t in r.choice(["p", "h2", "ul", "i"], 5)) + "</div>") for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:50], "page_id long, url string, html string")
+    a, b = ({x.host: x.wrapper for x in wrappers.infer(df.repartition(n)).collect()} for n in (1, 7))
+    assert a == b and len(a) == 3
+    # a wrapper is a regular expression that matches each of its pages whole: texts held fixed as they are, slots any text
+    def expression(n):
+        inner = (re.escape(n[3]) if n[3] is not None else "[^<]*") + "\x00" if n[0] == "#" else f"<{n[0]}>" + "".join(map(expression, n[3])) + "</>"
+        return f"(?:{inner})" + n[1].replace("1", "")
+
+    def canonical(e):
+        return e.text + "\x00" if isinstance(e, wrappers.Text) else f"<{e.sig}>" + "".join(map(canonical, e.children)) + "</>"
+
+    for i, _, h in rows:
+        assert re.fullmatch(expression(wrappers.loads(a[f"h{i % 3}.example"])), canonical(wrappers.parse(h))), h
+
+
+def test_mixing_of_many_equal_rows(spark):
+    rows = [(1, "a b c d e", "s", "x")] * 300 + [(None, "null id", "t", "y")] * 50 + [(i, "w " * (i % 40), "su"[i % 2] if i % 7 else None, "z") for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string").repartition(5)
+    got = [r.asDict() for r in mixing.mix(df).collect()]
+    assert len(got) == len(rows)
+    by, target = Counter(), {}
+    for doc, text, source, _ in set(rows):
+        own = [g["copies"] for g in got if g["doc_id"] == doc]
+        assert max(own) - min(own) <= 1  # equal rows differ by a copy at most
+    sizes = Counter()
+    for _, text, source, _ in rows:
+        sizes[source] += len(text.split())
+    for g in got:
+        source = next(k for k, v in sizes.items() if v == g["source_size"])
+        by[source] += g["taken"]
+        target[source] = g["target"]
+    assert set(target) == set(sizes) and all(abs(by[s] - t) <= 45 for s, t in target.items())
+    out = mixing.mixed_documents(df)
+    again = Counter(tuple(r) for r in out.collect())
+    assert out.columns == df.columns and sum(again.values()) == sum(g["copies"] for g in got)
+    assert again == Counter(tuple(r) for r in mixing.mixed_documents(df.repartition(3)).collect())
+    assert set(again) <= set(rows)
+
+
+CLASHES = "key n k t row total size h th salt text_ bad same place frame n_tokens label node w words toxic p_toxic copies m i rid".split()
+
+
+def test_pipeline_stages_meet_odd_documents(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = prose(90, 60)
+    texts = [base, base, None, None, "", "   ", "!!!", prose(91, 30_000), prose(92, 20) + " zorgle", prose(93, 50), "Ünï çödé 日本"]
+    texts += [prose(400 + i, 25) + (" zorgle" if i % 2 else "") for i in range(60)]
+    data = [(None if i == 3 else i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    data += [data[0], data[2]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit(c))
+    labels = [(i, 1, int((i - 11) % 2)) for i in range(11, 71)] + [(None, 1, 1), (9999, None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(93, 50)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    alike = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])
+    docs, all_rows = df, Counter(map(alike, df.collect()))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == df.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = docs.collect()
+        if "text" in docs.columns:
+            assert {alike(r) for r in kept[name]} <= set(all_rows) and all(r[c] == c for r in kept[name] for c in CLASHES), name
+    toxic = {r["text"] for r in kept["toxicity"]}
+    assert not any(t and "zorgle" in t for t in toxic) and {t for t in texts if not (t and "zorgle" in t)} <= toxic
+    assert Counter(alike(r) for r in kept["toxicity"]) == Counter({k: n for k, n in all_rows.items() if "zorgle" not in (k[1] or "")})
+    near = Counter(r["text"] for r in kept["minhash_near_dedup"])
+    assert near[base] == 1 and sum(near[t] for t in (None, "", "   ", "!!!")) == 1 and near[prose(91, 30_000)] == 1
+    assert prose(93, 50) in near and prose(93, 50) not in {r["text"] for r in kept["benchmark_decontamination"]}
+    assert len(kept["token_files"]) == len(kept["source_mixing"])
+
+
+def brute_signatures(spark, text):
+    """Spots read off word by word: a content word right after an anchor, with the content word that follows it."""
+    w, out = words(text), []
+    content = [i for i, x in enumerate(w) if x not in spotsigs.ANCHORS]
+    for a, b in zip(content, [*content[1:], None]):
+        if a and w[a - 1] in spotsigs.ANCHORS:
+            out.append((f"{w[a - 1]} {w[a]}", None if b is None else w[b]))
+    return out, w
+
+
+def test_fingerprints_are_those_spots(spark):
+    texts = ["the cat sat on a mat and the dog ate", "the cat sat on a mat and the dog left", "Katze Hund", "", "the", "x the y", prose(60, 3000) + " the " + prose(61, 10), "der Hund und die Katze " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("own", F.lit(1))
+    got = {r.doc_id: r for r in spotsigs.fingerprints(df).collect()}
+    sets = []
+    for t in texts:
+        spots, w = brute_signatures(spark, t)
+        hashed = spark.createDataFrame(spots, "a string, b string").select(F.hash("a", "b").alias("h")) if spots else spark.createDataFrame([(x,) for x in w], "a string").select(F.hash("a").alias("h"))
+        sets.append({r.h for r in hashed.collect()})
+    shown = lambda s: f"{len(s)}:" + ",".join(f"{x & 0xFFFFFFFF:X}" for x in sorted(s)) if s else ""
+    near = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for i, s in enumerate(sets):
+        assert got[i].fingerprint == shown(s)
+        assert got[i].near_next == pytest.approx(near(s, sets[(i + 1) % len(sets)]))
+    assert got[0].near_next == 0.5  # two of four spots
