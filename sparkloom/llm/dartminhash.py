@@ -7,8 +7,8 @@ the probability of their weighted Jaccard similarity.  Only darts below a rank o
 so the cost is a few darts per coordinate however long the text is; where a coordinate stays empty, the rank is doubled.
 
 Signatures are cut in bands; documents (after exact copies are collapsed to one node) that share a band are candidates.
-Each bucket compares its members with a head, the one that meets most others over all buckets; large ones try a few heads
-in turn.  Members of a bucket that are then still in different components are weighed against each other by their whole
+Each bucket compares its members with a head, the one that meets most others over all buckets.
+Members of a bucket that are then still in different components are weighed against each other by their whole
 signatures and then their shingles, in blocks within classes of similar length; a bucket of more than CELL members is dealt
 to cells over many tasks.  Of these only links that join components, fewer than a cell's members, are made into rows.  Every link is verified by the exact weighted Jaccard similarity of the shingles;
 classes are the connected components of the links.
@@ -37,8 +37,6 @@ by_value(__name__)
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 6
 #: Rows up to which a list of ids is broadcast (under 50 MB as a hash table).
 BROADCAST_ROWS = 500_000
-#: Heads that a bucket tries before its members are weighed pair by pair; buckets up to SMALL try one.
-ROUNDS_OF_HEADS, SMALL = 1, 8
 #: Members of one block of a large bucket; a cell, weighed in one task, holds about two blocks.
 CELL = 4_096
 #: Documents whose darts are thrown together.
@@ -178,9 +176,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
 
-def _links(least: float):
+def _links(least: float, kind=np.uint32):
     """Links of a bucket's cell and length class that join different components, at most one less than members.
 
+    Shingles are compared by hashes of a kind: short ones, or whole ones where short ones named a pair that was not one.
+
     Pairs of different components are weighed by their signatures in blocks; those that agree in as many coordinates as
     similar ones do but for one in thousands are compared by their shingles, unless links found here join them already."""
     k = BANDS * ROWS
@@ -191,7 +191,7 @@ def _links(least: float):
         weight = table["weight"].to_numpy().astype(np.float64)
         label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, k)
-        sets = [np.frombuffer(x, np.uint32) for x in table["short"].to_pylist()]
+        sets = [np.frombuffer(x, kind) for x in table["shingles"].to_pylist()]
         left, right = [], []
         mine = np.flatnonzero(own == part)  # pairs within this class or with the one before; those within that are its own
         for at in range(0, len(mine), step := max(1, 30_000_000 // (k * max(1, len(sig))))):
@@ -271,10 +271,10 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return cut(joined.select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, similarity double"), "verified")
 
     fits = F.least("weight", "w") >= F.greatest("weight", "w") * least  # else the sizes alone keep them apart
-    tested, used, labels = None, None, nodes.limit(0).select("node", F.col("node").alias("label"))
+    tested, labels = None, nodes.limit(0).select("node", F.col("node").alias("label"))
 
-    def test(pairs: DataFrame) -> bool:
-        """Verifies the pairs not tested before; says whether there were any, and renews the components."""
+    def test(pairs: DataFrame) -> tuple[bool, bool]:
+        """Verifies the pairs not tested before; says whether there were links, which renew the components, and pairs that are none."""
         nonlocal tested, labels
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
@@ -284,32 +284,25 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         tested = new if tested is None else tested.unionByName(new)
         if found:
             labels = components(tested.where(F.col("similarity") >= least))
-        return found
+        return found, not new.where(F.col("similarity") < least).isEmpty()
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    for turn in range(ROUNDS_OF_HEADS):
-        members = labelled(shared if not turn else shared.where(F.col("n") > SMALL))
-        if used is None:
-            fresh = members.withColumn("was", F.lit(None).cast("boolean"))
-        else:
-            fresh = members.join(used.withColumn("was", F.lit(True)), ["band", "node"], "left")
-        head = F.max(F.when(F.col("was").isNull(), F.struct("met", "node", "label", "weight"))).alias("h")
-        heads = fresh.groupBy("band").agg(head, F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y and h is not null")
-        heads = cut(heads.select("band", F.col("h.node").alias("other"), F.col("h.label").alias("o"), F.col("h.weight").alias("w")), "heads")
-        taken = heads.select("band", F.col("other").alias("node"))
-        used = taken if used is None else used.unionByName(taken)
-        if heads.isEmpty() or not test(members.join(heads, "band").where((F.col("node") != F.col("other")) & (F.col("label") != F.col("o")) & fits)):
-            break
+    heads = shared.groupBy("band").agg(F.max(F.struct("met", "node", "weight")).alias("h"))
+    heads = cut(heads.select("band", F.col("h.node").alias("other"), F.col("h.weight").alias("w")), "heads")
+    test(shared.join(heads, "band").where((F.col("node") != F.col("other")) & fits))
 
-    # what is still in several components within a bucket: its pairs are weighed in blocks, and the links that join components are verified
-    members = labelled(shared.where("n > 2"))
-    mixed = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed"), F.first("n").alias("n")).where("mixed").select("band", "n")
+    # what is still in several components within a bucket: its pairs are weighed in blocks, and the links that join components are
+    # verified; if a pair that short hashes named is none, links that it stood for are looked for again by whole ones
     part = F.floor(F.log(F.col("weight").cast("double")) / F.lit(-math.log(least))).cast("int")
-    rest = deal(members, cut(mixed, "mixed")).join(nodes.select("node", "sig"), "node").join(sets.select("node", "short"), "node")
-    dealt = rest.withColumn("cell", F.explode("cells")).select("band", "cell", "node", "weight", "label", "sig", "short", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
-    test(dealt.groupBy("band", "part", "cell").applyInArrow(_links(least), "node binary, other binary"))
+    for column, hashes in (("short", np.uint32), ("blob", np.uint64)):
+        members = labelled(shared.where("n > 2"))
+        mixed = members.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed"), F.first("n").alias("n")).where("mixed").select("band", "n")
+        rest = deal(members, cut(mixed, "mixed")).join(nodes.select("node", "sig"), "node").join(sets.select("node", F.col(column).alias("shingles")), "node")
+        dealt = rest.withColumn("cell", F.explode("cells")).select("band", "cell", "node", "weight", "label", "sig", "shingles", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
+        if not test(dealt.groupBy("band", "part", "cell").applyInArrow(_links(least, hashes), "node binary, other binary"))[1]:
+            break
 
     groups = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"))
     named = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
