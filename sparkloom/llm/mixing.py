@@ -11,7 +11,7 @@ document), so a source misses its target by about a short document; expectations
 Equal rows are one item, due as many times the copies, whose copies are dealt evenly over its rows; so no window and no join
 holds more rows of one document than an input partition does.
 
-Draws are hashes of (seed, document), so reruns agree.  Defined cases: a null or empty text has size 0 and is taken 0 words; a very
+Draws are hashes of (seed, document), so reruns agree.  Defined cases: a null or empty text has size 0, is taken 0 words and gets the whole copies due alone; a very
 long text is counted whole; a null source is a source of its own, last in order; of documents of the same size the smaller
 key is folded first; a null doc_id is no other document's; repeated rows are separate documents; an empty table gives no rows;
 extra columns, also of the names used here, are ignored by `mix` and kept by `mixed_documents`.
@@ -148,7 +148,8 @@ def _shares(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
     side = targets.withColumnRenamed("source", "s")
     side = F.broadcast(side) if targets.count() <= 100_000 else side
     items = sized.groupBy("key").agg(F.count("*").alias("m"), F.first("source").alias("source"), F.first("size").alias("size"))
-    due = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("m") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    due = F.col("m") * F.when(F.col("size") > 0, each).otherwise(F.floor(each))
     items = items.join(side, items["source"].eqNullSafe(side["s"])).drop("s").withColumn("due", due)
     items = cut(items.select("key", "m", "source", "n_docs", "size", F.floor("due").alias("whole"), (F.col("due") - F.floor("due")).alias("p")), "items")
     open_rows = items.where("p > 0").select("source", "n_docs", F.struct((-F.col("size")).alias("order"), "key", "size", "p").alias("d"))

@@ -61,10 +61,12 @@ class Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def get(self, key: str) -> bytes | None:
-        if (v := self.young.get(key)) is None and (v := self.old.get(key)) is not None:
-            self.young[key] = v
-        return v
+    def get(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, keys))
+        for i in [i for i, v in enumerate(found) if v is None] if None in found else ():
+            if (v := self.old.get(keys[i])) is not None:
+                found[i] = self.young[keys[i]] = v
+        return found
 
     def turn(self) -> None:
         """To be called between batches."""
@@ -135,24 +137,28 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         self.pieces.turn()
-        known = [self.pieces.get(p) if p not in ("", "\0") else b"" for p in names]
-        if missing := [i for i, b in enumerate(known) if b is None]:
+        known = self.pieces.get(names)
+        for p, ids in (("", b""), ("\0", np.array([END], "<u4").tobytes())):
+            if p in names:
+                known[names.index(p)] = ids
+        if missing := [i for i, b in enumerate(known) if b is None] if None in known else []:
             self._learn([names[i] for i in missing])
             for i in missing:
                 known[i] = self.pieces.young[names[i]]
-        known = [np.array([END], "<u4").tobytes() if p == "\0" else b for p, b in zip(names, known, strict=True)]
-        ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in known])]).astype(np.int32)
-        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(known), "<u4"))).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)])
+        ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(known), "<u4"))).take(coded.indices)
         offsets = cut.offsets.to_numpy().astype(np.int64)
         return pa.LargeListArray.from_arrays(pa.array(ids.offsets.to_numpy()[offsets - offsets[0]] - ids.offsets[0].as_py()), ids.flatten())
 
     def _odd_one(self, text: str) -> np.ndarray:
         self.seen.turn()
         words = re.split("[\t-\r ]+", text)
-        for w in words:
-            if self.seen.get(w) is None:
-                self.seen.young[w] = self.whole(w)
-        return np.frombuffer(b"".join([*map(self.seen.get, words), np.array([END], "<u4").tobytes()]), "<u4")
+        ids = self.seen.get(words)
+        for i in [i for i, b in enumerate(ids) if b is None]:
+            if (b := self.seen.young.get(words[i])) is None:
+                b = self.seen.young[words[i]] = self.whole(words[i])
+            ids[i] = b
+        return np.frombuffer(b"".join([*ids, np.array([END], "<u4").tobytes()]), "<u4")
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and the documents' offsets in them."""
