@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog_queries import query
 from .functions import names as N
-from .plans.cursor import Cursor, markdown
+from .plans.cursor import Cursor, markdown, symbol_rows
 from .plans.engine import Catalog
 from .sources import php
 
@@ -22,7 +22,7 @@ use function Lib\help;
 /** A <b>user</b>. */
 class User extends Base implements Named {
   use Greets;
-  const LIMIT = 5;
+  /** @deprecated 2 use CAP */ const LIMIT = 5;
   /** @var Base */
   private $inner;
   private $made;
@@ -762,3 +762,16 @@ def code_name_tokens(spark, d):
 
     rows = spark.createDataFrame([("getÉtatList",), ("BöseÜberraschung",), ("WP_Object_C",)], "name string")
     return rows.select("name", F.explode(T.tokens(F.col("name"))).alias("token"))
+
+
+@query(r"""SELECT CAST(line AS INTEGER) AS line, fqn, member, deprecated FROM (VALUES (24, '\App\User', 'LIMIT', '2 use CAP')) t(line, fqn, member, deprecated)""")
+def code_deprecated_members(spark, d):
+    return _cursor(spark).deprecated().select("line", "fqn", "member", "deprecated")
+
+
+@query(
+    r"""SELECT name, CAST(kind AS INTEGER) AS kind, container, CAST(line AS INTEGER) AS line, deprecated FROM (VALUES ('Other', 5, '\App', 2, false), ('deep', 6, '\App\Other', 4, false), ('__construct', 6, '\App\Other', 5, false), ('$hid', 7, '\App\Other', 6, false)) t(name, kind, container, line, deprecated)"""
+)
+def code_symbol_rows(spark, d):
+    rows = symbol_rows(_cursor(spark).catalog.symbols.where(F.col("uri") == OTHER))
+    return rows.select("name", "kind", "container", F.col("range.start.line").alias("line"), "deprecated")

@@ -26,6 +26,18 @@ STATIC_COST = 1
 ITEM = ["kind", "label", "insert_text", "detail", "documentation", "fqn", "edit_line", "edit_character", "edit_text"]
 
 
+#: Numbers that editors give to kinds of symbols.
+SYMBOL_KINDS = {"namespace": 3, "class": 5, "trait": 5, "method": 6, "property": 7, "interface": 11, "function": 12, "global": 13, "const": 14, "class_const": 14, "define": 14}
+
+
+def symbol_rows(symbols: DataFrame) -> DataFrame:
+    """(name, kind number, container, uri, range, deprecated) of symbols, as editors list them."""
+    number = F.create_map(*[F.lit(x) for pair in SYMBOL_KINDS.items() for x in pair])
+    container = F.when(F.col("owner") != "", F.col("owner")).otherwise(N.namespace_of(F.col("fqn")))
+    start, end = N.position(F.col("start_line"), F.col("start_char")), N.position(F.col("end_line"), F.col("end_char"))
+    return symbols.select("name", number[F.col("kind")].alias("kind"), container.alias("container"), "uri", F.struct(start.alias("start"), end.alias("end")).alias("range"), F.col("deprecated").isNotNull().alias("deprecated"))
+
+
 @dataclass
 class Context:
     """What is asked for at a place: the variant of completion, the word typed, the place where the scope's expression ends."""
@@ -152,6 +164,12 @@ class Cursor:
         found = self.node_at(uri, line, character).select(*KEYS).join(self.inference.definitions, KEYS)
         return found.orderBy("ord", "target_uri", "target_line").select("fqn", "member", *TARGET)
 
+    def deprecated(self) -> DataFrame:
+        """One row per access that some deprecated declaration answers: members by the types of their scope, names by themselves."""
+        nodes = self.inference.nodes.select(*KEYS, F.col("start_line").alias("line"), F.col("start_char").alias("character"))
+        hits = self.inference.definitions.where("deprecated is not null").select(*KEYS, "ord", "fqn", "member", "deprecated")
+        return H.first_wins(nodes.join(hits, KEYS), ["uri", "line", "character"], ["ord", "fqn", "member"]).select("uri", "line", "character", "fqn", "member", "deprecated")
+
     def hover(self, uri: str, line: int, character: int) -> DataFrame:
         """Markdown for what stands at a place: a variable with its types, or the declarations that it means."""
         node = self.node_at(uri, line, character)

@@ -21,6 +21,17 @@ def debounced(stream: DataFrame, key: str, at: str, quiet: str, late: str = "10
     return runs.agg(F.max_by(F.struct(*others), at).alias("last"), F.count("*").alias("n"))
 
 
+def windowed(stream: DataFrame, key: str, at: str, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """(key, window, n, first, last) of tumbling windows, or sliding ones; events later than the watermark are let go (append mode)."""
+    w = F.window(at, width, slide) if slide else F.window(at, width)
+    return stream.withWatermark(at, late).groupBy(key, w.alias("window")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def once(stream: DataFrame, keys: list[str], at: str, late: str = "10 minutes") -> DataFrame:
+    """Events without those that repeat a key within the watermark; state is kept for that long only."""
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
 def folded_texts(stream: DataFrame, key: str) -> DataFrame:
     """(key, seq, text) after each micro-batch: edits (seq, start, end, text; null start: all) applied in order of seq, old ones dropped.
 

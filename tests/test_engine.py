@@ -138,3 +138,18 @@ def test_streams(spark, tmp_path):
     q = edits.latest_per_key(stream, "uri", "ts").writeStream.format("memory").queryName("latest").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.last.n for r in spark.table("latest").collect()] == [3]
+
+
+def test_windows_and_repeats_of_streams(spark, tmp_path):
+    from sparkloom.streaming import edits
+
+    rows = spark.sql("SELECT * FROM VALUES ('u', timestamp'2024-01-01 00:00:01', 1), ('u', timestamp'2024-01-01 00:00:02', 1), ('u', timestamp'2024-01-01 00:00:07', 2), ('v', timestamp'2024-01-01 00:09:00', 3) t(uri, ts, n)")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    run = lambda df, name: df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(60)
+    run(edits.windowed(stream, "uri", "ts", "5 seconds", late="1 minute"), "tumbling")
+    assert sorted(r.n for r in spark.table("tumbling").where("uri = 'u'").collect()) == [1, 2]
+    run(edits.windowed(stream, "uri", "ts", "10 seconds", "5 seconds", late="1 minute"), "sliding")
+    assert sorted(r.n for r in spark.table("sliding").where("uri = 'u'").collect()) == [1, 2, 3]
+    run(edits.once(stream, ["uri", "n"], "ts", "1 minute"), "once")
+    assert sorted(r.n for r in spark.table("once").collect()) == [1, 2, 3]
