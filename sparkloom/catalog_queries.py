@@ -613,3 +613,9 @@ def publish_lists(spark, d):
     found = docs.select(F.col("doc_id").alias("uri"), F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).where(F.contains("t", F.lit("password"))).select("uri", "line")
     batch = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("uri"))
     return publish.by_document(found, batch).select("uri", F.array_join("diagnostics.line", ",").alias("lines"))
+
+
+@query("SELECT p_partkey AS symbol_key FROM part WHERE regexp_matches(lower(replace(p_name, ' ', '')), 's.*m.*w')")
+def fuzzy_candidates(spark, d):
+    """Names that hold a pattern's characters in order: all that a fuzzy score can be positive for."""
+    return _symbols(spark, d).where(T.may_match(F.col("name"), "smw")).select("symbol_key")

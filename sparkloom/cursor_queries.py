@@ -530,11 +530,12 @@ def code_name_completion(spark, d):
     """Drafts that stand in no file yet: names, types, classes, interfaces, traits, and what a backslash finds."""
     c = _cursor(spark)
     drafts = {"he": "namespace App; function t() { he", "new": "namespace App; $a = new Ot", "extends": "namespace App; class A extends Ba", "implements": "namespace App; class A implements Na", "trait": "namespace App; class A { use Gr", "type": "namespace App; function f(Na", "flag": "namespace App; echo FL", "slash": "echo \\Li"}
-    out = []
-    for label, body in drafts.items():
-        text = "<?php\n" + body
-        variant, items = Cursor(c.catalog.with_document(DRAFT, text), c.inference).completion(DRAFT, text, len(text))
-        out.append(items.select(F.lit(label).alias("draft"), F.lit(variant).alias("variant"), "kind", "label", "insert_text", F.trim(F.regexp_replace("edit_text", r"[\r\n]", "")).alias("edit")))
+    texts = {f"{DRAFT}/{label}": "<?php\n" + body for label, body in drafts.items()}
+    rows = c.catalog.rows.unionByName(php.extract(spark.createDataFrame(list(texts.items()), "uri string, content string"))).persist()
+    cursor, out = Cursor(Catalog(rows), c.inference), []
+    for uri, text in texts.items():
+        variant, items = cursor.completion(uri, text, len(text))
+        out.append(items.select(F.lit(uri.rpartition("/")[2]).alias("draft"), F.lit(variant).alias("variant"), "kind", "label", "insert_text", F.trim(F.regexp_replace("edit_text", r"[\r\n]", "")).alias("edit")))
     return reduce(DataFrame.unionByName, out)
 
 
