@@ -122,11 +122,19 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    # row groups that many writing tasks can hold at once
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a columnar batch of the Parquet reader: texts of a few kilobytes stay in arrays of about a megabyte.
+READER_ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; the session reads Parquet in small batches from here on, unless it was told to another size than Spark's own."""
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
