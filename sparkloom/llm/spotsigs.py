@@ -9,8 +9,8 @@ before any hash is compared, and the pair join partitions sets by length.
 A document's own set is made before the texts are dealt out in order and travels with its text, so each set is made once.
 
 Defined cases: a null text is empty; an empty set has an empty fingerprint, likeness 1 to another empty set and 0 to any
-other; a very long text is read whole; documents are ordered by doc_id (null first), then text, repeated rows next to each
-other in any order (they are equal); the next of the last is the first (itself, if alone); an empty table gives no rows;
+other; a very long text is read whole; documents are ordered by doc_id (null first), then a hash of the text, equal rows next to
+each other; the next of the last is the first (itself, if alone); an empty table gives no rows;
 extra columns, also of the names used here, are ignored.
 """
 
@@ -28,8 +28,11 @@ ANCHORS = (
     "au aux avec ce dans de des du elle en est et il la le les pas par pour que qui sur un une "
     "al con del el ella en es las lo los más no para pero por se su una y"
 ).split()
-#: Documents per block of the order by doc_id, and the most blocks (beyond, blocks grow; their sort can spill).
-BLOCK, MOST_BLOCKS = 2_000, 4_096
+#: Documents per block of the order by doc_id; quantiles of doc_id that cut blocks at most (beyond, blocks grow; their sort can spill);
+#: equal rows that one task writes out at most.
+BLOCK, MOST_BLOCKS, CHUNK = 2_000, 4_096, 1_000
+#: Blocks that one doc_id may be cut to.
+SUBS = 1 << 20
 
 
 def signature_set(text: Column) -> Column:
@@ -64,31 +67,54 @@ def with_next(docs: DataFrame, block: int = BLOCK, carry=None) -> DataFrame:
     """doc_id, text (null: empty), next_text, the text of the next document in order, and with ``carry`` (a function of the
     text's column) also own and next_own, what it gives for both texts.
 
-    Blocks of ids are cut at quantiles; each block also gets a ghost of the next block's first document, so one shuffle
-    deals the texts out and no task sees more than a block."""
-    ids = docs.select("doc_id")
-    n = ids.count()
-    m = min(MOST_BLOCKS, max(1, -(-n // block)))
-    cuts = sorted({x for x in (ids.agg(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 10 * m)).first()[0] or [])}) if m > 1 else []
-    # one number per block, held in the plan
-    number = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket(F.col("doc_id"), cuts))
-    firsts = {r["b"]: r["f"] for r in ids.select(number.alias("b"), "doc_id").groupBy("b").agg(F.min(F.struct("doc_id")).alias("s")).select("b", F.col("s.doc_id").alias("f")).collect()}
-    order = sorted(firsts)
-    after = {b: order[i - 1] if i else order[-1] for i, b in enumerate(order)}  # the block that ends before block b begins
-    ghosts = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(firsts[b]).cast(docs.schema["doc_id"].dataType).alias("f"), F.lit(after[b]).alias("b")))]) if order else None
+    Different rows are ordered by doc_id and a hash of the text.  Blocks are cut at quantiles of the ids, and an id with more rows than
+    two blocks is cut by hash; each block also gets a ghost of the next block's first row, so one shuffle deals the texts out
+    and no task sees more than a block.  Equal rows follow each other, so only the last one's next is another text: they are
+    brought to one before they move and written out again after."""
     text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", text.alias("text")).withColumn("th", F.xxhash64("text"))
+    per = cut(own.groupBy("doc_id", "th").agg(F.count("*").alias("c")), "ids")
+    n = per.count()
+    m = min(MOST_BLOCKS, max(1, -(-n // block)))
+    cuts = sorted({x for x in (per.agg(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 10 * m)).first()[0] or [])}) if m > 1 else []
+    # ids that fill blocks of their own: at most one per two blocks
+    hot = per.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block).collect()
+    # one number per block, held in the plan: nulls first; rows of a hot id by hash before the other ids of its block
+    number = (F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _bucket(F.col("doc_id"), cuts))).cast("long") * SUBS
+    place = F.lit(SUBS - 1)
+    for r in hot:
+        share = F.floor((F.col("th").cast("double") / F.lit(2.0**64) + 0.5) * F.lit(min(SUBS - 2, -(-r["n"] // block))))
+        place = F.when(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"])), share).otherwise(place)
+    number = number + place
+    least = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th")
+    firsts = {r["b"]: (r["f"]["doc_id"], r["f"]["th"]) for r in per.select(number.alias("b"), least.alias("f")).groupBy("b").agg(F.min("f").alias("f")).collect()}
     kept = ["text"] if carry is None else ["text", "own"]
-    rows = docs.select("doc_id", text.alias("text"), number.cast("int").alias("b"), *([] if carry is None else [carry(text).alias("own")]))
-    if ghosts is None:
+    again = per.where("c > 1")
+    few = again.count()
+    single = own.withColumn("c", F.lit(1).cast("long"))
+    if few:
+        some = again.select(F.col("doc_id").alias("k"), F.col("th").alias("t"), "c")
+        some = F.broadcast(some) if few <= 500_000 else some
+        same = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))
+        single = own.join(some, same, "left_anti").withColumn("c", F.lit(1).cast("long")).unionByName(own.join(some, same).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("c").alias("c")))
+    rows = single.select("doc_id", "text", "th", "c", number.alias("b"), *([] if carry is None else [carry(F.col("text")).alias("own")]))
+    order = sorted(firsts)
+    if not order:
         return rows.select("doc_id", *kept, *[F.col(c).alias(f"next_{c}") for c in kept])
+    after = {b: order[i - 1] if i else order[-1] for i, b in enumerate(order)}  # the block that ends before block b begins
+    kind = docs.schema["doc_id"].dataType
+    ghosts = F.create_map(*[x for b in order for x in (F.lit(b).cast("long"), F.struct(F.lit(firsts[b][0]).cast(kind).alias("f"), F.lit(firsts[b][1]).cast("long").alias("t"), F.lit(after[b]).cast("long").alias("b")))])
     g = F.element_at(ghosts, F.col("b"))
-    places = F.when(g["f"].eqNullSafe(F.col("doc_id")), F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost")), F.struct(g["b"].alias("b"), F.lit(1).alias("ghost")))).otherwise(
-        F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost")))
-    )
-    dealt = rows.select("doc_id", *kept, F.inline(places))
-    w = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
-    after = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in kept}).where("ghost = 0")
-    return after.select("doc_id", *kept, *[f"next_{c}" for c in kept])
+    here = F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost"))
+    places = F.when(g["f"].eqNullSafe(F.col("doc_id")) & (g["t"] == F.col("th")), F.array(here, F.struct(g["b"].alias("b"), F.lit(1).alias("ghost")))).otherwise(F.array(here))
+    dealt = rows.select("doc_id", "th", "c", *kept, F.inline(places))
+    w = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "th")
+    last = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in kept}).where("ghost = 0").select("doc_id", *kept, *[f"next_{c}" for c in kept])
+    if not few:
+        return last
+    more = rows.where("c > 1").select("doc_id", "th", *kept, (F.col("c") - 1).alias("c")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / CHUNK)))).repartition("doc_id", "th", "chunk")
+    more = more.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.col("c") - F.col("chunk") * CHUNK).cast("int"))))
+    return last.unionByName(more.select("doc_id", *kept, *[F.col(c).alias(f"next_{c}") for c in kept]))
 
 
 def _bucket(x: Column, cuts: list) -> Column:

@@ -643,3 +643,14 @@ def test_fingerprints_are_those_spots(spark):
         assert got[i].fingerprint == shown(s)
         assert got[i].near_next == pytest.approx(near(s, sets[(i + 1) % len(sets)]))
     assert got[0].near_next == 0.5  # two of four spots
+
+
+def test_order_of_hot_ids_and_equal_rows(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(150)] + [(i, f"other {i}") for i in range(200)] + [(3, "copy")] * 2_500 + [(None, None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    h = {t: r for t, r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    order = sorted(((i is not None, i or 0, h[t or ""], t or "") for i, t in rows))
+    want = Counter((i if k else None, t, order[(n + 1) % len(order)][3]) for n, (k, i, _, t) in enumerate(order))
+    for block in (20, 100_000):
+        got = Counter((r.doc_id, r.text, r.next_text) for r in spotsigs.with_next(df, block=block).collect())
+        assert got == want
