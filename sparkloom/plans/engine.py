@@ -6,6 +6,8 @@ and edges are views of the same frame.  Requests are DataFrames; several probes
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,12 @@ class Catalog:
         """Takes every row away; the catalog stays readable."""
         spark.createDataFrame([], php.SCHEMA).write.mode("overwrite").parquet(f"{path}/rows")
 
+    def kept(self) -> Catalog:
+        """The same catalog over rows written to the shared folder, so requests read tables and not the sources again."""
+        path = f"{H.shared_folder(self.rows.sparkSession)}/catalog-{uuid.uuid4().hex}"
+        self.rows.write.partitionBy("tag").parquet(path)
+        return Catalog(self.rows.sparkSession.read.schema(php.SCHEMA).parquet(path).select(*php.COLUMNS))
+
     def with_document(self, uri: str, text: str) -> Catalog:
         """The catalog with a document as an editor holds it, read or not before."""
         spark = self.rows.sparkSession
@@ -317,9 +325,11 @@ class Workspace:
             if not catalog.rows.isEmpty():
                 self.catalogs[root] = catalog
                 return catalog
-        self.catalogs[root] = Catalog.of_folder(self.spark, folder, stubs)
+        catalog = Catalog.of_folder(self.spark, folder, stubs)
         if saved:
-            self.catalogs[root].save(saved)
+            catalog.save(saved)
+            catalog = Catalog.load(self.spark, saved)
+        self.catalogs[root] = catalog if saved else catalog.kept()
         return self.catalogs[root]
 
     def remove(self, root: str) -> None:
