@@ -654,3 +654,14 @@ def test_order_of_hot_ids_and_equal_rows(spark):
     for block in (20, 100_000):
         got = Counter((r.doc_id, r.text, r.next_text) for r in spotsigs.with_next(df, block=block).collect())
         assert got == want
+
+
+def test_language_model_ignores_other_columns_and_reads_long_texts(spark):
+    data = [(i, prose(700 + i, 30)) for i in range(20)] + [(50, prose(720, 60_000)), (51, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    odd = df
+    for c in ("held_out", "score", "shard", "blob", "n_tokens", "base_score"):
+        odd = odd.withColumn(c, F.lit("x"))
+    plain, more = ({r.doc_id: tuple(r) for r in ngram_lm.train_and_score(d).collect()} for d in (df, odd.repartition(3)))
+    assert plain[50][2] == 60_001 and plain[51][2] == 1
+    assert all(plain[k][:5] == more[k][:5] and plain[k][5:] == pytest.approx(more[k][5:], rel=1e-9) for k in plain)
