@@ -50,7 +50,11 @@ def splice(text: Column, start: Column, end: Column, inserted: Column) -> Column
 
 
 def edit_fold(edits: DataFrame, key: str, order: str, base: DataFrame | None = None) -> DataFrame:
-    """(key, text): edits struct(start int, end int, text) of each document applied in order to its base text (none: empty)."""
+    """(key, text): edits struct(start int, end int, text) of each document applied in order to its base text (none: empty).
+
+    What stands before a document's last replacement of the whole text is not gathered; the join and the gathering share a shuffle."""
+    whole = edits.where("start is null").groupBy(key).agg(F.max(order).alias("_from"))
+    edits = edits.join(whole, key, "left").where(F.col("_from").isNull() | (F.col(order) >= F.col("_from"))).drop("_from")
     folded = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "start", "end", "text"))).alias("e"))
     if base is not None:
         folded = folded.join(base.select(key, F.col("text").alias("_t")), key, "left")
