@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, word_count, words
 
 #: The windows are broadcast up to this many bytes of text and rows; beyond, the join shuffles.
 BROADCAST_BYTES, BROADCAST_ROWS = 32_000_000, 200_000
@@ -73,7 +73,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int
     per = places(docs, benchmark, n, most).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))
     hit = _few(per.select(F.col("doc_id").alias("k"), F.col("th").alias("t"), F.size(covered).alias("n_hit"), F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha")), "contaminated")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), word_count(F.col("text")).alias("n_words"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")), "left").select(
         "doc_id", "n_words", count("n_hit").alias("n_hit"), count("n_items").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
