@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before its letters are lower-cased.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def by_value(module_name: str) -> None:
@@ -41,11 +39,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
-def word_count(text: Column) -> Column:
-    """How many words a text (null: none) has, without making them."""
-    return F.coalesce(F.regexp_count(text, F.lit(ANY_WORD)), F.lit(0)).cast("long")
-
-
 def let(value: Column, body) -> Column:
     """Bind a value once for use inside higher-order functions: body is a function of the bound column."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
