@@ -31,17 +31,23 @@ def closure_loop(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
     spark: SparkSession = edges.sparkSession
     step = edges.where("parent IS NOT NULL").select(F.col("child").alias("node"), "parent").distinct()
     frontier, depth, paths = seeds.select("seed", F.col("seed").alias("node")).distinct(), 0, []
+    schema = frontier.withColumn("depth", F.lit(0).cast("long")).schema
+    kind = step.schema["node"].dataType
+    if kind == schema["node"].dataType:  # else nothing joins as it stands and each round casts
+        path = f"{folder}/edges-{uuid.uuid4().hex}"
+        step.write.parquet(path)
+        step = spark.read.schema(step.schema).parquet(path)
     while True:
         path = f"{folder}/depth-{depth}-{uuid.uuid4().hex}"
         frontier.withColumn("depth", F.lit(depth).cast("long")).write.parquet(path)
-        frontier = spark.read.parquet(path)
+        frontier = spark.read.schema(schema).parquet(path)  # the schema is known: no job reads it from the files
         if frontier.isEmpty():
             break
         paths.append(path)
-        known = spark.read.parquet(*paths).select("seed", "node")
+        known = spark.read.schema(schema).parquet(*paths).select("seed", "node")
         frontier = frontier.join(step, "node").select("seed", F.col("parent").alias("node")).distinct().join(known, ["seed", "node"], "left_anti")
         depth += 1
-    return spark.read.parquet(*paths) if paths else frontier.withColumn("depth", F.lit(0).cast("long"))
+    return spark.read.schema(schema).parquet(*paths) if paths else frontier.withColumn("depth", F.lit(0).cast("long"))
 
 
 def shared_folder(spark: SparkSession) -> str:
