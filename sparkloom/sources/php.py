@@ -34,7 +34,7 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 KEYWORDS = frozenset(
     "abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile exit extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public require require_once return static switch throw trait try unset use var while xor yield".split()
 )
-NATIVES = frozenset(N.NATIVES)
+NATIVES, RELATIVE, PARENT = frozenset(N.NATIVES), frozenset(N.RELATIVE), frozenset(N.PARENT)  # plain values: workers need no other module
 MAGIC = {"self", "static", "parent", "$this"}
 LEX = re.compile(
     r"""(?P<doc>/\*\*.*?(?:\*/|\Z))|(?P<comment>/\*.*?(?:\*/|\Z)|//(?:(?!\?>)[^\r\n])*|\#(?!\[)(?:(?!\?>)[^\r\n])*)|(?P<close>\?>)"""
@@ -147,8 +147,8 @@ class Extractor:
 
     def class_name(self, name: str) -> str:
         low = name.lower()
-        if low in N.RELATIVE or low in N.PARENT:
-            return (self.parent if low in N.PARENT else self.owner) or name
+        if low in RELATIVE or low in PARENT:
+            return (self.parent if low in PARENT else self.owner) or name
         if name.startswith("\\") or low in NATIVES:
             return name
         head, _, rest = name.partition("\\")
@@ -597,7 +597,7 @@ class Extractor:
         """A node for a member of the node just read; modifier says how the scope is named."""
         scope = self.rows[self.last] if self.last is not None else {"kind": "", "name": ""}
         low = scope["name"].lower()
-        how = "this" if scope["kind"] == "this" else "parent" if low in N.PARENT else "relative" if low in N.RELATIVE and scope["kind"] == "class" else "name"
+        how = "this" if scope["kind"] == "this" else "parent" if low in PARENT else "relative" if low in RELATIVE and scope["kind"] == "class" else "name"
         return self.node(kind, token.text, token, self.last, modifier=how)["seq"]
 
     def variable(self, token: Token, types: str | None = None) -> int:
