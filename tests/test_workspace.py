@@ -147,3 +147,15 @@ def test_cycles_end(spark):
 def test_messages_are_plain_json():
     body = remote.frame({"a": [1, "ü"]}).split(b"\r\n\r\n", 1)[1]
     assert json.loads(body) == {"a": [1, "ü"]}
+
+
+def test_extraction_runs_on_workers_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(php._extract))
+    code = "import pickle, pyarrow as pa; f = pickle.load(open('f', 'rb')); b = pa.record_batch([pa.array(['u']), pa.array([b'<?php class A { function f() { return self::g(); } }'])], ['uri', 'content']); print(sum(x.num_rows for x in f(iter([b]))) > 3)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60, env={"PATH": "/usr/bin:/bin"})
+    assert out.stdout.strip() == "True", out.stderr
