@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontaminate, importance, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, wrappers
+from . import dartminhash, decontaminate, importance, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, urlrules, wrappers
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(urlrules.RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE}
+    return {"op10_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE, "op13_url_filters": urlrules.ORACLE}
