@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontaminate, importance, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, urlrules, wrappers
+from . import dartminhash, decontaminate, divergence, importance, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, urlrules, wrappers
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(urlrules.RULES, "host string, path string, verdict string"))
 
@@ -63,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE, "op13_url_filters": urlrules.ORACLE}
+    return {"op10_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_url_filters": urlrules.ORACLE}
