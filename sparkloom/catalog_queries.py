@@ -472,13 +472,6 @@ def _words(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("place", "ref"))
 
 
-@query(SEARCH_SQL)
-def stored_filter_search(spark, d):
-    """By the filters that are kept of the documents: those that can hold a name, then the name itself."""
-    words = _words(spark, d)
-    return R.search(words, R.filters(words, "doc_id", "ref"), "doc_id", "ref", REFS).groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
-
-
 @query(
     "SELECT doc_id, CASE WHEN len(ls) <= 2 THEN length(text) ELSE least(length(ls[1]) + length(ls[2]) + 2 + 7, length(text)) END AS offset_ FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)"
 )

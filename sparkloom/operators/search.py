@@ -82,3 +82,51 @@ def unique_first(found: DataFrame, key: str, order: list[str]) -> DataFrame:
     others = [c for c in found.columns if c != key]
     best = found.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_r"))
     return best.select(key, *[F.col("_r")[c].alias(c) for c in others])
+
+
+def prefix_pairs(words: DataFrame, tokens: DataFrame, head: int = 3) -> DataFrame:
+    """(word, token) of different words and tokens where the token starts with the word, by equality of bounded prefixes.
+
+    Both sides are cut to the first ``head`` characters; a word that is shorter meets the tokens' prefixes of its own length, so
+    tokens are listed once for each length that occurs among the words (``head + 1`` at most)."""
+    words = words.select("word").where("word IS NOT NULL").distinct()
+    lengths = sorted(r.n for r in words.select(F.least(F.length("word"), F.lit(head)).alias("n")).distinct().collect())
+    heads = F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("n")
+    heads = tokens.select("token").distinct().select("token", heads).where(F.col("n") <= F.length("token")).select("token", F.substring("token", F.lit(1), F.col("n")).alias("head"))
+    return words.withColumn("head", F.substring("word", 1, head)).join(heads, "head").where(F.col("token").startswith(F.col("word"))).select("word", "token")
+
+
+def search_many(index: DataFrame, searches: DataFrame, limit: int = LIMIT, head: int = 3) -> DataFrame:
+    """(search, symbol_key, word_ord, token, place, is_complete): of each search its first ``limit`` symbols and whether they are all.
+
+    searches(search, word_ord, word): a search has some words; a symbol is found by its least (word_ord, token), and symbols are listed by
+    that and their key.  index(token, symbol_key).  Whole results need no more than this: of a token its first limit + 1 symbols (any
+    symbol of the result is among those of its own token), and of a search its first (limit + 1) x m tokens, where m is the most tokens
+    that a symbol has (so many tokens hold limit + 1 symbols).  So a token that half of the symbols have, or a word that is one letter,
+    stays small.  A search without hits has no rows."""
+    rows = index.select("token", "symbol_key").distinct()
+    most = rows.groupBy("symbol_key").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("m")).first()["m"]
+    pairs = prefix_pairs(searches, rows, head)
+    asked = searches.join(pairs, "word").groupBy("search", "token").agg(F.min("word_ord").cast("long").alias("word_ord"))
+    in_order = Window.partitionBy("search").orderBy("word_ord", "token")
+    asked = asked.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= (limit + 1) * most).drop("_n")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("token").orderBy("symbol_key"))).where(F.col("_n") <= limit + 1).drop("_n")
+    found = asked.join(first, "token").groupBy("search", "symbol_key").agg(F.min(F.struct("word_ord", "token")).alias("b"))
+    listed = found.withColumn("place", F.row_number().over(Window.partitionBy("search").orderBy("b.word_ord", "b.token", "symbol_key"))).where(F.col("place") <= limit + 1)
+    whole = listed.withColumn("is_complete", F.max("place").over(Window.partitionBy("search")) <= limit).where(F.col("place") <= limit)
+    return whole.select("search", "symbol_key", F.col("b.word_ord").alias("word_ord"), F.col("b.token").alias("token"), F.col("place").cast("long").alias("place"), "is_complete")
+
+
+def path_prefixes(uri: Column) -> Column:
+    """The uri up to each of its separators, them included, and the whole uri."""
+    parts = F.split(uri, "/", -1)
+    return F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n < F.size(parts), "/").otherwise(""))), F.array(uri)))
+
+
+def route_many(df: DataFrame, uri: str, roots: DataFrame) -> DataFrame:
+    """Adds ``root``: of the roots (root, ord) that a uri lies in, the first by ord (null: none); roots end with a separator or are whole uris.
+
+    Each uri is taken apart into its path prefixes, which meet the roots by equality, so thousands of roots cost no more than one."""
+    spread = df.select(F.col(uri).alias("_uri")).where("_uri IS NOT NULL").distinct().select("_uri", F.explode(path_prefixes(F.col("_uri"))).alias("root"))
+    first = spread.join(roots.select("root", "ord"), "root").groupBy("_uri").agg(F.min(F.struct("ord", "root")).alias("_r"))
+    return df.join(first.select("_uri", F.col("_r.root").alias("root")), F.col(uri) == F.col("_uri"), "left").drop("_uri")
