@@ -37,9 +37,9 @@ from .common import by_value, cut, relax, small_batches, text_steps, worker_cach
 by_value(__name__)
 
 #: Terms of an automaton, and their longest.
-CORE, CORE_CHARS = 100_000, 32
+CORE, CORE_CHARS = 200_000, 32
 #: Counts a task holds before it hands them on.
-HELD = 300_000
+HELD = 500_000
 #: Bytes of text read together.
 STEP = 1 << 21
 #: A share of 1.
@@ -135,18 +135,52 @@ def counted_terms(text: str, found, n_terms: int) -> tuple[np.ndarray, list[str]
     return np.bincount(at[:, 1], minlength=n_terms), [text[a:b] for a, b in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]
 
 
+class Sums:
+    """Counts by (group, term), as sorted pairs of numbers."""
+
+    def __init__(self):
+        self.keys, self.counts, self.new, self.n_new = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, group: int, counts: np.ndarray) -> None:
+        some = np.flatnonzero(counts)
+        self.new.append((some + (group << 32), counts[some]))
+        self.n_new += len(some)
+
+    def size(self) -> int:
+        """Different pairs; new ones are only merged where they could matter."""
+        if len(self.keys) + self.n_new >= HELD:
+            keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+            counts = np.concatenate([self.counts, *(c for _, c in self.new)])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            self.keys, self.counts, self.new, self.n_new = keys[first], np.add.reduceat(counts, first) if len(first) else counts, [], 0
+        return len(self.keys) + self.n_new
+
+    def blocks(self, rows: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs with their counts, which are forgotten."""
+        self.n_new += HELD  # merge
+        self.size()
+        keys, counts = self.keys, self.counts
+        self.__init__()
+        for at in range(0, len(keys), rows):
+            yield keys[at : at + rows], counts[at : at + rows]
+
+
 def occurrences(rows: DataFrame, terms: dict[str, list[str]], name: str) -> DataFrame:
     """(lang, source, term, n): occurrences of all terms, kept or not; those of the core are recounted by its automaton."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, rest = {}, Counter()
+        groups: dict[tuple[str, str], int] = {}
+        core, rest = Sums(), Counter()
 
         def out():
-            for (lang, source), counts in core.items():
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array([shared.value[lang][i] for i in some.tolist()], pa.string()), pa.array(counts[some])], ["lang", "source", "term", "n"])
-            core.clear()
+            names = list(groups)
+            of = [n for n, _ in names]
+            for key, n in core.blocks():
+                group, term = key >> 32, key & (2**32 - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([of[g] for g in group], pa.string()), pa.array([names[g][1] for g in group], pa.string()), pa.array([shared.value[of[g]][t] for g, t in zip(group.tolist(), term.tolist(), strict=True)], pa.string()), pa.array(n)], ["lang", "source", "term", "n"])
             yield from handed_on(rest, ["lang", "source", "term"])
 
         for b in text_steps(batches, size=STEP):
@@ -154,10 +188,9 @@ def occurrences(rows: DataFrame, terms: dict[str, list[str]], name: str) -> Data
                 n = len(shared.value.get(lang, ()))
                 text = f" {b' '.join(whole[a:z] for a, z in spans.tolist()).decode()} "
                 counts, others = counted_terms(text, automaton(name, lang, shared.value[lang]) if n else None, n)
-                if n:
-                    core[lang, source] = core.get((lang, source), 0) + counts
+                core.add(groups.setdefault((lang, source), len(groups)), counts)
                 rest.update((lang, source, t) for t in others)
-            if len(rest) + sum(map(len, core.values())) >= HELD:
+            if len(rest) + core.size() >= HELD:
                 yield from out()
         yield from out()
         relax()
