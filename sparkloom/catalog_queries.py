@@ -211,7 +211,7 @@ CLOSURE_SQL = "WITH RECURSIVE walk(seed, node, depth) AS (SELECT p_partkey, p_pa
 
 @query(f"{CLOSURE_SQL} SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node")
 def ancestor_closure(spark, d):
-    return H.whole_closure(_edges(spark, d), _seeds(spark, d))
+    return H.closure_of_all(_edges(spark, d), _seeds(spark, d))
 
 
 def _members(spark, d):
@@ -226,7 +226,7 @@ MEMBERS_SQL = "members AS (SELECT l_partkey AS owner, CAST(l_linenumber AS BIGIN
     f"{CLOSURE_SQL}, c AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node), {MEMBERS_SQL} SELECT seed, name, owner, visibility, depth FROM (SELECT seed, m.name, m.owner, m.visibility, depth, row_number() OVER (PARTITION BY seed, m.name ORDER BY depth, m.owner) AS r FROM c JOIN members m ON m.owner = c.node WHERE depth = 0 OR m.visibility <> 2) WHERE r = 1"
 )
 def inherited_members(spark, d):
-    up = H.whole_closure(_edges(spark, d), _seeds(spark, d))
+    up = H.closure_of_all(_edges(spark, d), _seeds(spark, d))
     rows = up.join(_members(spark, d), F.col("node") == F.col("owner")).where(H.instance_access(F.col("visibility"), F.col("owner"), F.col("seed"), F.col("depth") == 0, F.lit(True)))
     return H.first_wins(rows.select("seed", "name", "owner", "visibility", "depth"), ["seed", "name"], ["depth", "owner"])
 
@@ -235,7 +235,7 @@ def inherited_members(spark, d):
     f"{CLOSURE_SQL}, c AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node), {MEMBERS_SQL} SELECT how, seed, name, owner FROM (SELECT how, seed, m.name, m.owner, row_number() OVER (PARTITION BY how, seed, m.name ORDER BY depth, m.owner) AS r FROM c JOIN members m ON m.owner = c.node CROSS JOIN (VALUES ('parent'), ('relative'), ('name')) h(how) WHERE CASE how WHEN 'parent' THEN owner <> seed AND visibility <> 2 WHEN 'relative' THEN owner = seed OR visibility <> 2 ELSE static AND visibility = 0 END) WHERE r = 1"
 )
 def reduce_static(spark, d):
-    up = H.whole_closure(_edges(spark, d), _seeds(spark, d))
+    up = H.closure_of_all(_edges(spark, d), _seeds(spark, d))
     rows = up.join(_members(spark, d), F.col("node") == F.col("owner")).withColumn("how", F.explode(F.array(F.lit("parent"), F.lit("relative"), F.lit("name"))))
     rows = rows.where(H.static_access(F.col("visibility"), F.col("static"), F.col("owner"), F.col("seed"), F.col("how"), F.lit(False)))
     return H.first_wins(rows.select("how", "seed", "name", "depth", "owner"), ["how", "seed", "name"], ["depth", "owner"]).select("how", "seed", "name", "owner")
@@ -243,7 +243,7 @@ def reduce_static(spark, d):
 
 @query(f"{CLOSURE_SQL}, {MEMBERS_SQL} SELECT seed, arg_min(m.name, (depth, m.name)) AS name, min(depth) AS depth FROM walk JOIN members m ON m.owner = node WHERE visibility = 0 GROUP BY seed")
 def reduce_first_public(spark, d):
-    rows = H.whole_closure(_edges(spark, d), _seeds(spark, d)).join(_members(spark, d), F.col("node") == F.col("owner")).where("visibility = 0")
+    rows = H.closure_of_all(_edges(spark, d), _seeds(spark, d)).join(_members(spark, d), F.col("node") == F.col("owner")).where("visibility = 0")
     return H.first_wins(rows.select("seed", "depth", "name"), ["seed"], ["depth", "name"]).select("seed", "name", "depth")
 
 
@@ -268,6 +268,27 @@ def outline_promote(spark, d):
     return H.nearest_kept(nodes, _edges(spark, d), F.col("p_size") % 2 == 0)
 
 
+TREE_SQL = "WITH RECURSIVE t(node, path) AS (SELECT p_partkey, [p_partkey] FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, list_append(path, p_partkey) FROM part JOIN t ON p_partkey // 2 = node AND p_partkey > 0)"
+
+
+def _tree(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 0, F.expr("p_partkey div 2")).alias("parent"), F.lit(0).alias("ord"))
+
+
+@query(f"{TREE_SQL}, n AS (SELECT a AS node, count(*) AS size FROM (SELECT unnest(path) AS a FROM t) GROUP BY a) SELECT node, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS pre, size FROM t JOIN n USING (node)")
+def tree_order(spark, d):
+    """Places and subtree sizes of a walk of the heap tree of part keys: ancestor tests are ranges."""
+    return H.tree_order(_tree(spark, d))
+
+
+@query(
+    f"{TREE_SQL}, s AS (SELECT p_partkey FROM part WHERE p_size % 10 = 0) SELECT node, len(path) - 1 AS depth, row_number() OVER (ORDER BY path) - 1 AS place FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE p_partkey <> node AND list_contains(path, p_partkey))"
+)
+def tree_walk(spark, d):
+    """The walk that does not go below parts of certain sizes."""
+    return H.tree_walk(_tree(spark, d), _t(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("node")))
+
+
 WORDS_SQL = "SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS ref FROM documents"
 
 

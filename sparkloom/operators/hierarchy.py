@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,7 +45,7 @@ def closure_loop(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
             break
         paths.append(path)
         known = spark.read.schema(schema).parquet(*paths).select("seed", "node")
-        frontier = frontier.join(step, "node").select("seed", F.col("parent").alias("node")).distinct().join(known, ["seed", "node"], "left_anti")
+        frontier = frontier.join(step, "node").select("seed", F.col("parent").cast(schema["node"].dataType).alias("node")).distinct().join(known, ["seed", "node"], "left_anti")
         depth += 1
     return spark.read.schema(schema).parquet(*paths) if paths else frontier.withColumn("depth", F.lit(0).cast("long"))
 
@@ -66,6 +66,82 @@ def whole_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure_loop(edges, seeds, f"{shared_folder(edges.sparkSession)}/closure-{uuid.uuid4().hex}")
 
 
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    """The frame, written to a new folder below one that is shared, and read back."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def closure_of_all(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same as whole_closure by doubled steps: after n rounds all that is nearer than 2^n steps is known, so a depth of a million takes twenty.
+
+    Each round joins what is known with the jumps of 2^n steps of all nodes, which pays where most nodes are seeds; for few seeds
+    whole_closure follows only what they reach.  Nearest depths are exact, as a way of any length is a known nearest one and a jump."""
+    spark: SparkSession = edges.sparkSession
+    folder = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
+    kind = seeds.schema["seed"].dataType
+    jumps = _written(edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").cast(kind).alias("node"), F.col("parent").cast(kind).alias("to")).distinct(), folder)
+    known = _written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("depth")).distinct(), folder)
+    n, length = known.count(), 1
+    while True:
+        new = known.join(jumps, "node").select("seed", F.col("to").alias("node"), (F.col("depth") + length).alias("depth"))
+        known = _written(known.unionByName(new).groupBy("seed", "node").agg(F.min("depth").alias("depth")), folder)
+        before, n = n, known.count()
+        if n == before:
+            return known
+        jumps = _written(jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")).distinct(), folder)
+        length *= 2
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row in an order, from 0: rows are dealt to ranges, and the sizes of the ranges before one are added to its own places."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), folder)
+    sizes = dealt.groupBy("_part").count()  # a row per partition
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_before")
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(node, path): for each node(node, parent, ord) the steps (ord, node) from its root, by doubled steps.
+
+    A parent that is no node makes its child a root.  Nodes on a cycle or below one have no path and no row."""
+    folder = f"{shared_folder(nodes.sparkSession)}/paths-{uuid.uuid4().hex}"
+    known = nodes.select(F.col("node").alias("parent")).distinct().withColumn("_known", F.lit(True))
+    paths = nodes.join(known, "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.array(F.struct("ord", "node")).alias("path"))
+    while True:
+        paths = _written(paths, folder)
+        if paths.where("up IS NOT NULL").isEmpty():
+            return paths.select("node", "path")
+        above = paths.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        joined = paths.join(above, "up", "left").where("up IS NULL OR _path IS NOT NULL")  # what has gone from the table was on a cycle
+        grown = joined.select("node", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.array().cast(paths.schema["path"].dataType)), "path").alias("path"))
+        steps = F.transform("path", lambda s: s["node"])
+        paths = grown.where((F.size(F.array_distinct(steps)) == F.size(steps)) & ~F.coalesce(F.array_contains(steps, F.col("up")), F.lit(False)))
+
+
+def tree_order(nodes: DataFrame) -> DataFrame:
+    """(node, depth, pre, size) of nodes(node, parent, ord): place in a walk that visits a node before its children, these by ord and node.
+
+    size counts the node and all below it, so b lies below a exactly if a.pre < b.pre < a.pre + a.size.  Several roots are walked in order."""
+    paths = tree_paths(nodes)
+    sizes = paths.select(F.explode("path.node").alias("node")).groupBy("node").agg(F.count("*").alias("size"))
+    placed = numbered(paths.select("node", (F.size("path") - 1).cast("long").alias("depth"), "path"), [F.col("path")], "pre")
+    return placed.drop("path").join(sizes, "node").select("node", "depth", F.col("pre").cast("long").alias("pre"), "size")
+
+
+def tree_walk(nodes: DataFrame, stops: DataFrame) -> DataFrame:
+    """(node, depth, place) of the nodes that a walk visits which does not go below the nodes of ``stops`` (node): these are visited themselves."""
+    paths = tree_paths(nodes)
+    above = paths.select(F.col("node").alias("below"), F.explode(F.slice("path.node", F.lit(1), F.size("path") - 1)).alias("node"))
+    hidden = above.join(stops.select("node").distinct(), "node", "left_semi").select(F.col("below").alias("node")).distinct()
+    seen = paths.join(hidden, "node", "left_anti")
+    return numbered(seen.select("node", (F.size("path") - 1).cast("long").alias("depth"), "path"), [F.col("path")], "place").select("node", "depth", F.col("place").cast("long").alias("place"))
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the first row in order, by an aggregate (partial sums keep hot keys small)."""
     others = [c for c in rows.columns if c not in keys]
@@ -90,6 +166,6 @@ def static_access(visibility: Column, static: Column, owner: Column, current: Co
 def nearest_kept(nodes: DataFrame, edges: DataFrame, kept: Column) -> DataFrame:
     """(node, parent, depth): kept nodes under their nearest kept ancestor (null: none); the others are spliced out."""
     keep = nodes.where(kept).select("node")
-    up = whole_closure(edges, keep.withColumnRenamed("node", "seed")).where("depth > 0")
+    up = closure_of_all(edges, keep.withColumnRenamed("node", "seed")).where("depth > 0")
     above = up.join(keep, "node", "left_semi").groupBy("seed").agg(F.min_by("node", "depth").alias("parent"), F.count("*").alias("depth"))
     return keep.join(above.withColumnRenamed("seed", "node"), "node", "left").select("node", "parent", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))

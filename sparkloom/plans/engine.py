@@ -17,6 +17,7 @@ from ..operators import hierarchy as H
 from ..operators import references as R
 from ..operators import search as S
 from ..operators import sync as Y
+from ..operators.tables import Buckets
 from ..sources import php
 
 #: Bundled sources have uris of this scheme.
@@ -118,6 +119,24 @@ class Catalog:
         gone = Y.reconcile(files, stored).where("status = 'delete'").select("uri")
         return Catalog(Y.replace_documents(self.rows, php.extract(new), new.select("uri").unionByName(gone)))
 
+    @staticmethod
+    def table(spark: SparkSession, folder: str, buckets: int = 64) -> Buckets:
+        """A table for the rows of catalogs, in buckets of documents."""
+        empty = spark.createDataFrame([], php.SCHEMA).select(*php.COLUMNS)
+        return Buckets(spark, folder, "uri", empty.schema, buckets)
+
+    @classmethod
+    def sync_table(cls, table: Buckets, files: DataFrame, stored: DataFrame, batch: int | None = None) -> Catalog:
+        """The catalog in a table after a new listing: only buckets of documents that changed or went are written, all at once, and the
+        catalog reads files whatever the number of syncs before."""
+        new = Y.changed(files, stored).persist()
+        gone = Y.reconcile(files, stored).where("status = 'delete'").select("uri")
+        try:
+            table.replace(new.select("uri").unionByName(gone), php.extract(new).select(*php.COLUMNS), batch)
+        finally:
+            new.unpersist()
+        return cls(table.read())
+
     def find(self, kind: str, fqn: str) -> DataFrame:
         """Declarations by name: classes and methods ignore the case of the last segment."""
         key = N.lookup_key(F.lit(fqn)) if kind == "class" else F.lower(F.lit(fqn)) if kind == "method" else F.lit(fqn)
