@@ -7,12 +7,21 @@ into an optional group.  The result is again a pattern, so a host's pages are fo
 order of their hashes, dealt to salts, then salts by SALTS at a time, so no task sees all pages of a large host and the
 wrapper is the same however the rows lie.
 
-Markup and wrapper together tell the article from the rest.  Regions that say what they are (nav, header, footer, aside,
-form, roles, names of classes and ids) are left out.  Where a page marks an article or main part, only that is kept; all of it, if
-whole articles are asked for, as the registered query does, else without the texts that the wrapper holds fixed over FIXED or
-more different pages (a lead that each issue repeats), unless those are the greater part and the pages copies of one article.
-Elsewhere the wrapper decides: fixed texts are the template's own, unless the page has no others; a block that is mostly links is left out where most blocks of the wrapper's group
-around it, over all pages of the host, are (a menu), and stays where they are not (a paragraph).  Nothing else is dropped.
+Markup and wrapper together tell the article from the rest.  Elements and roles that say what they are (nav, header, footer, aside,
+form) are left out; a header inside an article is its heading.  Names of classes and ids only make a region suspect:
+
+* named by listed words alone (`sidebar`, `related-posts`), it goes unless it holds more than half of the page's text beside reader
+  comments, so no article is lost with what is around it; a region of reader comments goes whatever its length;
+* named by a listed word among others (`related-work`, `notice-of-death`), it goes only if the wrapper tells so: all its texts are
+  the same on several pages, most of its blocks are links, or it is several blocks that some pages of the host lack, outside of articles, and
+  fewer than those of another part of the same element;
+* named by what it has or lacks (`no-sidebar`, `has-header`), or inline, it stays.
+
+Where a page marks an article or main part, only that is kept; all of it, if whole articles are asked for, as the registered query does,
+else without the texts that the wrapper holds fixed (a lead that each issue repeats).  Elsewhere the wrapper decides: fixed texts are the
+template's own; a block that is mostly links is left out where most blocks of the wrapper's group around it, over all pages of the
+host, are (a menu), and stays where they are not (a paragraph).  Texts are fixed if all pages of the host with different html, two or more, have
+them at one place; where they are the greater part, the pages are versions of one article, and all stay.  Nothing else is dropped.
 
 Defined cases: null or empty html has an empty text; a null or unreadable url is the host ''; unclosed and crossed tags
 are closed as in browsers, at any depth; a very long page is read whole; equal pages of a host count once; repeated rows give a
@@ -25,6 +34,7 @@ import html
 import json
 import re
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,8 +62,15 @@ NOISE = frozenset(
 )
 #: Those of them that an article element itself may be left out for.
 NO_ARTICLE = frozenset("ad ads advert advertisement sponsored promo related comment comments reply replies widget".split())
-#: Different pages that must agree on a text, the share of links in a menu (characters of a block, blocks of a group), salts merged at once, pages folded per salt.
-FIXED, LINKS, SALTS, PAGES = 5, 0.5, 32, 1_000
+#: Those of them that name what readers wrote.
+TALK = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: Words beside them that say nothing of the content, and first words that say what a region has or lacks.
+NEUTRAL = frozenset("area bar block bottom box button buttons col column container content group heading icon icons inner item items left link links list main module outer page panel post posts primary right row secondary section site text title top unit wrap wrapper".split())
+OTHER = frozenset("has have hide no non not with without".split())
+#: Share of links in a menu (characters of a block, blocks of a group), salts merged at once, pages folded per salt.
+LINKS, SALTS, PAGES = 0.5, 32, 1_000
+#: What names make of a region.
+NAMELESS, SUSPECT, NAMED, COMMENTS = range(4)
 CLOSES_P = BLOCK - {"button", "select", "option", "svg", "object", "audio", "video", "canvas", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 P_WALLS = frozenset("td th li div article section".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,12 +78,13 @@ WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Element:
-    """A block element: its signature, whether its region is out of or marked as the article, and children (elements and texts)."""
+    """A block element: its signature, whether its region is out of or marked as the article, what its names make of it, children (elements
+    and texts); shade: it or one around it is out or named; mass and talk: characters inside, and those of them in regions of comments."""
 
-    __slots__ = ("article", "children", "out", "sig", "tag")
+    __slots__ = ("article", "children", "mass", "noise", "out", "shade", "sig", "tag", "talk")
 
-    def __init__(self, tag: str, sig: str, out: bool, article: bool):
-        self.tag, self.sig, self.out, self.article, self.children = tag, sig, out, article, []
+    def __init__(self, tag: str, sig: str, out: bool, article: bool, noise: int = NAMELESS, shade: bool = False):
+        self.tag, self.sig, self.out, self.article, self.noise, self.shade, self.children, self.mass, self.talk = tag, sig, out, article, noise, shade or out or noise >= NAMED, [], 0, 0
 
 
 class Text:
@@ -82,21 +100,33 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for w in NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
 
 
-def _is_out(tag: str, attributes: dict[str, str], names: set[str]) -> bool:
-    if tag in OUT:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if attributes.get("role", "").lower() in ROLES:
+def _is_out(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in OUT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
+    return attributes.get("role", "").lower() in ROLES
+
+
+def _noise(tag: str, attributes: dict[str, str]) -> int:
+    """What the names of a block element make of its region."""
     if tag in ("html", "body", "main"):
-        return False
-    return bool(names & (NO_ARTICLE if tag == "article" else NOISE))
+        return NAMELESS
+    found = NAMELESS
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w.lower() for w in NAME.findall(name)]
+        listed = [w for w in words if w in NOISE]
+        if not listed or words[0] in OTHER:
+            continue
+        if tag == "article" and not NO_ARTICLE.intersection(listed):
+            continue
+        alone = all(w in NOISE or w in NEUTRAL for w in words)
+        found = max(found, SUSPECT if not alone else COMMENTS if TALK.intersection(listed) else NAMED)
+    return found
 
 
 def parse(source: str) -> Element:
     """The page as nested block elements."""
     root = Element("", "", False, False)
+    made: list[tuple[Element, Element]] = []  # with the one around each
     stack, run, linked, link, at = [root], [], 0, 0, 0
     out_inline: list[str] = []
     places: dict[str, list[int]] = {}  # of each tag, where it stands in the stack
@@ -153,7 +183,7 @@ def parse(source: str) -> Element:
                     out_inline.append(tag)
             elif m.group(3).strip():
                 attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))}
-                if tag != "a" and _is_out(tag, attributes, _names(attributes)):
+                if tag != "a" and _is_out(tag, attributes):
                     out_inline.append(tag)
             continue
         flush()
@@ -173,20 +203,36 @@ def parse(source: str) -> Element:
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))} if m.group(3).strip() else {}
         names = _names(attributes)
         if tag in ("article", "main") and one_article:
-            while stack[-1].out and len(stack) > 1:  # the only article, in a region that was never closed
+            while stack[-1].shade and len(stack) > 1:  # the only article, in a region that was never closed
                 close(len(stack) - 1)
         above = stack[-1]
         sig = tag + "".join(f".{n}" for n in sorted(names)) if names else tag
         marked = tag in ("article", "main") or attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower()
-        element = Element(tag, sig, above.out or _is_out(tag, attributes, names), above.article or marked)
+        heading = tag == "header" and above.article
+        element = Element(tag, sig, above.out or (not heading and _is_out(tag, attributes)), above.article or marked, _noise(tag, attributes) if names else NAMELESS, above.shade)
         above.children.append(element)
+        made.append((element, above))
         places.setdefault(tag, []).append(len(stack))
         stack.append(element)
     words(source[at:])
     flush()
+    _weigh(root, made)
     return root
 
 
+def _weigh(root: Element, made: list[tuple[Element, Element]]) -> None:
+    """Sets the characters in each element, from the innermost on; regions that are out have none."""
+    for e, above in reversed([(root, None), *made]):
+        if not e.out:
+            own = sum(len(c.text) for c in e.children if isinstance(c, Text))
+            e.mass += own
+            if e.noise == COMMENTS:
+                e.talk = e.mass
+            if above is not None:
+                above.mass += e.mass
+                above.talk += e.talk
+
+
 # A pattern is [signature, quantifier (1, ?, + or *), pages, children, blocks of text that are mostly links, blocks of text] of an element, blocks
 # in regions that are left out not counted; a text's signature is "#" and its place of children holds the text of all pages, or null (a slot).
 SIG, QUANTIFIER, SEEN, INSIDE, LINKED, BLOCKS = range(6)
@@ -209,7 +255,7 @@ def _pattern(e: Element | Text) -> list:
     own = [e.sig, "1", 1, children, 0, 0]
     for c in e.children:
         p = _pattern(c)
-        for i in () if e.out else (LINKED, BLOCKS):
+        for i in () if e.out or e.noise >= NAMED else (LINKED, BLOCKS):
             own[i] += p[i]
         _follow(children, p)
     return own
@@ -244,14 +290,15 @@ def _merge(a: list, b: list, apart: bool) -> list:
         own[INSIDE] = a[INSIDE] if a[INSIDE] == b[INSIDE] else None
         return own
     x, y, i, j, out = a[INSIDE], b[INSIDE], 0, 0, own[INSIDE]
+    in_x, in_y = _by_signature(x), _by_signature(y)
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][SIG] == y[j][SIG]:
             _follow(out, _merge(x[i], y[j], apart))
             i, j = i + 1, j + 1
             continue
         # the mismatch: skip on the side where the other's element comes sooner
-        skip_y = next((k for k in range(j, len(y)) if i < len(x) and y[k][SIG] == x[i][SIG]), None)
-        skip_x = next((k for k in range(i, len(x)) if j < len(y) and x[k][SIG] == y[j][SIG]), None)
+        skip_y = _next(in_y, x[i][SIG], j) if i < len(x) else None
+        skip_x = _next(in_x, y[j][SIG], i) if j < len(y) else None
         if j >= len(y) or (skip_x is not None and (skip_y is None or skip_x - i <= skip_y - j)) or (i < len(x) and skip_y is None):
             p, i = x[i], i + 1
         else:
@@ -260,6 +307,21 @@ def _merge(a: list, b: list, apart: bool) -> list:
     return own
 
 
+def _by_signature(nodes: list[list]) -> dict[str, list[int]]:
+    """The places of each signature, in order."""
+    places: dict[str, list[int]] = {}
+    for i, n in enumerate(nodes):
+        places.setdefault(n[SIG], []).append(i)
+    return places
+
+
+def _next(places: dict[str, list[int]], sig: str, at: int) -> int | None:
+    """The first place of a signature from one on."""
+    found = places.get(sig, [])
+    k = bisect_left(found, at)
+    return found[k] if k < len(found) else None
+
+
 def dumps(p: list) -> str:
     """A pattern as JSON without nesting: its nodes in order, an element with its number of children."""
     flat, todo = [], [p]
@@ -291,21 +353,21 @@ def loads(text: str) -> list:
 def align(children: list[Element | Text], nodes: list[list]) -> list[list | None]:
     """The pattern's node that each child of an element stands for, by running the pattern over the children; None where it has none."""
     steps: list[dict[int, int] | None] = []  # places that a child may have, each with that of the child before
+    places, sure = _by_signature(nodes), [i for i, n in enumerate(nodes) if n[QUANTIFIER] in "1+"]
     now = {-1: -1}
     for c in children:
         sig, text = ("#", c.text) if isinstance(c, Text) else (c.sig, None)
-        new: dict[int, int] = {}
-        for k in now:
+        own, new = places.get(sig, []), {}
+        for k in now if own else ():
             if k >= 0 and nodes[k][SIG] == sig != "#" and nodes[k][QUANTIFIER] in "+*":
                 new.setdefault(k, k)
-            for j in range(k + 1, len(nodes)):
-                if nodes[j][SIG] == sig and (text is None or nodes[j][INSIDE] in (None, text)):
+            stop = bisect_right(sure, k)  # up to the next one that must be there
+            for j in own[bisect_right(own, k) : bisect_right(own, sure[stop]) if stop < len(sure) else None]:
+                if text is None or nodes[j][INSIDE] in (None, text):
                     new.setdefault(j, k)
-                if nodes[j][QUANTIFIER] in "1+":
-                    break
         steps.append(new or None)
         now = new or now
-    ends = [k for k in now if all(n[QUANTIFIER] in "?*" for n in nodes[k + 1 :])]
+    ends = [k for k in now if not sure or k >= sure[-1]]
     place = min(ends or now)
     out: list[list | None] = []
     for step in reversed(steps):
@@ -314,35 +376,61 @@ def align(children: list[Element | Text], nodes: list[list]) -> list[list | None
     return out[::-1]
 
 
+def _slots(p: list) -> int:
+    """Texts of a pattern that differ between pages."""
+    found, todo = 0, [p]
+    while todo:
+        n = todo.pop()
+        if n[SIG] == "#":
+            found += n[INSIDE] is None
+        else:
+            todo += n[INSIDE]
+    return found
+
+
+def _goes(e: Element, page: Element, q: list | None, beside: list[list]) -> bool:
+    """Whether a region that its names make suspect is left out, by its share of the page's text or by its node of the wrapper."""
+    if e.noise == COMMENTS:
+        return True
+    if e.noise == NAMED:
+        return 2 * (e.mass - e.talk) <= page.mass - page.talk
+    if e.noise != SUSPECT or q is None:
+        return False
+    if q[BLOCKS] >= 2 and q[LINKED] > LINKS * q[BLOCKS]:
+        return True
+    if q[SEEN] >= 2 and not _slots(q):
+        return 2 * (e.mass - e.talk) <= page.mass - page.talk
+    several = q[BLOCKS] >= 2 * q[SEEN]
+    return not e.article and several and q[QUANTIFIER] in "?*" and any(n is not q and n[BLOCKS] > q[BLOCKS] for n in beside)
+
+
 def blocks(page: Element, wrapper: list | None, whole_articles: bool = False) -> list[str]:
     """The page's main texts, in order."""
-    marked = False
     found: list[tuple[str, bool, bool, bool]] = []  # text, in an article, fixed, of a menu
 
     def placed(e: Element, p: list | None) -> Iterator[tuple[Element | Text, list | None]]:
         return zip(e.children, [None] * len(e.children) if p is None else align(e.children, p[INSIDE]), strict=True)
 
-    open_ = [(page, placed(page, wrapper), False)]
+    open_ = [(page, wrapper, placed(page, wrapper), False)]
     while open_:
-        e, children, menu = open_.pop()
+        e, p, children, menu = open_.pop()
         for c, q in children:
             if isinstance(c, Text):
                 if not e.out:
-                    fixed = q is not None and q[QUANTIFIER] == "1" and q[SEEN] >= FIXED and q[INSIDE] == c.text
+                    fixed = q is not None and q[QUANTIFIER] == "1" and wrapper[SEEN] == q[SEEN] >= 2 and q[INSIDE] == c.text
                     found.append((c.text, e.article, fixed, menu and c.linked > LINKS * len(c.text)))
-            elif not c.out:
-                marked |= c.article
+            elif not c.out and not _goes(c, page, q, p[INSIDE] if p else []):
                 # the innermost element that holds two blocks or more on a page says whether this is a menu
                 inner = menu if q is None or q[BLOCKS] < 2 * q[SEEN] else q[LINKED] > LINKS * q[BLOCKS]
-                open_ += [(e, children, menu), (c, placed(c, q), inner)]
+                open_ += [(e, p, children, menu), (c, q, placed(c, q), inner)]
                 break
 
-    if marked and any(a for _, a, _, _ in found):
-        article = [(t, fixed) for t, a, fixed, _ in found if a]
-        copied = sum(len(t) for t, fixed in article if fixed) > sum(len(t) for t, _ in article) / 2
-        return [t for t, fixed in article if whole_articles or copied or not fixed]
-    own = [t for t, _, fixed, menu in found if not fixed and not menu]
-    return own or [t for t, _, _, menu in found if not menu]
+    if any(a for _, a, _, _ in found):
+        found = [f for f in found if f[1]]
+        if whole_articles:
+            return [t for t, _, _, _ in found]
+    copied = 2 * sum(len(t) for t, _, fixed, _ in found if fixed) > sum(len(t) for t, *_ in found)
+    return [t for t, article, fixed, menu in found if (copied or not fixed) and (article or not menu)]
 
 
 def host(url: Column) -> Column:
