@@ -28,9 +28,9 @@ ANCHORS = (
     "au aux avec ce dans de des du elle en est et il la le les pas par pour que qui sur un une "
     "al con del el ella en es las lo los más no para pero por se su una y"
 ).split()
-#: Documents per block of the order by doc_id; quantiles of doc_id that cut blocks at most (beyond, blocks grow; their sort can spill);
-#: equal rows that one task writes out at most.
-BLOCK, MOST_BLOCKS, CHUNK = 2_000, 4_096, 1_000
+#: Documents per block of the order by doc_id, at least (there are no more blocks than the session has shuffle partitions, and
+#: as many again for ids with many rows; a block's sort can spill); equal rows that one task writes out at most.
+BLOCK, CHUNK = 2_000, 1_000
 #: Blocks that one doc_id may be cut to.
 SUBS = 1 << 20
 
@@ -75,19 +75,25 @@ def with_next(docs: DataFrame, block: int = BLOCK, carry=None) -> DataFrame:
     own = docs.select("doc_id", text.alias("text")).withColumn("th", F.xxhash64("text"))
     per = cut(own.groupBy("doc_id", "th").agg(F.count("*").alias("c")), "ids")
     n = per.count()
-    m = min(MOST_BLOCKS, max(1, -(-n // block)))
+    m = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // block)))
+    size = -(-n // m) if n else 1
     cuts = sorted({x for x in (per.agg(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 10 * m)).first()[0] or [])}) if m > 1 else []
-    # ids that fill blocks of their own: at most one per two blocks
-    hot = per.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block).collect()
-    # one number per block, held in the plan: nulls first; rows of a hot id by hash before the other ids of its block
-    number = (F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _bucket(F.col("doc_id"), cuts))).cast("long") * SUBS
-    place = F.lit(SUBS - 1)
-    for r in hot:
-        share = F.floor((F.col("th").cast("double") / F.lit(2.0**64) + 0.5) * F.lit(min(SUBS - 2, -(-r["n"] // block))))
-        place = F.when(F.col("doc_id").eqNullSafe(F.lit(r["doc_id"])), share).otherwise(place)
-    number = number + place
+    # ids that fill blocks of their own: fewer than blocks, so they are broadcast
+    hot = per.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).select(F.col("doc_id").alias("_hot"), F.ceil(F.col("n") / size).alias("_subs"), F.lit(True).alias("_is_hot"))
+    hot = F.broadcast(cut(hot, "hot"))
     least = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th")
-    firsts = {r["b"]: (r["f"]["doc_id"], r["f"]["th"]) for r in per.select(number.alias("b"), least.alias("f")).groupBy("b").agg(F.min("f").alias("f")).collect()}
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """Adds b, the number of a row's block: nulls first; rows of a hot id by hash before the other ids of its block."""
+        base = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _bucket(F.col("doc_id"), cuts)).cast("long") * SUBS
+        share = F.floor((F.col("th").cast("double") / F.lit(2.0**64) + 0.5) * F.least(F.lit(SUBS - 2), F.col("_subs")))
+        return rows.join(hot, F.col("doc_id").eqNullSafe(F.col("_hot")), "left").withColumn("b", base + F.when(F.col("_is_hot"), share).otherwise(F.lit(SUBS - 1))).drop("_hot", "_subs", "_is_hot")
+
+    firsts = numbered(per).groupBy("b").agg(F.min(least).alias("f"))
+    in_order = Window.orderBy("b")  # a row per block
+    ends = F.coalesce(F.lag("b").over(in_order), F.max("b").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ghosts = firsts.withColumn("to", ends).select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"), F.col("b").alias("_b"), "to")
+    ghosts = F.broadcast(cut(ghosts, "ghosts"))
     kept = ["text"] if carry is None else ["text", "own"]
     again = per.where("c > 1")
     few = again.count()
@@ -97,17 +103,12 @@ def with_next(docs: DataFrame, block: int = BLOCK, carry=None) -> DataFrame:
         some = F.broadcast(some) if few <= 500_000 else some
         same = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))
         single = own.join(some, same, "left_anti").withColumn("c", F.lit(1).cast("long")).unionByName(own.join(some, same).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("c").alias("c")))
-    rows = single.select("doc_id", "text", "th", "c", number.alias("b"), *([] if carry is None else [carry(F.col("text")).alias("own")]))
-    order = sorted(firsts)
-    if not order:
-        return rows.select("doc_id", *kept, *[F.col(c).alias(f"next_{c}") for c in kept])
-    after = {b: order[i - 1] if i else order[-1] for i, b in enumerate(order)}  # the block that ends before block b begins
-    kind = docs.schema["doc_id"].dataType
-    ghosts = F.create_map(*[x for b in order for x in (F.lit(b).cast("long"), F.struct(F.lit(firsts[b][0]).cast(kind).alias("f"), F.lit(firsts[b][1]).cast("long").alias("t"), F.lit(after[b]).cast("long").alias("b")))])
-    g = F.element_at(ghosts, F.col("b"))
+    rows = numbered(single.select("doc_id", "text", "th", "c", *([] if carry is None else [carry(F.col("text")).alias("own")])))
+    # the first row of a block also goes to the block that ends before it
+    met = rows.join(ghosts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("b") == F.col("_b")), "left")
     here = F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost"))
-    places = F.when(g["f"].eqNullSafe(F.col("doc_id")) & (g["t"] == F.col("th")), F.array(here, F.struct(g["b"].alias("b"), F.lit(1).alias("ghost")))).otherwise(F.array(here))
-    dealt = rows.select("doc_id", "th", "c", *kept, F.inline(places))
+    places = F.when(F.col("to").isNotNull(), F.array(here, F.struct(F.col("to").alias("b"), F.lit(1).alias("ghost")))).otherwise(F.array(here))
+    dealt = met.select("doc_id", "th", "c", *kept, places.alias("at")).select("doc_id", "th", "c", *kept, F.inline("at"))
     w = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "th")
     last = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in kept}).where("ghost = 0").select("doc_id", *kept, *[f"next_{c}" for c in kept])
     if not few:
@@ -118,11 +119,13 @@ def with_next(docs: DataFrame, block: int = BLOCK, carry=None) -> DataFrame:
 
 
 def _bucket(x: Column, cuts: list) -> Column:
-    """How many cuts are at most x, by halving."""
+    """How many of the sorted cuts are at most x: first among every so manieth, then in the part between two of these."""
     if not cuts:
         return F.lit(0)
-    mid = len(cuts) // 2
-    return F.when(x < F.lit(cuts[mid]), _bucket(x, cuts[:mid])).otherwise(F.lit(mid + 1) + _bucket(x, cuts[mid + 1 :]))
+    step = max(1, round(len(cuts) ** 0.5))
+    at_most = lambda c: F.size(F.filter(c, lambda v: v <= x))
+    coarse = at_most(F.lit(cuts[step - 1 :: step])) * step
+    return let(coarse, lambda k: k + at_most(F.slice(F.lit(cuts), k + 1, F.lit(step))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -220,3 +220,38 @@ def test_ranges_hold_what_begins_with_a_rule():
                 if k.startswith(rule):
                     first, last = urlrules.ranges_of_key(splitters, k)
                     assert low <= first <= last <= high
+
+
+# --- order of documents
+
+
+@pytest.mark.parametrize("cuts", [[], [5], [1, 2, 3], list(range(0, 1000, 7))])
+def test_blocks_by_cuts(spark, cuts):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import spotsigs
+
+    got = spark.range(-3, 1010).select("id", spotsigs._bucket(F.col("id"), cuts).alias("b")).collect()
+    assert [r.b for r in got] == [bisect_right(cuts, r.id) for r in got]
+
+
+def test_many_rows_without_an_id_are_ordered_in_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import spotsigs
+
+    rows = spark.range(100_000).select(F.when(F.col("id") < 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = spotsigs.with_next(rows, block=10)
+    assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().toString())
+    pairs = {r.text: r.next_text for r in got.collect()}
+    assert time.time() - began < 60
+    at, seen = "text 0", set()
+    while at not in seen:
+        seen.add(at)
+        at = pairs[at]
+    assert len(seen) == 100_000  # one ring of all texts
