@@ -7,7 +7,8 @@ document fall away (length and position bounds) and the rest are verified word b
 
 Places are kept by (doc_id, hash of the text), so rows that are repeated are looked at as one and each get the result; only
 rows with a place are joined back to the documents.  While the windows fit a broadcast nothing but those places moves; beyond,
-the documents' words are dealt out one by one as (document, place, word), and the texts of documents with a candidate once.
+the documents' words are dealt out one by one as (document, place, word), and of the texts only those of documents with a candidate
+move, which are picked out by a broadcast of their ids up to BROADCAST_IDS.
 
 Defined cases: a null or empty text has no words; an item without words has no windows; a very long text is searched whole;
 repeated document rows give a row each; windows that several items share count for each; a null item_id is listed as the
@@ -23,6 +24,8 @@ from .common import cut, words
 
 #: The windows are broadcast up to this many bytes of text and rows; beyond, the join shuffles.
 BROADCAST_BYTES, BROADCAST_ROWS = 32_000_000, 200_000
+#: Ids of documents (two numbers each) that are broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def item_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -57,7 +60,11 @@ def places(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = BROAD
     else:
         spots = rows.select("doc_id", "th", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
         candidates = spots.join(anchors, F.col("word") == F.col("anchor")).where(inside).select(F.col("doc_id").alias("k"), F.col("th").alias("t"), "pos", "rel", "window", "item_id").distinct()
-        texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words(F.col("text")).alias("w"))
+        candidates = cut(candidates, "candidates")
+        some = cut(candidates.select("k", "t").distinct(), "ids")
+        some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+        texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")), "left_semi")
+        texts = texts.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words(F.col("text")).alias("w"))
         found = candidates.join(texts, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))).where(exact)
     return found.select("doc_id", "th", start.alias("a"), (start + F.size("window") - 1).alias("b"), "item_id")
 

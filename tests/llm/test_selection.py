@@ -255,3 +255,20 @@ def test_many_rows_without_an_id_are_ordered_in_time(spark):
         seen.add(at)
         at = pairs[at]
     assert len(seen) == 100_000  # one ring of all texts
+
+
+# --- decontamination beyond the broadcast
+
+
+def test_only_candidate_texts_move(spark):
+    from sparkloom.llm import decontaminate
+
+    docs = spark.createDataFrame([(i, f"plain words number {i} and nothing more") for i in range(500)] + [(7000, "so one two three four five six seven eight nine ten it goes")], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    found = decontaminate.places(docs, bench, most=0)
+    assert [(r.doc_id, r.a, r.b, r.item_id) for r in found.collect()] == [(7000, 1, 10, "1")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [doc_id") :] if "Aggregate [doc_id" in plan else plan[plan.index("Deduplicate") :]
+    assert "LeftSemi" in below and "broadcast" in below  # what is brought together by document was picked out first
+    same = [sorted(map(tuple, decontaminate.contamination(docs, bench, most=m).collect())) for m in (0, 200_000)]
+    assert same[0] == same[1] and sum(r[-1] for r in same[0]) == 1
