@@ -81,7 +81,7 @@ def stored_filter_search(spark, d):
 
 def kept_postings(spark, d):
     docs = _t(spark, d, "documents")
-    return K.keep(docs, "postings", lambda: G.build(docs, "doc_id", "text", PATTERN), lambda df, to: K.write_index(df, to, ["term", "block", "first_doc"]))
+    return K.keep(docs, "postings", lambda: G.build(docs, "doc_id", "text", PATTERN), lambda df, to: K.write_index(df, to, ["term", "block", "first_doc"], group=4 << 20, dealt=False))
 
 
 def _phrases(spark, d):

@@ -2,14 +2,17 @@
 
 The documents of an Arrow batch are a block.  Of each term of a block the places are coded in segments of up to SEGMENT documents: gaps of
 document numbers, counts, and gaps of places, as numbers of seven bits a byte.  A segment names the first and last document that it
-holds, so a search decodes only segments that can hold a document of the phrase's rarest word.  Segments are sorted by term, and a reader
-skips row groups of other terms.  A term that is in all documents is as many rows as there are segments, never one list.
+holds, so a search decodes only segments that can hold a document of the phrase's rarest word.  Each file holds the segments of the documents
+of one task, sorted by term, so nothing is shuffled to build them and a reader skips the row groups of other terms in each file.  A term that
+is in all documents is as many rows as there are segments, never one list.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 SEGMENT = 128
 #: Characters of text that make a block.
-BLOCK = 2_000_000
+BLOCK = 6_000_000
 SCHEMA = "term string, block long, first_doc long, last_doc long, n_docs long, n_places long, docs binary, counts binary, places binary"
 
 
@@ -66,31 +69,33 @@ def running(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def coded(block: int, ids: list[int], lists: list[list[str]]) -> pa.RecordBatch:
     """The segments of a block: document numbers and their terms in order."""
-    numbers: dict[str, int] = {}
-    term = np.array([numbers.setdefault(t, len(numbers)) for words in lists for t in words], np.int64)
-    sizes = np.array([len(words) for words in lists], np.int64)
-    doc = np.repeat(np.asarray(ids, np.int64), sizes)
+    by_id = sorted(range(len(ids)), key=ids.__getitem__)
+    numbers: dict[str, int] = defaultdict(count().__next__)  # of each term, by where it comes first
+    term = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists[i] for i in by_id)), np.int32)
+    sizes = np.array([len(lists[i]) for i in by_id], np.int64)
+    doc = np.repeat(np.array([ids[i] for i in by_id], np.int64), sizes)
     place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((place, doc, term))
+    order = np.argsort(term, kind="stable")  # documents and places are in order already
     term, doc, place = term[order], doc[order], place[order]
-    new_doc = np.flatnonzero(np.diff(term, prepend=-1).astype(bool) | (np.diff(doc, prepend=doc[:1]) != 0)) if len(term) else np.zeros(0, np.int64)
+    new_doc = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(doc, prepend=doc[:1]) != 0))
     heads, owners = doc[new_doc], term[new_doc]  # a row for each (term, document)
     counts = np.diff(np.append(new_doc, len(term)))
     new_term = np.flatnonzero(np.diff(owners, prepend=-1))
     rank = np.arange(len(owners)) - np.repeat(new_term, np.diff(np.append(new_term, len(owners))))
     cuts = np.flatnonzero(rank % SEGMENT == 0)  # a segment begins
     ends = np.append(cuts, len(owners))[1:]
-    places, place_size = pack(gaps(place, new_doc))
-    counted, count_size = pack(counts)
-    docs, doc_size = pack(gaps(heads - heads[np.repeat(cuts, ends - cuts)], cuts))  # beside the first, which the segment names
-    at = lambda size, i: np.append(0, np.cumsum(size))[i]
     place_of = np.append(new_doc, len(term))
-    cut_bytes = lambda raw, a, b: [raw[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-    names = np.array(list(numbers), object)
+
+    def column(values: np.ndarray, first: np.ndarray) -> pa.Array:
+        """The packed numbers of each segment, which follow each other."""
+        raw, size = pack(values)
+        at = np.append(0, np.cumsum(size))[np.append(first, len(values))].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+
     columns = [
-        pa.array(names[owners[cuts]].tolist(), pa.string()), pa.array(np.full(len(cuts), block)), pa.array(heads[cuts]), pa.array(heads[ends - 1]), pa.array(ends - cuts), pa.array(place_of[ends] - place_of[cuts]),
-        pa.array(cut_bytes(docs, at(doc_size, cuts), at(doc_size, ends)), pa.binary()), pa.array(cut_bytes(counted, at(count_size, cuts), at(count_size, ends)), pa.binary()),
-        pa.array(cut_bytes(places, at(place_size, place_of[cuts]), at(place_size, place_of[ends])), pa.binary()),
+        pa.array(list(numbers), pa.string()).take(pa.array(owners[cuts])), pa.array(np.full(len(cuts), block)), pa.array(heads[cuts]), pa.array(heads[ends - 1]) if len(cuts) else pa.array([], pa.int64()),
+        pa.array(ends - cuts), pa.array(place_of[ends] - place_of[cuts]),
+        column(gaps(heads - heads[np.repeat(cuts, ends - cuts)], cuts), cuts), column(counts, cuts), column(gaps(place, new_doc), place_of[cuts]),
     ]
     return pa.RecordBatch.from_arrays(columns, ["term", "block", "first_doc", "last_doc", "n_docs", "n_places", "docs", "counts", "places"])
 
@@ -119,24 +124,33 @@ def build(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
 
 
 class Segments:
-    """The segments of one term in one block, decoded when they are asked for."""
+    """The segments of one term in one block; each is decoded when it is first asked for, those that are asked for at once together."""
 
     def __init__(self, rows: list[dict]):
-        self.rows, self.n_docs = sorted(rows, key=lambda r: r["first_doc"]), sum(r["n_docs"] for r in rows)
-        self.decoded = 0
-
-    def at(self, docs: np.ndarray | None, span: int) -> np.ndarray:
-        """doc * span + place of all places, or of those of segments that can hold one of some sorted documents."""
-        found = [np.zeros(0, np.int64)]
-        for r in self.rows:
-            if docs is not None and np.searchsorted(docs, r["first_doc"]) == np.searchsorted(docs, r["last_doc"], "right"):
-                continue
-            self.decoded += 1
-            counts = unpack(r["counts"])
-            numbers = np.cumsum(unpack(r["docs"])) + r["first_doc"]
-            spots = running(unpack(r["places"]), np.cumsum(counts) - counts)
-            found.append(np.repeat(numbers, counts) * span + spots)
-        return np.concatenate(found)
+        self.rows = sorted(rows, key=lambda r: r["first_doc"])
+        self.first, self.last = (np.array([r[c] for r in self.rows], np.int64) for c in ("first_doc", "last_doc"))
+        self.n_docs, self.spots = sum(r["n_docs"] for r in rows), {}
+
+    @property
+    def decoded(self) -> int:
+        return len(self.spots)
+
+    def at(self, docs: np.ndarray | None) -> np.ndarray:
+        """doc * SPAN + place of all places, or of those of segments that can hold one of some sorted documents."""
+        wanted = range(len(self.rows)) if docs is None else np.flatnonzero(np.searchsorted(docs, self.first) < np.searchsorted(docs, self.last, "right")).tolist()
+        self._decode([i for i in wanted if i not in self.spots])
+        return np.concatenate([np.zeros(0, np.int64), *(self.spots[i] for i in wanted)])
+
+    def _decode(self, which: list[int]) -> None:
+        if not which:
+            return
+        rows = [self.rows[i] for i in which]
+        counts, docs, places = (unpack(b"".join(r[c] for r in rows)) for c in ("counts", "docs", "places"))
+        n = np.array([r["n_docs"] for r in rows])
+        numbers = running(docs, np.cumsum(n) - n) + np.repeat(self.first[which], n)
+        spots = np.repeat(numbers, counts) * SPAN + running(places, np.cumsum(counts) - counts)
+        for i, part in zip(which, np.split(spots, np.cumsum([r["n_places"] for r in rows])[:-1]), strict=True):
+            self.spots[i] = part
 
 
 #: Greater than any place in a document, and small enough that a document number times it is a 63-bit number for 2**32 documents.
@@ -148,7 +162,7 @@ def starts(terms: list[Segments], relative: list[int]) -> np.ndarray:
     order = sorted(range(len(terms)), key=lambda i: terms[i].n_docs)
     found = None
     for i in order:
-        spots = terms[i].at(None if found is None else np.unique(found // SPAN), SPAN)
+        spots = terms[i].at(None if found is None else np.unique(found // SPAN))
         spots = spots[spots % SPAN >= relative[i]] - relative[i]
         found = spots if found is None else np.intersect1d(found, spots, assume_unique=True)
         if not len(found):
@@ -156,20 +170,36 @@ def starts(terms: list[Segments], relative: list[int]) -> np.ndarray:
     return found
 
 
+#: Phrases that are looked for together in a block.
+TOGETHER = 2_000
+
+
 def phrase_search(stored: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, doc, n): the documents that hold all words of a phrase in a row, and how often; phrases(phrase string, words array<string>).
 
-    Postings meet the phrases' words by equality of terms and are intersected by (phrase, block); a phrase without words is nowhere."""
-    asked = phrases.select("phrase", F.size("words").alias("n_words"), F.posexplode("words").alias("rel", "term"))
-    rows = stored.join(asked, "term")
+    Postings meet the words of the phrases by equality, each with all its uses in a part of the phrases, and are intersected by block and
+    part: a term of a block is decoded once for a part.  A phrase without words is nowhere."""
+    parts = -(-max(phrases.count(), 1) // TOGETHER)
+    uses = phrases.distinct().select("phrase", F.size("words").cast("int").alias("n_words"), F.pmod(F.xxhash64("phrase"), F.lit(parts)).alias("part"), F.posexplode("words").alias("rel", "term"))
+    uses = uses.groupBy("term", "part").agg(F.collect_list(F.struct("phrase", "n_words", "rel")).alias("uses"))
+    rows = stored.join(uses, "term")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
-        phrase, words = key[0].as_py(), {}
+        segments, asked = {}, {}
         for r in table.to_pylist():
-            words.setdefault(r["rel"], []).append(r)
-        if len(words) < table.column("n_words")[0].as_py():
-            return pa.table({"phrase": pa.array([], pa.string()), "doc": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        docs, n = np.unique(starts([Segments(w) for w in words.values()], list(words)) // SPAN, return_counts=True)
-        return pa.table({"phrase": pa.array([phrase] * len(docs), pa.string()), "doc": pa.array(docs, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    return rows.groupBy("phrase", "block").applyInArrow(search, "phrase string, doc long, n long")
+            segments.setdefault(r["term"], []).append(r)
+        for term, found in segments.items():
+            for u in found[0]["uses"]:
+                asked.setdefault((u["phrase"], u["n_words"]), {})[u["rel"]] = term
+        terms = {term: Segments(found) for term, found in segments.items()}
+        names, docs, counts = [], [], []
+        for (phrase, n_words), words in asked.items():
+            if len(words) == n_words:
+                doc, n = np.unique(starts([terms[t] for t in words.values()], list(words)) // SPAN, return_counts=True)
+                names += [phrase] * len(doc)
+                docs.append(doc)
+                counts.append(n)
+        together = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
+        return pa.table({"phrase": pa.array(names, pa.string()), "doc": together(docs), "n": together(counts)})
+
+    return rows.groupBy("block", "part").applyInArrow(search, "phrase string, doc long, n long")

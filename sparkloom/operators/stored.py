@@ -37,12 +37,12 @@ def keep(source: DataFrame, label: str, make: Callable[[], DataFrame], write: Ca
     return spark.read.parquet(folder)
 
 
-def write_index(df: DataFrame, path: str, keys: list[str], distinct: int = 100_000, group: int = ROW_GROUP) -> None:
-    """Parquet in ranges of the keys, sorted, in small row groups with a bloom filter on the first key.
+def write_index(df: DataFrame, path: str, keys: list[str], distinct: int = 100_000, group: int = ROW_GROUP, dealt: bool = True) -> None:
+    """Parquet in ranges of the keys, sorted, in small row groups with a bloom filter on the first key; not dealt: each task's rows stay its own.
 
     Min and max of a row group answer prefix and point reads, the bloom filter point reads of keys that are not there; a key with
     many rows lies in several files, as the other keys part it."""
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = (df.repartitionByRange(*keys) if dealt else df).sortWithinPartitions(*keys)
     options = {"parquet.block.size": group, f"parquet.bloom.filter.enabled#{keys[0]}": "true", f"parquet.bloom.filter.expected.ndv#{keys[0]}": distinct, "parquet.page.row.count.limit": 2_000}
     ordered.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
