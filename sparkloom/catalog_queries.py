@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions import tokens as T
 from .operators import hierarchy as H
+from .operators import lookup as L
 from .operators import positional as P
 from .operators import references as R
 from .operators import search as S
@@ -133,7 +133,7 @@ def word_at_end(spark, d):
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def lookup_join(spark, d):
-    return _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "c_mktsegment")
+    return L.declared(_t(spark, d, "orders"), _t(spark, d, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "c_name", "c_mktsegment")
 
 
 @query(f"SELECT c_custkey, fqn FROM ({FQN_SQL}) WHERE starts_with(fqn, '\\ASIA\\')")
@@ -175,11 +175,7 @@ NAMESPACE_SQL = "SELECT DISTINCT scope, lower(part) AS token, ns FROM (SELECT ''
 @query(f"SELECT scope, token, ns FROM ({NAMESPACE_SQL}) WHERE starts_with(token, 'a') OR starts_with(token, 'nation_1')")
 def namespace_search(spark, d):
     ns = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("\\", F.lit(""), "r_name", "n_name").alias("ns"))
-    cut = N.parts(F.col("ns"))
-    rows = ns.select("ns", F.posexplode(cut).alias("i", "part"), cut.alias("ps"))
-    scope = F.when(F.col("i") == 0, F.lit("")).otherwise(F.concat(F.lit("\\"), F.array_join(F.slice("ps", F.lit(1), F.col("i")), "\\")))
-    index = rows.select(scope.alias("scope"), F.lower("part").alias("token"), "ns").distinct()
-    return index.where(F.col("token").startswith("a") | F.col("token").startswith("nation_1"))
+    return L.namespace_search(L.namespace_index(ns, "ns"), ["a", "nation_1"])
 
 
 @query(
@@ -257,7 +253,7 @@ def merge_first_wins(spark, d):
 def relation_semi(spark, d):
     li = _t(spark, d, "lineitem").select("l_partkey", F.expr("l_suppkey % 5").alias("m"))
     p = _t(spark, d, "part")
-    return p.join(li, (p["p_partkey"] == li["l_partkey"]) & (p["p_partkey"] % 5 == li["m"]), "left_semi").select("p_partkey")
+    return L.used_by(p, li, (p["p_partkey"] == li["l_partkey"]) & (p["p_partkey"] % 5 == li["m"])).select("p_partkey")
 
 
 @query(
@@ -297,8 +293,7 @@ ORDERED_SQL = "SELECT doc_id, list_extract(ws, i) AS ref, i - 1 AS place FROM (S
 
 @query(f"SELECT doc_id, ref, count(*) AS n, CAST(min(place) AS BIGINT) AS first_place FROM ({ORDERED_SQL}) GROUP BY doc_id, ref")
 def postings_build(spark, d):
-    words = _t(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("place", "ref"))
-    return words.groupBy("doc_id", "ref").agg(F.count("*").alias("n"), _big(F.min("place")).alias("first_place"))
+    return R.postings(_words(spark, d), "doc_id", "ref", "place", places=False).select("doc_id", "ref", "n", _big(F.col("first")).alias("first_place"))
 
 
 REFS = ["License", "password", "secret"]
@@ -371,9 +366,7 @@ def active_param(spark, d):
 
 @query("SELECT a.conv_id, a.turn, b.role AS next_role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn")
 def adjacent_doc(spark, d):
-    c = _t(spark, d, "conversations")
-    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
-    return c.select("conv_id", "turn").join(after, ["conv_id", "turn"])
+    return L.with_following(_t(spark, d, "conversations"), "conv_id", "turn", "role", "next_role")
 
 
 @query("SELECT user_id, event_type, first_id FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY user_id, event_type)")
@@ -447,46 +440,44 @@ def resolve_alias(spark, d):
     """Names by an alias table where it has them, else under the current namespace."""
     aliases = _t(spark, d, "nation").where("n_regionkey % 2 = 0").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("alias"), F.concat(F.lit("\\"), "n_name").alias("target"))
     uses = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("alias"))
-    return uses.join(aliases, "alias", "left").select("c_custkey", F.coalesce("target", N.qualify(F.col("alias"), F.lit("local"))).alias("resolved"))
+    return L.aliased(uses, aliases, "alias", "target", F.lit("local")).select("c_custkey", "resolved")
 
 
 @query("SELECT event_id FROM events v WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts > v.ts)")
 def unused_decl(spark, d):
-    """Views that no later purchase follows: the last purchase of a user decides, so no inequality join."""
-    e = _t(spark, d, "events")
-    last = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("last"))
-    return e.where("event_type = 'view'").join(last, "user_id", "left").where("last is null or last <= ts").select("event_id")
+    """Views that no later purchase follows."""
+    e = _t(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return L.unread(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id"], "ts").select("event_id")
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, count(*) AS n FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_type = 'PROMO') GROUP BY ALL")
 def deprecated_refs(spark, d):
     flagged = _t(spark, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("l_partkey"))
-    return _t(spark, d, "lineitem").join(flagged, "l_partkey", "left_semi").groupBy("l_orderkey", _big(F.col("l_linenumber")).alias("l_linenumber"), "l_partkey").agg(F.count("*").alias("n"))
+    refs = _t(spark, d, "lineitem").select("l_orderkey", _big(F.col("l_linenumber")).alias("l_linenumber"), "l_partkey")
+    return L.answered_by(refs, flagged, "l_partkey", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query(
     "WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem), b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_linenumber, l_partkey) AS i FROM lineitem) SELECT a.l_orderkey, a.i - 1 AS i, l_partkey, l_suppkey FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.i = b.i"
 )
 def zip_signatures(spark, d):
-    lists = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a"), F.sort_array(F.collect_list(F.struct("l_suppkey", "l_linenumber", "l_partkey"))).alias("b")
-    )
-    return lists.select("l_orderkey", F.posexplode(F.arrays_zip(F.col("a.l_partkey").alias("p"), F.col("b.l_suppkey").alias("s"))).alias("i", "z")).select("l_orderkey", _big(F.col("i")).alias("i"), F.col("z.p").alias("l_partkey"), F.col("z.s").alias("l_suppkey"))
+    return L.zipped(_t(spark, d, "lineitem"), "l_orderkey", "l_partkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_suppkey", ["l_suppkey", "l_linenumber", "l_partkey"])
 
 
-@query()
-def fuzzy_search(spark, d):
-    """Names that a pattern matches as a subsequence, best first (scored per Arrow batch)."""
+FUZZY_STEP = "list_transform(range(1, n + 1), lambda i: CASE WHEN c[i] = '{ch}' THEN list_max(list_transform(range(1, i), lambda j: s[j] + 16 + CASE WHEN j = i - 1 THEN greatest(b[i], 4) ELSE b[i] - 3 - (i - 2 - j) END)) END)"
+FUZZY_SQL = f"""WITH t AS (SELECT p_partkey AS symbol_key, {SQL_CAMEL} AS name FROM part),
+a AS (SELECT *, length(name) AS n, string_split(lower(name), '') AS c, list_transform(range(1, length(name) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(name[i - 1], '[A-Za-z0-9]') THEN 8 WHEN regexp_matches(name[i], '[A-Z]') AND regexp_matches(name[i - 1], '[a-z]') THEN 7 ELSE 0 END) AS b FROM t),
+s1 AS (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN c[i] = 's' THEN 16 + 2 * b[i] END) AS s FROM a),
+s2 AS (SELECT * REPLACE ({FUZZY_STEP.format(ch="m")} AS s) FROM s1),
+s3 AS (SELECT * REPLACE ({FUZZY_STEP.format(ch="w")} AS s) FROM s2)
+SELECT symbol_key, name, CAST(list_max(s) AS BIGINT) AS score FROM s3 WHERE list_max(s) > 0"""
 
 
-    score_one = T.fuzzy_score
-
-    @F.pandas_udf("long")
-    def score(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: score_one(n, "smw"))
-
-    # names that lack the characters in order never reach Python
-    return _symbols(spark, d).where(T.may_match(F.col("name"), "smw")).select("symbol_key", "name", score("name").alias("score")).where("score > 0")
+@query(FUZZY_SQL)
+def fuzzy_search(spark, d):
+    """Names that a pattern matches as a subsequence, with their score."""
+    rows = _symbols(spark, d).where(T.may_match(F.col("name"), "smw"))
+    return rows.select("symbol_key", "name", T.fuzzy(F.col("name"), "smw").alias("score")).where("score > 0")
 
 
 def _words(spark, d):

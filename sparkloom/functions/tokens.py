@@ -49,6 +49,33 @@ def may_match(text: Column, pattern: str) -> Column:
     return F.regexp_like(F.lower(text), F.lit("(?s)" + ".*".join(re.escape(c) for c in pattern.lower())))
 
 
+def fuzzy(text: Column, pattern: str) -> Column:
+    """The score of fuzzy_score as a column: for each character of the pattern an array of the best score that ends at each place of the text."""
+    lower = F.split(F.lower(text), "")
+    places = F.sequence(F.lit(0), F.length(text) - 1)
+    letter = lambda i: F.substring(text, i + 1, F.lit(1))
+    plain = r"^[\p{L}\p{N}]$"
+    starts = lambda i: (i == 0) | ~F.regexp_like(letter(i - 1), F.lit(plain))
+    inner = lambda i: (F.regexp_like(letter(i), F.lit(r"^\p{Lu}$")) & F.regexp_like(letter(i - 1), F.lit(r"^\p{Ll}$"))) | (F.regexp_like(letter(i), F.lit(r"^\p{Nd}$")) & ~F.regexp_like(letter(i - 1), F.lit(r"^\p{Nd}$")))
+    bonus = F.transform(places, lambda i: F.when(starts(i), 8).when(inner(i), 7).otherwise(0))
+    state = F.struct(lower.alias("c"), bonus.alias("b"), F.array().cast("array<int>").alias("s"))
+
+    def step(state: Column, ch: Column) -> Column:
+        c, b, s = state["c"], state["b"], state["s"]
+
+        def ending(i: Column) -> Column:
+            at = F.get(b, i)
+            after = lambda x, j: x + 16 + F.when(j == i - 1, F.greatest(at, F.lit(4))).otherwise(at - 3 - (i - 2 - j))
+            best = F.when(F.size(s) == 0, 16 + 2 * at).otherwise(F.array_max(F.transform(F.slice(s, F.lit(1), i), after)))
+            return F.when(F.get(c, i) == ch, best)
+
+        return F.struct(c.alias("c"), b.alias("b"), F.transform(F.sequence(F.lit(0), F.size(b) - 1), ending).alias("s"))
+
+    letters = F.array(*[F.lit(x) for x in pattern.lower()]).cast("array<string>")
+    score = F.aggregate(letters, state, step, lambda state: F.coalesce(F.array_max(state["s"]), F.lit(0)))
+    return F.when(text.isNull() | (F.length(text) == 0) | (F.size(letters) == 0), F.lit(0)).otherwise(F.greatest(score, F.lit(0))).cast("long")
+
+
 def fuzzy_score(text: str, pattern: str) -> int:
     """Score of the best subsequence match of a pattern (case ignored), 0 if none: 16 a character, gaps 3 then 1 each, bonus at word starts and runs."""
     t, p = text.lower(), pattern.lower()

@@ -38,9 +38,15 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def position_offset(text: Column, line: Column, character: Column) -> Column:
-    """Offset (characters) of a position: the start of its line and the characters in it, at most the text's end."""
-    starts = line_starts(text)
-    return F.when(line >= F.size(starts), F.length(text).cast("long")).otherwise(F.least(F.get(starts, line.cast("int")) + character, F.length(text).cast("long")))
+    """Offset (characters) of a position: the start of its line and the characters in it, at most the text's end.
+
+    The text is cut at its line's break only, and no line table is made."""
+    ended = F.regexp_replace(text, BREAK, "\n")  # breaks of one character, each where its last stood
+    before = F.call_function("substring_index", ended, F.lit("\n"), line.cast("int"))
+    extra = F.regexp_count(text, F.lit(r"\r\n"))  # a break of two characters anywhere: the exact way
+    plain = F.length(before) + F.when(line > 0, 1).otherwise(0)
+    start = F.when(extra == 0, plain).otherwise(F.get(line_starts(text), line.cast("int")))
+    return F.when(line > F.regexp_count(ended, F.lit("\n")), F.length(text)).otherwise(F.least(start + character, F.length(text))).cast("long")
 
 
 def offset_line(text: Column, offset: Column) -> Column:

@@ -13,9 +13,10 @@ def bucket(ref: Column) -> Column:
     return F.pmod(F.xxhash64(ref), F.lit(BUCKETS)).cast("int")
 
 
-def postings(references: DataFrame, uri: str, ref: str, at: str) -> DataFrame:
-    """(uri, ref, n, first, places): a document's places of each reference, in order."""
-    return references.groupBy(uri, ref).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.sort_array(F.collect_list(at)).alias("places"))
+def postings(references: DataFrame, uri: str, ref: str, at: str, places: bool = True) -> DataFrame:
+    """(uri, ref, n, first, places): a document's places of each reference, in order (left out unless asked for)."""
+    listed = [F.sort_array(F.collect_list(at)).alias("places")] if places else []
+    return references.groupBy(uri, ref).agg(F.count("*").alias("n"), F.min(at).alias("first"), *listed)
 
 
 def filters(references: DataFrame, uri: str, ref: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -345,13 +344,7 @@ def fuzzy(rows: DataFrame, name: str, word: str) -> DataFrame:
     """Rows whose name a word matches as a subsequence, with a score; all of them, with 0, for an empty word."""
     if not word:
         return rows.withColumn("score", F.lit(0).cast("long"))
-    score_one = T.fuzzy_score
-
-    @F.pandas_udf("long")
-    def score(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: score_one(n, word))
-
-    return rows.where(T.may_match(F.col(name), word)).withColumn("score", score(name)).where("score > 0")
+    return rows.where(T.may_match(F.col(name), word)).withColumn("score", T.fuzzy(F.col(name), word)).where("score > 0")
 
 
 def hover_text() -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import tokens as T
 from ..operators import hierarchy as H
+from ..operators import lookup as L
 from ..operators import references as R
 from ..operators import search as S
 from ..operators import sync as Y
@@ -212,10 +213,7 @@ class Catalog:
     def namespaces(self) -> DataFrame:
         """(scope, token, ns): each part of a namespace under its parent scope."""
         ns = self.rows.where("tag = 'namespace' and fqn <> '\\\\'").select("fqn").distinct()
-        cut = N.parts(F.col("fqn"))
-        rows = ns.select(F.col("fqn").alias("ns"), F.posexplode(cut).alias("i", "part"), cut.alias("ps"))
-        scope = F.when(F.col("i") == 0, F.lit("")).otherwise(F.concat(F.lit("\\"), F.array_join(F.slice("ps", F.lit(1), F.col("i")), "\\")))
-        return rows.select(scope.alias("scope"), F.lower("part").alias("token"), "ns").distinct()
+        return L.namespace_index(ns, "fqn")
 
     def find_references(self, ref: str) -> DataFrame:
         return self.references.where(F.col("ref") == ref)
@@ -279,8 +277,7 @@ class Catalog:
     def unused_variables(self) -> DataFrame:
         """Declarations that no later use of the name in their scope reads: the last use decides, so no inequality join."""
         scope = ["uri", "value", "name"]
-        last = self.variables.where("kind = 'use'").groupBy(*scope).agg(F.max("seq").alias("last"))
-        return self.variables.where("kind = 'declare'").join(last, scope, "left").where("last is null or last < seq").drop("last")
+        return L.unread(self.variables.where("kind = 'declare'"), self.variables.where("kind = 'use'"), scope, "seq")
 
     def visible_variables(self, uri: str, scope: str, line: int, character: int) -> DataFrame:
         """The last version of each variable before a position."""

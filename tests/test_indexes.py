@@ -172,3 +172,33 @@ def test_routes(spark):
 def test_coded_block_of_empty_texts():
     assert G.coded(3, [1, 2], [[], []]).num_rows == 0
     assert isinstance(G.coded(3, [1], [["a"]]), pa.RecordBatch)
+
+
+def test_fuzzy_column_is_the_score(spark):
+    from sparkloom.functions import tokens as T
+
+    r = random.Random(6)
+    names = ["", None, "s", "SmallWidget", "SomeMallow", "smw", "s_m_w", "XMLReader2", "aB3c", "ÉtéÜber", "日本smw", *("".join(r.choice("smwSMW_x1") for _ in range(r.randint(1, 14))) for _ in range(150))]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    for pattern in ("smw", "s", "mm", "w1", "", "zz"):
+        got = frame.select("name", T.fuzzy(F.col("name"), pattern).alias("score")).collect()
+        assert [(x.name, x.score) for x in got] == [(n, T.fuzzy_score(n or "", pattern)) for n in names]
+
+
+def test_offsets_of_positions(spark):
+    from sparkloom.operators import positional as P
+
+    texts = ["one\ntwo\nthree", "a\r\nb\r\nc", "a\rb\nc\r\n", "", "\n\n", "x", "é\n日本\n"]
+    rows = [(t, i, c) for t in texts for i in range(5) for c in (0, 1, 50)]
+    got = spark.createDataFrame(rows, "t string, line int, c int").select("t", "line", "c", P.position_offset(F.col("t"), F.col("line"), F.col("c")).alias("o")).collect()
+    for x in got:
+        starts = [0] + [m.end() for m in re.finditer(r"\r\n|\n|\r", x.t)]
+        assert x.o == (len(x.t) if x.line >= len(starts) else min(starts[x.line] + x.c, len(x.t))), x
+
+
+def test_unread_declarations(spark):
+    from sparkloom.operators import lookup as L
+
+    d = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), (None, 3)], "scope string, at int")
+    u = spark.createDataFrame([("a", 3), ("a", 2), ("b", 1)], "scope string, at int")
+    assert sorted((r.scope or "", r.at) for r in L.unread(d, u, ["scope"], "at").collect()) == [("", 3), ("a", 5), ("b", 2)]
