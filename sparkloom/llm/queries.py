@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, decontaminate, divergence, importance, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, urlrules, wrappers
+from . import base_queries, dartminhash, decontaminate, divergence, importance, licenses, mixing, ngram_lm, secrets, spotsigs, tokens, toxicity, urlrules, wrappers
 from .common import table
 
 
@@ -63,8 +63,14 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | base_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontaminate.ORACLE, "op11_importance_resampling": importance.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_url_filters": urlrules.ORACLE}
+    own = {
+        "op10_decontamination": decontaminate.ORACLE,
+        "op11_importance_resampling": importance.ORACLE,
+        "op12_source_divergence": divergence.ORACLE,
+        "op13_url_filters": urlrules.ORACLE,
+    }
+    return own | base_queries.ORACLES

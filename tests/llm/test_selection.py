@@ -22,7 +22,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_source_divergence", "op13_url_filters"])
+@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_source_divergence", "op13_url_filters", "license_base", "lm_base", "secret_counts", "mix_targets", "edited_texts"])
 def test_equals_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
@@ -272,3 +272,80 @@ def test_only_candidate_texts_move(spark):
     assert "LeftSemi" in below and "broadcast" in below  # what is brought together by document was picked out first
     same = [sorted(map(tuple, decontaminate.contamination(docs, bench, most=m).collect())) for m in (0, 200_000)]
     assert same[0] == same[1] and sum(r[-1] for r in same[0]) == 1
+
+
+# --- the linear models and the chain by plain loops
+
+
+def test_fit_is_that_of_a_plain_solver():
+    from sparkloom.llm import toxicity
+
+    r = np.random.default_rng(9)
+    n, m, k = 200, 6, 2
+    held = r.random((n, m)) < 0.3
+    row, col = np.nonzero(held)
+    dense = r.random((n, k))
+    y = (r.random(n) < 1 / (1 + np.exp(-(held @ r.normal(size=m) * 2 + dense @ [1.5, -1] - 0.5)))).astype(float)
+    penalty = 0.01
+
+    def loss(w, v, b):
+        z = held @ w + dense @ v + b
+        return np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z) + penalty * np.abs(w).sum()
+
+    w, v, b = toxicity._fit(row, col, m, dense, y, penalty, rounds=5000)
+    # plain proximal gradient, one small step after the other
+    u, step = np.zeros(m + k + 1), 0.2
+    wide = np.hstack([held, dense, np.ones((n, 1))])
+    for _ in range(40_000):
+        u = u - step * wide.T @ (1 / (1 + np.exp(-wide @ u)) - y) / n
+        u[:m] = np.sign(u[:m]) * np.maximum(np.abs(u[:m]) - step * penalty, 0)
+    assert loss(w, v, b) == pytest.approx(loss(u[:m], u[m:-1], u[-1]), abs=1e-5)
+    assert np.concatenate([w, v, [b]]) == pytest.approx(u, abs=0.02)
+
+
+def test_chain_by_a_loop():
+    from sparkloom.llm import toxicity
+
+    links = [toxicity.Link("a", -1.0, {"bad": 2.0, "!!": 0.5}), toxicity.Link("b", -2.0, {"bad": 1.0, "worse": 3.0}, {"a": 1.5}), toxicity.Link("c", 0.25, {}, {"a": -1.0, "b": 2.0})]
+    texts = ["a BAD day", "worse, worse", None, "", "bad worse !!", "nothing here"]
+    got = toxicity.probabilities(pa.array(texts, pa.string()), links)
+    for i, t in enumerate(texts):
+        have, before = set(re.findall(toxicity.FEATURE, (t or "").lower())), {}
+        for link, p in zip(links, got, strict=True):
+            z = link.bias + sum(x for w, x in link.weights.items() if w in have) + sum(x * before[e] for e, x in link.earlier.items())
+            before[link.name] = 1 / (1 + math.exp(-z))
+            assert p[i] == pytest.approx(before[link.name], abs=1e-9)
+
+
+def test_recall_of_near_duplicates(spark):
+    """All links of similarity 0.8 or more among many edited copies end in one class, and no class holds texts without such links."""
+    from sparkloom.llm import dartminhash
+
+    r = np.random.default_rng(12)
+    words = ["".join(r.choice(list("abdeilnorst"), r.integers(2, 8))) for _ in range(4000)]
+    texts = []
+    for _ in range(150):
+        base = list(r.choice(words, r.integers(30, 200)))
+        for edits in r.integers(0, 6, 5):
+            t = list(base)
+            for _ in range(edits):
+                t[int(r.integers(0, len(t)))] = str(r.choice(words))
+            texts.append(" ".join(t))
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    links = []
+    for i in range(len(texts)):
+        for j in range(i // 5 * 5, i):  # copies of one text; others share next to nothing
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                links.append((i, j))
+                top[max(find(i), find(j))] = min(find(i), find(j))
+    got = {x.doc_id: x.class_id for x in dartminhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(links) > 250
+    assert sum(got[i] == got[j] for i, j in links) / len(links) >= 0.99
+    assert all(find(i) == find(j) for i, j in zip(got, got.values()))  # class ids are of the same class
