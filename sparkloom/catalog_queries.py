@@ -321,6 +321,18 @@ def line_table(spark, d):
     return P.line_table(_t(spark, d, "documents"), "doc_id", "text")
 
 
+@query(
+    f"SELECT doc_id, line, CAST(coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start, strlen(t) AS byte_length FROM ({LINES_SQL})"
+)
+def line_bytes(spark, d):
+    return P.line_bytes(_t(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, strlen(left(text, CAST(length(text) // 2 AS BIGINT))) AS byte_ FROM documents")
+def offset_to_byte(spark, d):
+    return _t(spark, d, "documents").select("doc_id", P.byte_offset(F.col("text"), F.expr("length(text) div 2")).alias("byte_"))
+
+
 @query("SELECT doc_id, length(text) // 2 AS offset_, CAST(length(left(text, CAST(length(text) // 2 AS BIGINT))) - length(replace(left(text, CAST(length(text) // 2 AS BIGINT)), chr(10), '')) AS BIGINT) AS line FROM documents")
 def offset_to_line(spark, d):
     at = F.expr("length(text) div 2")
@@ -355,7 +367,7 @@ def interval_stab(spark, d):
     e = _t(spark, d, "events").withColumn("at", F.expr("unix_micros(cast(ts as timestamp)) div 1000000"))
     ranges = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("rid"), F.col("at").alias("s"), (F.col("at") + 86400 + F.col("event_id") % 7 * 3600).alias("e"))
     points = e.where("event_type <> 'signup'").select("user_id", "event_id", "at")
-    return P.deepest(P.stab(ranges, points, "s", "e", "at", 43_200, ["user_id"]), ["event_id"], ["s", "rid"], F.col("rid"))
+    return P.deepest(P.stab(ranges, points, "s", "e", "at", ["user_id"]), ["event_id"], ["s", "rid"], F.col("rid"))
 
 
 @query("SELECT o_orderkey, count(*) FILTER (WHERE l_linenumber * 10 <= o_custkey % 70) AS active FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -538,14 +550,14 @@ def owner_of_position(spark, d):
 @query(f"SELECT p.l_orderkey, string_agg(CAST(r.l_linenumber AS VARCHAR), '>' ORDER BY r.s, r.e DESC) AS spine FROM ({POINTS_SQL}) p JOIN ({RANGES_SQL}) r ON r.l_orderkey = p.l_orderkey AND p.at > r.s AND p.at <= r.e GROUP BY p.l_orderkey")
 def spine_at_offset(spark, d):
     """All ranges around a place, outermost first."""
-    got = P.spine(_ranges(spark, d), _points(spark, d), "s", "e", "at", 10, ["l_orderkey"], F.col("l_linenumber").cast("string"))
+    got = P.spine(_ranges(spark, d), _points(spark, d), "s", "e", "at", ["l_orderkey"], F.col("l_linenumber").cast("string"))
     return got.select("l_orderkey", F.array_join("spine", ">").alias("spine"))
 
 
 @query(f"SELECT p.l_orderkey, arg_max(r.l_linenumber, r.s) AS line FROM ({POINTS_SQL}) p JOIN ({RANGES_SQL}) r ON r.l_orderkey = p.l_orderkey AND p.at >= r.s AND p.at < r.e GROUP BY p.l_orderkey")
 def scope_of_position(spark, d):
     """The innermost range that holds a place."""
-    pairs = P.stab(_ranges(spark, d), _points(spark, d), "s", "e", "at", 10, ["l_orderkey"])
+    pairs = P.stab(_ranges(spark, d), _points(spark, d), "s", "e", "at", ["l_orderkey"])
     return P.deepest(pairs, ["l_orderkey"], ["s"], F.col("l_linenumber")).select("l_orderkey", F.col("found").alias("line"))
 
 

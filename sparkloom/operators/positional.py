@@ -17,10 +17,10 @@ def _before(lengths: Column) -> Column:
     return F.slice(grown, F.lit(1), F.size(lengths))
 
 
-def line_starts(text: Column) -> Column:
-    """Offsets (characters, from 0) at which lines begin; LF, CRLF and CR end a line."""
+def line_starts(text: Column, length=F.length) -> Column:
+    """Offsets (from 0, characters unless ``length`` measures otherwise) at which lines begin; LF, CRLF and CR end a line."""
     lines, ends = F.split(text, BREAK, -1), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
-    lengths = F.zip_with(lines, ends, lambda a, b: (F.length(a) + F.coalesce(F.length(b), F.lit(0))).cast("long"))
+    lengths = F.zip_with(lines, ends, lambda a, b: (length(a) + F.coalesce(length(b), F.lit(0))).cast("long"))
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / RUN).cast("int")), lambda r: F.slice(lengths, r * RUN + 1, F.lit(RUN)))
 
     def placed(runs: Column) -> Column:
@@ -37,6 +37,18 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.col("line").cast("long").alias("line"), F.col("z.s").alias("start"), F.col("z.n").cast("long").alias("length"))
 
 
+def line_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, byte_start, byte_length): the line table in bytes of UTF-8."""
+    per = docs.select(key, line_starts(F.col(text), F.octet_length).alias("s"), F.transform(F.split(F.col(text), BREAK, -1), F.octet_length).alias("n"))
+    rows = per.select(key, F.posexplode(F.arrays_zip("s", "n")).alias("line", "z"))
+    return rows.select(key, F.col("line").cast("long").alias("line"), F.col("z.s").alias("byte_start"), F.col("z.n").cast("long").alias("byte_length"))
+
+
+def byte_offset(text: Column, offset: Column) -> Column:
+    """The byte at which a character stands."""
+    return F.octet_length(F.substring(text, F.lit(1), offset.cast("int"))).cast("long")
+
+
 def position_offset(text: Column, line: Column, character: Column) -> Column:
     """Offset (characters) of a position: the start of its line and the characters in it, at most the text's end.
 
@@ -66,13 +78,18 @@ def as_of(versions: DataFrame, probes: DataFrame, key: str, at: str, value: Colu
     return v.unionByName(p).withColumn("found", F.last("_v", ignorenulls=True).over(w)).where("_probe").select(key, at, *extra, "found")
 
 
-def stab(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, cell: int, keys: list[str] = ()) -> DataFrame:
-    """Pairs of ranges and points inside [start, end): ranges are dealt to cells of a fixed width, equi-joined, then checked.
+def stab(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, keys: list[str] = ()) -> DataFrame:
+    """Pairs of ranges and points inside [start, end): an equality join on cells of the ranges' own sizes, then checked.
 
-    start, end and at are whole numbers; a range spreads over (end - start) / cell rows, so pick cells near the usual width."""
-    r = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell))))
-    p = points.withColumn("_cell", F.floor(F.col(at) / cell))
-    return p.join(r, [*keys, "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
+    start, end and at are whole numbers.  A range lies in the cells of the least power of two that is as long, of which it meets two at
+    most; a point is looked for in its cell of each size that some range has, 64 at most and as a rule few.  Empty ranges hold nothing."""
+    length = F.col(end) - F.col(start)
+    sized = ranges.where(length > 0).withColumn("_size", F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1))).cast("int"))
+    cell = lambda x, size: F.call_function("shiftright", x.cast("long"), size)
+    r = sized.withColumn("_cell", F.explode(F.sequence(cell(F.col(start), F.col("_size")), cell(F.col(end) - 1, F.col("_size")))))
+    sizes = sorted(x["_size"] for x in sized.select("_size").distinct().collect())
+    p = points.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>"))).withColumn("_cell", cell(F.col(at), F.col("_size")))
+    return p.join(r, [*keys, "_size", "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_size", "_cell")
 
 
 def deepest(pairs: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
@@ -112,9 +129,9 @@ def owner_of(ranges: DataFrame, points: DataFrame, key: str, end: str, order: st
     return found.withColumn(at, F.col("_at")).withColumn("found", F.col("found.v")).drop("_at")
 
 
-def spine(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, cell: int, keys: list[str], value: Column) -> DataFrame:
+def spine(ranges: DataFrame, points: DataFrame, start: str, end: str, at: str, keys: list[str], value: Column) -> DataFrame:
     """Points with all ranges whose (start, end] holds them, outermost first."""
     shifted = points.withColumn("_p", F.col(at)).withColumn(at, F.col(at) - 1)
-    held = stab(ranges, shifted, start, end, at, cell, keys)
+    held = stab(ranges, shifted, start, end, at, keys)
     chain = F.transform(F.sort_array(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e"), value.alias("v")))), lambda x: x["v"])
     return held.groupBy(*keys, F.col("_p").alias(at)).agg(chain.alias("spine"))

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a filter's entries: with r references a document is looked at in vain for one absent name in BUCKETS / r.
-BUCKETS = 1 << 20
-
-
-def bucket(ref: Column) -> Column:
-    return F.pmod(F.xxhash64(ref), F.lit(BUCKETS)).cast("int")
+from . import membership
 
 
 def postings(references: DataFrame, uri: str, ref: str, at: str, places: bool = True) -> DataFrame:
@@ -20,16 +15,11 @@ def postings(references: DataFrame, uri: str, ref: str, at: str, places: bool =
 
 
 def filters(references: DataFrame, uri: str, ref: str) -> DataFrame:
-    """(uri, filter): the sorted different buckets of a document's references; hashes are put together before they are dealt out."""
-    return references.select(uri, bucket(F.col(ref)).alias("b")).groupBy(uri).agg(F.sort_array(F.collect_set("b")).alias("filter"))
-
-
-def may_hold(filter_: Column, refs: list[str]) -> Column:
-    """Whether a document may hold one of the references: never false for one that does; an empty or missing filter holds none."""
-    return F.coalesce(F.arrays_overlap(filter_, F.array(*[bucket(F.lit(r)) for r in refs])), F.lit(False))
+    """(uri, n_keys, filter): a membership filter of each document's references; hashes are put together before they are dealt out."""
+    sets = references.select(uri, membership.hashed(F.col(ref)).alias("h")).groupBy(uri).agg(F.collect_set("h").alias("hashes"))
+    return membership.filters(sets, uri, "hashes")
 
 
 def search(references: DataFrame, stored: DataFrame, uri: str, ref: str, refs: list[str]) -> DataFrame:
     """Rows of some references: documents by their filters first, the names themselves decide."""
-    documents = stored.where(may_hold(F.col("filter"), refs)).select(uri)
-    return references.where(F.col(ref).isin(*refs)).join(documents, uri, "left_semi")
+    return membership.only(references.where(F.col(ref).isin(*refs)), uri, membership.may_hold(stored, uri, refs))

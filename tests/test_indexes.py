@@ -202,3 +202,16 @@ def test_unread_declarations(spark):
     d = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), (None, 3)], "scope string, at int")
     u = spark.createDataFrame([("a", 3), ("a", 2), ("b", 1)], "scope string, at int")
     assert sorted((r.scope or "", r.at) for r in L.unread(d, u, ["scope"], "at").collect()) == [("", 3), ("a", 5), ("b", 2)]
+
+
+def test_stabbing_by_cells_of_all_sizes(spark):
+    from sparkloom.operators import positional as P
+
+    r = random.Random(8)
+    ranges = [(i, k, s := r.randrange(-5000, 5000), s + r.choice([0, 1, 2, 3, 7, 64, 65, 1000, 9000])) for i in range(300) for k in [r.randrange(2)]]
+    points = [(j, r.randrange(2), r.randrange(-6000, 14_000)) for j in range(300)]
+    a, b = spark.createDataFrame(ranges, "i int, k int, s int, e long"), spark.createDataFrame(points, "j int, k int, at int")
+    got = P.stab(a, b, "s", "e", "at", ["k"])
+    assert sorted((x.j, x.i) for x in got.collect()) == sorted((j, i) for j, k, at in points for i, k2, s, e in ranges if k == k2 and s <= at < e)
+    assert not re.search("NestedLoop|Cartesian", plan(got))
+    assert P.stab(a.limit(0), b, "s", "e", "at", ["k"]).collect() == []
