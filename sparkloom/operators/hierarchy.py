@@ -66,7 +66,7 @@ def whole_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure_loop(edges, seeds, f"{shared_folder(edges.sparkSession)}/closure-{uuid.uuid4().hex}")
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
+def written(df: DataFrame, folder: str) -> DataFrame:
     """The frame, written to a new folder below one that is shared, and read back."""
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -81,16 +81,16 @@ def closure_of_all(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     spark: SparkSession = edges.sparkSession
     folder = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
     kind = seeds.schema["seed"].dataType
-    jumps = _written(edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").cast(kind).alias("node"), F.col("parent").cast(kind).alias("to")).distinct(), folder)
-    known = _written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("depth")).distinct(), folder)
+    jumps = written(edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").cast(kind).alias("node"), F.col("parent").cast(kind).alias("to")).distinct(), folder)
+    known = written(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("depth")).distinct(), folder)
     n, length = known.count(), 1
     while True:
         new = known.join(jumps, "node").select("seed", F.col("to").alias("node"), (F.col("depth") + length).alias("depth"))
-        known = _written(known.unionByName(new).groupBy("seed", "node").agg(F.min("depth").alias("depth")), folder)
+        known = written(known.unionByName(new).groupBy("seed", "node").agg(F.min("depth").alias("depth")), folder)
         before, n = n, known.count()
         if n == before:
             return known
-        jumps = _written(jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")).distinct(), folder)
+        jumps = written(jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")).distinct(), folder)
         length *= 2
 
 
@@ -99,7 +99,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), folder)
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), folder)
     sizes = dealt.groupBy("_part").count()  # a row per partition
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_before")
@@ -113,7 +113,7 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     known = nodes.select(F.col("node").alias("parent")).distinct().withColumn("_known", F.lit(True))
     paths = nodes.join(known, "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.array(F.struct("ord", "node")).alias("path"))
     while True:
-        paths = _written(paths, folder)
+        paths = written(paths, folder)
         if paths.where("up IS NOT NULL").isEmpty():
             return paths.select("node", "path")
         above = paths.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))

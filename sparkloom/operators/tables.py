@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import hierarchy as H
+
+#: Keys that are broadcast to the rows they belong to.
+BROADCAST_KEYS = 500_000
+
 
 class Buckets:
     """Rows by key, any number for each; the schema is fixed, and ``key`` is one of its columns."""
@@ -55,21 +60,28 @@ class Buckets:
     def read(self) -> DataFrame:
         return self._rows(self.manifest()["files"])
 
+    def _few(self, keys: DataFrame) -> DataFrame:
+        """Keys, written; to be broadcast where they are few, else both sides of their joins are dealt by key."""
+        keys = H.written(keys, f"{self.folder}/work")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
     def replace(self, keys: DataFrame, rows: DataFrame, batch: int | None = None) -> list[int]:
         """Takes all rows of the keys away and puts new rows in their place; returns the buckets that were written.
 
-        ``rows`` may only have keys that are among ``keys``.  A null key is a key."""
+        ``rows`` may only have keys that are among ``keys``.  A null key is a key.  Rows that stay are copied bucket by bucket where they
+        lie; only new ones are dealt to buckets."""
         now = self.manifest()
         if batch is not None and batch <= now["batch"]:
             return []
-        keys = keys.select(self.key).distinct()
-        touched = sorted(r.b for r in keys.select(self.bucket(F.col(self.key)).alias("b")).distinct().collect())  # `buckets` numbers at most
+        gone = self._few(keys.select(F.col(self.key).alias("_key")).distinct())
+        touched = sorted(r.b for r in gone.select(self.bucket(F.col("_key")).alias("b")).distinct().collect())  # `buckets` numbers at most
         folder, files = f"{self.folder}/data/{now['version'] + 1:012d}-{uuid.uuid4().hex}", dict(now["files"])
         if touched:
-            gone = keys.withColumnRenamed(self.key, "_key")
-            kept = self._rows(files, touched).join(gone, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
-            new = kept.unionByName(rows.select(*self.schema.names)).withColumn("bucket", self.bucket(F.col(self.key)))
-            new.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+            numbered = lambda df: df.select(*self.schema.names).withColumn("bucket", self.bucket(F.col(self.key)))
+            if any(str(b) in files for b in touched):
+                kept = self._rows(files, touched).join(gone, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti")
+                numbered(kept).write.mode("append").partitionBy("bucket").parquet(folder)
+            numbered(rows).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
             fs, path = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path
             for b in touched:
                 files.pop(str(b), None)
@@ -79,16 +91,36 @@ class Buckets:
         return touched
 
     def upsert(self, changes: DataFrame, order: str, deleted: Column, digest: str | None = None, batch: int | None = None) -> list[int]:
-        """Applies puts and deletes: of each key the last by ``order`` counts; a put whose digest is the stored one changes nothing."""
-        others = [c for c in changes.columns if c != self.key]
-        last = changes.withColumn("_deleted", deleted).groupBy(self.key).agg(F.max_by(F.struct(*others, "_deleted"), order).alias("_r"))
-        last = last.select(self.key, *[F.col("_r")[c].alias(c) for c in [*others, "_deleted"]])
+        """Applies puts and deletes: of each key the last by ``order`` counts (null first, then a hash of the row); a put whose digest is
+        the stored one changes nothing.  What wins is found from keys, orders and hashes; other columns move once, those of winners."""
+        if batch is not None and batch <= self.manifest()["batch"]:
+            return []
+        told = changes.withColumns({"_deleted": F.coalesce(deleted, F.lit(False)), "_hash": F.xxhash64(*changes.columns)})
+        marks = told.groupBy(self.key, F.col(order).alias("_order"), "_hash", "_deleted", *([F.col(digest).alias("_digest")] if digest else [])).agg(F.count("*").alias("_n"))
+        mine = F.struct(*[c for c in marks.columns if c != self.key])
+        last = marks.groupBy(self.key).agg(F.max_by(mine, F.struct("_order", "_hash")).alias("r")).select(F.col(self.key).alias("_key"), "r.*")
         if digest:
-            old = self.read().select(F.col(self.key).alias("_key"), F.col(digest).alias("_old"))
-            same = F.col(self.key).eqNullSafe(F.col("_key")) & F.col(digest).eqNullSafe(F.col("_old"))
+            old = self.read().select(F.col(self.key).alias("_k"), F.col(digest).alias("_old"))
+            same = F.col("_key").eqNullSafe(F.col("_k")) & F.col("_digest").eqNullSafe(F.col("_old"))
             last = last.where("_deleted").unionByName(last.where("NOT _deleted").join(old, same, "left_anti"))
-        last = last.select(self.key, *others, "_deleted").persist()
-        try:
-            return self.replace(last, last.where("NOT _deleted"), batch)
-        finally:
-            last.unpersist()
+        last = self._few(last.select("_key", "_order", F.col("_hash").alias("_h"), F.col("_deleted").alias("_gone"), "_n"))
+        won = F.col(self.key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_order")) & (F.col("_hash") == F.col("_h")) & ~F.col("_gone")
+        rows = told.join(last, won, "left_semi")
+        if not last.where("_n > 1 AND NOT _gone").isEmpty():  # rows that are repeated whole
+            rows = rows.dropDuplicates([self.key])
+        return self.replace(last.select(F.col("_key").alias(self.key)), rows, batch)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Deletes what neither the last manifest nor the ``keep`` before it name; readers of older versions must be done."""
+        fs, path = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path
+        fs.delete(self._path("work"), True)
+        found = sorted((s.getPath().getName() for s in fs.listStatus(self._path("manifests"))), reverse=True) if fs.exists(self._path("manifests")) else []
+        names = [n for n in found if n.isdigit()]
+        needed = set()
+        for n in names[: keep + 1]:
+            needed |= {f.rsplit("/", 1)[-1] for f in json.loads(self.spark.read.text(f"{self.folder}/manifests/{n}", wholetext=True).first()[0])["files"].values()}
+        for n in names[keep + 1 :]:
+            fs.delete(self._path(f"manifests/{n}"), False)
+        for s in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else []:
+            if s.getPath().getName() not in needed:
+                fs.delete(path(str(s.getPath())), True)

@@ -117,8 +117,14 @@ def stream_sessions(spark, d):
 #: What happens to the documents, in order: all come, some are edited and edited again, some go, some come back or are sent unchanged.
 CHANGES_SQL = """SELECT doc_id, 0 AS slice, doc_id * 10 AS seq, text, false AS deleted FROM documents UNION ALL SELECT doc_id, 1, doc_id * 10 + k, text || ' edit ' || k, false FROM documents, (SELECT unnest([1, 2]) AS k) WHERE doc_id % 3 = 1
 UNION ALL SELECT doc_id, 2, doc_id * 10, NULL, true FROM documents WHERE doc_id % 5 = 2 UNION ALL SELECT doc_id, 3, doc_id * 10, text, false FROM documents WHERE doc_id % 7 = 3"""
-STATE_SQL = f"SELECT doc_id, sha1(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY slice DESC, seq DESC) AS r FROM ({CHANGES_SQL})) WHERE r = 1 AND NOT deleted"
-STATE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("digest", T.StringType())])
+STATE_SQL = f"SELECT doc_id, sha1(text) AS digest, len(regexp_extract_all(text, '[a-zA-Z]+')) AS n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY slice DESC, seq DESC) AS r FROM ({CHANGES_SQL})) WHERE r = 1 AND NOT deleted"
+#: What is kept of a document.
+STATE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("n_words", T.LongType())])
+
+
+def _derived(docs):
+    """The rows to keep of documents as they come, and whether they go."""
+    return docs.select("doc_id", "seq", "deleted", F.sha1("text").alias("digest"), F.regexp_count("text", F.lit("[a-zA-Z]+")).cast("long").alias("n_words"))
 
 
 def _changes(spark, d):
@@ -140,12 +146,12 @@ def _state(spark, label):
 
 @query(STATE_SQL)
 def stored_sync(spark, d):
-    """Documents after four batches of changes, each written to the buckets that it touches."""
-    state = _state(spark, "sync")
-    changes = _changes(spark, d).withColumn("digest", F.sha1("text"))
+    """What is kept of the documents after four batches of changes, each written to the buckets that it touches."""
+    state, changes = _state(spark, "sync"), _changes(spark, d)
     for one in range(4):
-        state.upsert(changes.where(F.col("slice") == one).drop("slice"), "seq", F.col("deleted"), "digest", one)
-    return state.read().select("doc_id", "digest")
+        state.upsert(_derived(changes.where(F.col("slice") == one)), "seq", F.col("deleted"), "digest", one)
+        state.vacuum()
+    return state.read()
 
 
 @query(STATE_SQL)
@@ -154,8 +160,9 @@ def stream_sync(spark, d):
     state = _state(spark, "stream-sync")
 
     def apply(batch, number):
-        state.upsert(batch.withColumn("digest", F.sha1("text")), "seq", F.col("deleted"), "digest", number)
+        state.upsert(_derived(batch), "seq", F.col("deleted"), "digest", number)
+        state.vacuum()
 
     start = lambda stream, at: stream.writeStream.foreachBatch(apply).option("checkpointLocation", at).trigger(availableNow=True).start()
     replay(_changes(spark, d), [0, 1, 2, 3], "slice", start, "changes")
-    return state.read().select("doc_id", "digest")
+    return state.read()
