@@ -1,12 +1,13 @@
 """License scan by a positional rare-token index, native columns only.
 
 A template is the wording of a licence or of a notice with key phrases, all of which a copy must have at their places.
-The index holds, of each template, the word of its key phrases that is rarest over all documents (highest IDF) with its place in the
-template: as every copy has that word, looking up a file's indexed words finds all of them, whatever else the file holds.
-A word at place p that the template has at place r gives the start p - r; there the key phrase around the word must stand
-exactly, and every other one within a tolerance that grows with its distance (SLACK words and a word in DRIFT).  Each
-place of an indexed word is judged by itself, so the work grows with the text and not with its square.  The score is the
-idf-weighted share of the template's words found in place.
+The index holds, of each template, the RARE words of one key phrase that are rarest over all documents (highest IDF), each with its place in the
+template; the phrase is the one with the rarest word of all.  As every copy has those words, looking up a file's indexed words finds all
+of them, whatever else the file holds.  A word at place p that the template has at place r votes for the start p - r; the votes
+of a template's words are intersected, which leaves the starts where all of them stand at their relative places.  There the whole key
+phrase must stand exactly, and every other one within a tolerance that grows with its distance (SLACK words and a word in DRIFT).  Votes are
+numbers that are intersected by hashing, so the work grows with the text and not with its square.  The score is the idf-weighted share of the
+template's words found in place.
 
 Base phrases are found the same way (an anchor word, then the words around it compared) and always label.
 
@@ -97,6 +98,8 @@ IDENTIFIERS = {
 TEMPLATES += [(label, f"SPDX License Identifier {i}", [f"spdx license identifier {i}"]) for label, i in IDENTIFIERS.items()]
 #: How far key phrases may stand from their places: SLACK words, and one more for each DRIFT words from the indexed phrase.
 SLACK, DRIFT = 2, 8
+#: Words of a template that are looked up, of those that its key phrase has.
+RARE = 3
 
 
 def plain(text: str) -> list[str]:
@@ -117,12 +120,16 @@ def place_of(phrase: list[str], text: list[str]) -> int:
 
 
 def indexed(templates: list, idf: dict[str, float]) -> list[tuple]:
-    """Per template: label, words, place of the indexed word, its key phrases as (words, place from the start, tolerance)."""
+    """Per template: label, words, indexed words with their places, its key phrases as (words, place from the start, tolerance)."""
     out = []
     for label, text, keys in templates:
         ws, phrases = plain(text), [plain(k) for k in keys]
         at = [place_of(k, ws) for k in phrases]
-        _, _, rare, own = min((-idf[w], w, a + j, k) for k, (a, ph) in enumerate(zip(at, phrases, strict=True)) for j, w in enumerate(ph))
+        *_, own = min((-idf[w], w, a + j, k) for k, (a, ph) in enumerate(zip(at, phrases, strict=True)) for j, w in enumerate(ph))
+        places: dict[str, int] = {}
+        for j, w in enumerate(phrases[own]):
+            places.setdefault(w, at[own] + j)
+        rare = sorted(places.items(), key=lambda p: (-idf[p[0]], p))[:RARE]
         out.append((label, ws, rare, [(ph, a, 0 if k == own else SLACK + abs(a - at[own]) // DRIFT) for k, (a, ph) in enumerate(zip(at, phrases, strict=True))]))
     return out
 
@@ -138,10 +145,13 @@ def scan(docs: DataFrame, templates: list | None = None) -> DataFrame:
     n, df = document_frequency(docs, vocabulary)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
     lists = indexed(templates, idf)
-    index: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, ws, rare, _) in enumerate(lists):
-        index.setdefault(ws[rare], []).append((t, rare))
-    marked = sorted({plain(p)[a] for _, p, a in BASE} | set(index))
+    # of each rank of rarity the words that are looked up, with (template, place); a template with fewer words has its last one in the other ranks too
+    ranks: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(RARE)]
+    for t, (_, _, rare, _) in enumerate(lists):
+        for k, index in enumerate(ranks):
+            w, place = rare[min(k, len(rare) - 1)]
+            index.setdefault(w, []).append((t, place))
+    marked = sorted({plain(p)[a] for _, p, a in BASE}.union(*ranks))
 
     book = F.array(*[
         F.struct(
@@ -150,7 +160,12 @@ def scan(docs: DataFrame, templates: list | None = None) -> DataFrame:
         )
         for label, ws, _, keys in lists
     ])
-    postings = F.create_map(*[x for w, ps in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in ps]))])
+
+    def votes(index: dict[str, list[tuple[int, int]]]) -> Column:
+        """Template and start, as one number, that the places of words vote for; a text may begin within a template."""
+        postings = F.create_map(*[x for w, ps in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(i).alias("i")) for t, i in ps]))])
+        start = lambda m, p: p["t"] * (1 << 33) + (m["i"] - p["i"]) + (1 << 32)
+        return F.flatten(F.transform(F.filter("m", lambda m: m["x"].isin(sorted(index))), lambda m: F.transform(F.element_at(postings, m["x"]), lambda p: start(m, p))))
 
     w = F.col("w")
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
@@ -174,7 +189,10 @@ def scan(docs: DataFrame, templates: list | None = None) -> DataFrame:
 
         return let(F.get(book, v["t"]), judged)
 
-    starts = F.flatten(F.transform(F.filter("m", lambda m: m["x"].isin(sorted(index))), lambda m: F.transform(F.element_at(postings, m["x"]), lambda p: F.struct(p["t"].alias("t"), (m["i"] - p["i"]).alias("at")))))
+    agreed = votes(ranks[0])
+    for index in ranks[1:]:
+        agreed = F.array_intersect(agreed, votes(index))
+    starts = F.transform(agreed, lambda v: F.struct(F.shiftright(v, 33).cast("int").alias("t"), (v.bitwiseAND((1 << 33) - 1) - (1 << 32)).cast("int").alias("at")))
     found = F.filter(F.transform(starts, verify), lambda m: m.isNotNull())
     found = F.when(F.size("m") > 0, found).otherwise(F.array().cast("array<struct<label:string,at:int,score:double>>"))
     rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(*[base(*b) for b in BASE]).alias("base"), found.alias("matches"))

@@ -349,3 +349,26 @@ def test_recall_of_near_duplicates(spark):
     assert len(links) > 250
     assert sum(got[i] == got[j] for i, j in links) / len(links) >= 0.99
     assert all(find(i) == find(j) for i, j in zip(got, got.values()))  # class ids are of the same class
+
+
+# --- votes of several rare words
+
+
+def test_license_words_must_agree_on_a_start(spark):
+    from sparkloom.llm import licenses
+
+    texts = [
+        "GNU General Public License, version 3",  # begins within a template
+        "version 3 and GNU Lesser something General Public License",  # all words, not at their places
+        "x GNU Affero General Public License version 3 y",
+        "general public license gnu " * 300 + "GNU General Public License version 2",
+        "Mozilla Public License 2.0",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, [m["label"] for m in r.matches]) for r in licenses.scan(df).collect()}
+    assert [got[i][0] for i in range(5)] == ["gpl-3", "", "agpl-3", "gpl-2", "mpl-2"]
+    assert got[3][1] == ["gpl-2"]
+    rare = licenses.indexed(licenses.TEMPLATES, {w: 1.0 for _, t, _ in licenses.TEMPLATES for w in licenses.plain(t)})
+    for (_, text, keys), (_, ws, places, phrases) in zip(licenses.TEMPLATES, rare):
+        assert 1 <= len(places) <= licenses.RARE and all(ws[i] == w for w, i in places)
+        assert any(set(w for w, _ in places) <= set(ph) and off == 0 for ph, _, off in phrases)
