@@ -143,6 +143,19 @@ class Catalog:
         key = N.lookup_key(F.lit(fqn)) if kind == "class" else F.lower(F.lit(fqn)) if kind == "method" else F.lit(fqn)
         return self.symbols.where((F.col("kind") == kind) & (F.col("lookup_key") == key))
 
+    def find_many(self, probes: DataFrame) -> DataFrame:
+        """Declarations of many names at once: probes(kind, probe), looked up as find does, by equality of kind and key."""
+        probe = F.col("probe")
+        asked = probes.withColumn("lookup_key", F.when(F.col("kind") == "class", N.lookup_key(probe)).when(F.col("kind") == "method", F.lower(probe)).otherwise(probe))
+        return asked.join(self.symbols, ["kind", "lookup_key"])
+
+    def search_many(self, searches: DataFrame, limit: int = S.LIMIT) -> DataFrame:
+        """Of each of many searches (search, kind, word_ord, word) the first symbols of its kind and whether they are all (search.search_many)."""
+        name = F.when(F.col("kind") == "property", F.expr("substring(name, 2)")).otherwise(F.col("name"))
+        index = S.token_index(self.symbols, name, F.col("symbol_key"), lambda n: F.transform(T.tokens(n), lambda t: F.concat("kind", F.lit(":"), t)))
+        longest = max([len(k) for k in (*KINDS, "global")]) + 4
+        return S.search_many(index, searches.withColumn("word", F.concat("kind", F.lit(":"), "word")).drop("kind"), limit, head=longest)
+
     def members(self, kind: str, owner: str, name: str = "", prefix: bool = False) -> DataFrame:
         rows = self.symbols.where((F.col("kind") == kind) & (F.col("owner") == owner))
         if not name:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom import code_queries, cursor_queries, index_queries, stream_queries  # noqa: F401
+from sparkloom import code_queries, cursor_queries, index_queries, source_queries, stream_queries  # noqa: F401
 from sparkloom.catalog_queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
