@@ -372,3 +372,18 @@ def test_license_words_must_agree_on_a_start(spark):
     for (_, text, keys), (_, ws, places, phrases) in zip(licenses.TEMPLATES, rare):
         assert 1 <= len(places) <= licenses.RARE and all(ws[i] == w for w, i in places)
         assert any(set(w for w, _ in places) <= set(ph) and off == 0 for ph, _, off in phrases)
+
+
+# --- names are no secrets
+
+
+def test_names_are_no_secrets():
+    from sparkloom.llm import secrets
+
+    for t in ("src/main/java/Foo2Bar/BazQux3Impl/Thing", "SomeVeryLongCamelCaseClassName2WithNumber", "com/example/ServerFactory2Test", "my-app/node_modules/SomePackage/index2"):
+        assert secrets.entropy_spans(f"see {t} here") == [], t
+    r = np.random.default_rng(4)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(r.choice(alphabet, 32)) for _ in range(500)]
+    assert not any(map(secrets.reads_as_name, keys))
+    assert sum(secrets.entropy_spans(k) == [(0, 32)] for k in keys) >= 495
