@@ -123,6 +123,19 @@ def test_broken_and_empty_files(spark):
     assert php.extract(df.limit(0)).count() == 0
 
 
+def test_files_of_a_small_table_are_dealt_out_and_rows_handed_on_in_parts(spark, tmp_path):
+    from sparkloom import source_queries
+
+    spark.range(25_000).selectExpr("id AS p_partkey", "'PROMO TIN' AS p_type", "3 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = source_queries._files(spark, str(tmp_path))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 25_000 and max(sizes) <= 2 * php.PER_TASK and len(sizes) == php.tasks(spark, 25_000) > 1
+    assert (php.tasks(spark, 0), php.tasks(spark, 10**6)) == (1, 100)
+    many = dealt.limit(1_000).select("uri", F.encode("content", "utf-8").alias("content")).toArrow().to_batches()
+    parts = [b.num_rows for b in php._extract(iter(many))]
+    assert len(parts) > 1 and max(parts) < php.HELD + 1_000
+
+
 def test_streams(spark, tmp_path):
     from sparkloom.streaming import edits
 
