@@ -215,6 +215,16 @@ def _members(spark, d):
     return H.first_wins(rows, ["owner", "name"], ["l_orderkey", "static"]).select("owner", "name", "visibility", "static")
 
 
+def _nearest_of_all(spark, d, members):
+    """(node, name, depth, ...) of the nearest of the members that a node has or inherits, by name."""
+    return H.nearest_of_each(_edges(spark, d), members.withColumn("node", F.col("owner")), ["name"], ["owner"])
+
+
+def _nearest(spark, d, members):
+    """The same of the parts (seed)."""
+    return _nearest_of_all(spark, d, members).withColumnRenamed("node", "seed").join(_seeds(spark, d).distinct(), "seed", "left_semi")
+
+
 MEMBERS_SQL = "members AS (SELECT l_partkey AS owner, CAST(l_linenumber AS BIGINT) AS name, CAST(l_linenumber % 3 AS BIGINT) AS visibility, arg_min(l_returnflag = 'R', (l_orderkey, l_returnflag = 'R')) AS static FROM lineitem GROUP BY ALL)"
 
 
@@ -222,25 +232,34 @@ MEMBERS_SQL = "members AS (SELECT l_partkey AS owner, CAST(l_linenumber AS BIGIN
     f"{CLOSURE_SQL}, c AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node), {MEMBERS_SQL} SELECT seed, name, owner, visibility, depth FROM (SELECT seed, m.name, m.owner, m.visibility, depth, row_number() OVER (PARTITION BY seed, m.name ORDER BY depth, m.owner) AS r FROM c JOIN members m ON m.owner = c.node WHERE depth = 0 OR m.visibility <> 2) WHERE r = 1"
 )
 def inherited_members(spark, d):
-    up = H.closure_of_all(_edges(spark, d), _seeds(spark, d))
-    rows = up.join(_members(spark, d), F.col("node") == F.col("owner")).where(H.instance_access(F.col("visibility"), F.col("owner"), F.col("seed"), F.col("depth") == 0, F.lit(True)))
-    return H.first_wins(rows.select("seed", "name", "owner", "visibility", "depth"), ["seed", "name"], ["depth", "owner"])
+    members = H.written(_members(spark, d), f"{H.shared_folder(spark)}/members")
+    found = _nearest(spark, d, members.where("visibility <> 2"))
+    own = _seeds(spark, d).distinct().join(members, F.col("seed") == F.col("owner")).withColumn("depth", F.lit(0).cast("long"))  # its own hide all others of a name
+    columns = ["seed", "name", "owner", "visibility", "depth"]
+    return H.first_wins(own.select(columns).unionByName(found.select(columns)), ["seed", "name"], ["depth", "owner"])
 
 
 @query(
     f"{CLOSURE_SQL}, c AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY seed, node), {MEMBERS_SQL} SELECT how, seed, name, owner FROM (SELECT how, seed, m.name, m.owner, row_number() OVER (PARTITION BY how, seed, m.name ORDER BY depth, m.owner) AS r FROM c JOIN members m ON m.owner = c.node CROSS JOIN (VALUES ('parent'), ('relative'), ('name')) h(how) WHERE CASE how WHEN 'parent' THEN owner <> seed AND visibility <> 2 WHEN 'relative' THEN owner = seed OR visibility <> 2 ELSE static AND visibility = 0 END) WHERE r = 1"
 )
 def reduce_static(spark, d):
-    up = H.closure_of_all(_edges(spark, d), _seeds(spark, d))
-    rows = up.join(_members(spark, d), F.col("node") == F.col("owner")).withColumn("how", F.explode(F.array(F.lit("parent"), F.lit("relative"), F.lit("name"))))
-    rows = rows.where(H.static_access(F.col("visibility"), F.col("static"), F.col("owner"), F.col("seed"), F.col("how"), F.lit(False)))
-    return H.first_wins(rows.select("how", "seed", "name", "depth", "owner"), ["how", "seed", "name"], ["depth", "owner"]).select("how", "seed", "name", "owner")
+    """By what stands before the colons: ``parent`` asks the class above, the others the class itself."""
+    members, columns = H.written(_members(spark, d), f"{H.shared_folder(spark)}/members"), ["how", "seed", "name", "depth", "owner"]
+    seeds = _seeds(spark, d).distinct()
+    own = seeds.join(members, F.col("seed") == F.col("owner")).withColumns({"how": F.lit("relative"), "depth": F.lit(0).cast("long")})
+    open_ = _nearest_of_all(spark, d, members.where("visibility <> 2"))
+    relative = open_.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi").withColumnRenamed("node", "seed").withColumn("how", F.lit("relative"))
+    parent = open_.join(_edges(spark, d).select(F.col("child").alias("seed"), F.col("parent").alias("node")).distinct(), "node").withColumns({"how": F.lit("parent"), "depth": F.col("depth") + 1})
+    named = _nearest(spark, d, members.where("static AND visibility = 0")).withColumn("how", F.lit("name"))
+    rows = own.select(columns).unionByName(relative.select(columns)).unionByName(parent.select(columns)).unionByName(named.select(columns))
+    return H.first_wins(rows, ["how", "seed", "name"], ["depth", "owner"]).select("how", "seed", "name", "owner")
 
 
 @query(f"{CLOSURE_SQL}, {MEMBERS_SQL} SELECT seed, arg_min(m.name, (depth, m.name)) AS name, min(depth) AS depth FROM walk JOIN members m ON m.owner = node WHERE visibility = 0 GROUP BY seed")
 def reduce_first_public(spark, d):
-    rows = H.closure_of_all(_edges(spark, d), _seeds(spark, d)).join(_members(spark, d), F.col("node") == F.col("owner")).where("visibility = 0")
-    return H.first_wins(rows.select("seed", "depth", "name"), ["seed"], ["depth", "name"]).select("seed", "name", "depth")
+    own = _members(spark, d).where("visibility = 0").select(F.col("owner").alias("node"), "name")
+    found = H.nearest_of_each(_edges(spark, d), own, [], ["name"]).withColumnRenamed("node", "seed")
+    return found.join(_seeds(spark, d).distinct(), "seed", "left_semi").select("seed", "name", "depth")
 
 
 @query("SELECT l_suppkey, owner, name FROM (SELECT l_suppkey, l_partkey AS owner, CAST(l_linenumber AS BIGINT) AS name, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey) AS r FROM lineitem) WHERE r = 1")

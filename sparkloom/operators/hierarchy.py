@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Seeds from which on a closure may go by doubled steps.
+MANY = 1_000
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, depth): all that a seed reaches over edges(child, parent), itself at depth 0, nearest depth of each; cycles end.
 
@@ -62,7 +66,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def whole_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """closure_loop in the folder that driver and executors share."""
+    """closure_loop in the folder that driver and executors share, or closure_of_all where the seeds are so many that its doubled steps cost less."""
+    seeds = seeds.select("seed").distinct()
+    if (n := seeds.count()) >= MANY and n * 2 >= edges.count():
+        return closure_of_all(edges, seeds)
     return closure_loop(edges, seeds, f"{shared_folder(edges.sparkSession)}/closure-{uuid.uuid4().hex}")
 
 
@@ -94,6 +101,31 @@ def closure_of_all(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         length *= 2
 
 
+def nearest_of_each(edges: DataFrame, own: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """own(node, keys, order, more) with ``depth``: for each node and key the row of the nearest node that it reaches over edges(child, parent)
+    and that has one, itself at depth 0; of equally near ones the first by ``order``.
+
+    By doubled steps, of what is found and not of all that is reached: after n rounds all rows nearer than 2^n steps are known, and a round
+    asks the nodes 2^n steps above for theirs.  A row once found is never replaced, as later ones are farther, so it ends when no row is new:
+    a node that lacks a key which some node above has gets it no later than its parent's own is handed on.  Cycles end too."""
+    folder = f"{shared_folder(edges.sparkSession)}/nearest-{uuid.uuid4().hex}"
+    kind = own.schema["node"].dataType
+    jumps = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").cast(kind).alias("node"), F.col("parent").cast(kind).alias("to")).distinct()
+    jumps, columns, by = written(jumps, folder), [*own.columns, "depth"], ["node", *keys]
+    known = written(first_wins(own.withColumn("depth", F.lit(0).cast("long")), by, ["depth", *order]).select(columns), folder)
+    length = 1
+    while True:
+        above = known.withColumnRenamed("node", "to").withColumn("depth", F.col("depth") + length).join(jumps, "to").select(columns)
+        has = known.select(*[F.col(c).alias(f"_{c}") for c in by])
+        fresh = above.join(has, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left_anti")
+        new = written(first_wins(fresh, by, ["depth", *order]).select(columns), folder)
+        if new.isEmpty():
+            return known
+        known = written(known.unionByName(new), folder)
+        jumps = written(jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")).distinct(), folder)
+        length *= 2
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds the place of each row in an order, from 0: rows are dealt to ranges, and the sizes of the ranges before one are added to its own places."""
     spark = df.sparkSession

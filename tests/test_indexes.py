@@ -215,3 +215,36 @@ def test_stabbing_by_cells_of_all_sizes(spark):
     assert sorted((x.j, x.i) for x in got.collect()) == sorted((j, i) for j, k, at in points for i, k2, s, e in ranges if k == k2 and s <= at < e)
     assert not re.search("NestedLoop|Cartesian", plan(got))
     assert P.stab(a.limit(0), b, "s", "e", "at", ["k"]).collect() == []
+
+
+def test_nearest_of_each_is_what_the_closure_gives(spark):
+    import random
+
+    from sparkloom.operators import hierarchy as H
+
+    rnd = random.Random(3)
+    ways = [(i, i // 2) for i in range(1, 60)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(12)] + [(n, n + 1) for n in range(100, 140)] + [(140, 100)]  # trees, more parents, a long cycle
+    own = [(n, k, rnd.randrange(3)) for n in (0, 3, 17, 40, 59, 120, 120) for k in ("a", "b", None) if rnd.random() < 0.8]
+    edges = spark.createDataFrame(ways, "child long, parent long")
+    rows = spark.createDataFrame(own, "node long, key string, more long")
+    got = H.nearest_of_each(edges, rows.withColumn("of", F.col("node")), ["key"], ["of", "more"])
+    seeds = spark.createDataFrame([(n,) for n in {x for w in ways for x in w}], "seed long")
+    reach = [tuple(r) for r in H.whole_closure(edges, seeds).collect()]
+    want = {}
+    for seed, node, depth in reach:
+        for n, k, more in own:
+            if n == node:
+                want[seed, k] = min(want.get((seed, k), (99, 0, 0)), (depth, n, more))
+    assert {(r.node, r.key): (r.depth, r.of, r.more) for r in got.collect()} == want
+    assert got.count() == len(want)
+
+
+def test_inherited_members_hold_no_row_for_each_pair_of_a_chain(spark, tmp_path, monkeypatch):
+    from sparkloom import catalog_queries as C
+    from sparkloom.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "closure_of_all", None)  # a row for each class and each one above it is never made
+    spark.range(200).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr("id AS l_orderkey", "id % 200 AS l_partkey", "CAST(id % 7 AS INT) AS l_linenumber", "IF(id % 3 = 0, 'R', 'N') AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query in (C.inherited_members, C.reduce_static, C.reduce_first_public):
+        assert query(spark, str(tmp_path)).groupBy("seed").count().count() == 200
