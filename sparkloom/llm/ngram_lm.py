@@ -38,6 +38,8 @@ by_value(__name__)
 DISCOUNT, MIN_COUNT = 0.75, 1
 #: Bytes of text handled at once, characters per vocabulary shard, training words per trie shard.
 STEP_BYTES, VOCABULARY_CHARS, SHARD_WORDS = 8_000_000, 100_000_000, 2_500_000
+#: Bytes of mapped files whose pages a worker keeps from one step to the next.
+MAPPED_BYTES = 200_000_000
 U = np.uint64
 BLOCK = 256  # bits
 
@@ -188,8 +190,19 @@ def mapped(store: Store, name: str) -> list[np.ndarray]:
     if (key := f"{store.uri}/{name}") not in cache:
         if len(cache) > 20_000:
             cache.clear()
-        cache[key] = unpack(np.memmap(store.path(name), np.uint8, "r").view(np.ndarray))
-    return cache[key]
+        file = np.memmap(store.path(name), np.uint8, "r")
+        cache[key] = unpack(file.view(np.ndarray)), file
+    return cache[key][0]
+
+
+def let_go() -> None:
+    """Takes the pages of mapped files, if they are many, from this worker: they stay in the machine's cache, and its memory does not grow with the model."""
+    import mmap
+
+    files = [file for _, file in worker_cache().get("mapped", {}).values()]
+    if sum(map(len, files)) > MAPPED_BYTES:
+        for file in files:
+            file._mmap.madvise(mmap.MADV_DONTNEED)
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +396,7 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT) -> Model:
             EliasFano.build(heads), EliasFano.build(head.astype(U) * total + (u2 & U(0xFFFFFFFF))), EliasFano.build(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(u2)))])),
             EliasFano.build(of.astype(U) * total + last),
         ]
-        Store(path).write(f"grams-{s:06d}", pack([a for e in levels for a in e.arrays()] + [code2, book2, code_rest, book_rest, code3, book3]))
+        Store(path).write(f"grams-{s:06d}", pack([a for e in levels for a in e.arrays()] + [code2, book2, code_rest, book_rest, code3, book3, np.packbits(np.bincount(of, minlength=len(u2)) > 0, bitorder="little")]))
         sums = np.bincount(head, book2[code2], len(heads)) if len(heads) else np.zeros(0)
         shard = np.searchsorted(vocabulary.begins, heads, "right") - 1
         rows = [(int(v), _zip(heads[shard == v].astype(U), sums[shard == v].view(U))) for v in np.unique(shard)]
@@ -410,18 +423,19 @@ class Trie:
 
     def __init__(self, arrays: list[np.ndarray]):
         self.heads, self.pairs, self.pointers, self.triples = (EliasFano.of(arrays[5 * i : 5 * i + 5]) for i in range(4))
-        self.code2, self.book2, self.code_rest, self.book_rest, self.code3, self.book3 = arrays[20:]
+        self.code2, self.book2, self.code_rest, self.book_rest, self.code3, self.book3, self.bears = arrays[20:]
 
     def pair(self, first: np.ndarray, second: np.ndarray, total: int) -> np.ndarray:
-        """Place of each pair (-1: none)."""
-        head = self.heads.find(first)
+        """Place of each pair (-1: none); pairs in order, so each first word is looked up once."""
+        new = np.concatenate([[True], first[1:] != first[:-1]])
+        head = self.heads.find(first[new])[np.cumsum(new) - 1]
         place, at = np.full(len(first), -1, np.int64), np.flatnonzero(head >= 0)
         place[at] = self.pairs.find(head[at].astype(U) * U(total) + second[at].astype(U))
         return place
 
     def fertile(self, pair: np.ndarray) -> np.ndarray:
-        """Whether a pair has successors: its pointers differ."""
-        return self.pointers.access(pair + 1) > self.pointers.access(pair)
+        """Whether a pair has successors, that is, its pointers differ: a bit of each pair says so."""
+        return (self.bears[pair >> 3] >> (pair & 7).astype(np.uint8) & 1).astype(bool)
 
     def triple(self, pair: np.ndarray, last: np.ndarray, total: int) -> np.ndarray:
         return self.triples.find(pair.astype(U) * U(total) + last.astype(U))
@@ -482,6 +496,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(known), pa.array(np.full(b.num_rows, model.tokens, np.int64)), pa.array(base), pa.array(full)], names
             )
+            let_go()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
