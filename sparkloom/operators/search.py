@@ -101,15 +101,22 @@ def search_many(index: DataFrame, searches: DataFrame, limit: int = LIMIT, head:
 
     searches(search, word_ord, word): a search has some words; a symbol is found by its least (word_ord, token), and symbols are listed by
     that and their key.  index(token, symbol_key).  Whole results need no more than this: of a token its first limit + 1 symbols (any
-    symbol of the result is among those of its own token), and of a search its first (limit + 1) x m tokens, where m is the most tokens
-    that a symbol has (so many tokens hold limit + 1 symbols).  So a token that half of the symbols have, or a word that is one letter,
-    stays small.  A search without hits has no rows."""
+    symbol of the result is among those of its own token), and of a word, and of a search, its first tokens that have (limit + 1) x m of
+    these rows, where m is the most tokens that a symbol has: so many rows are of limit + 1 symbols at least, and all of them come before
+    those of a later token.  So a token that half of the symbols have, or a word that is one letter, stays small: a search meets no more
+    than (limit + 1) x (m + 1) rows.  A search without hits has no rows."""
     rows = index.select("token", "symbol_key").distinct()
     most = rows.groupBy("symbol_key").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("m")).first()["m"]
-    pairs = prefix_pairs(searches, rows, head)
-    asked = searches.join(pairs, "word").groupBy("search", "token").agg(F.min("word_ord").cast("long").alias("word_ord"))
-    in_order = Window.partitionBy("search").orderBy("word_ord", "token")
-    asked = asked.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= (limit + 1) * most).drop("_n")
+
+    def enough(df: DataFrame, key: str, *order: str) -> DataFrame:
+        """The tokens of each key up to the one at which its rows are enough."""
+        before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(F.col("_before") < (limit + 1) * most).drop("_before")
+
+    counts = rows.where("token IS NOT NULL").groupBy("token").agg(F.least(F.count("*"), F.lit(limit + 1)).alias("_rows"))
+    pairs = enough(prefix_pairs(searches, counts, head).join(counts, "token"), "word", "token")
+    asked = searches.join(pairs, "word").groupBy("search", "token").agg(F.min("word_ord").cast("long").alias("word_ord"), F.max("_rows").alias("_rows"))
+    asked = enough(asked, "search", "word_ord", "token").drop("_rows")
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("token").orderBy("symbol_key"))).where(F.col("_n") <= limit + 1).drop("_n")
     found = asked.join(first, "token").groupBy("search", "symbol_key").agg(F.min(F.struct("word_ord", "token")).alias("b"))
     listed = found.withColumn("place", F.row_number().over(Window.partitionBy("search").orderBy("b.word_ord", "b.token", "symbol_key"))).where(F.col("place") <= limit + 1)

@@ -248,3 +248,39 @@ def test_inherited_members_hold_no_row_for_each_pair_of_a_chain(spark, tmp_path,
     spark.range(400).selectExpr("id AS l_orderkey", "id % 200 AS l_partkey", "CAST(id % 7 AS INT) AS l_linenumber", "IF(id % 3 = 0, 'R', 'N') AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
     for query in (C.inherited_members, C.reduce_static, C.reduce_first_public):
         assert query(spark, str(tmp_path)).groupBy("seed").count().count() == 200
+
+
+def test_a_block_holds_a_word_in_four_bytes():
+    import tracemalloc
+
+    held, text = G.Block(), " ".join(f"word{i % 5000}" for i in range(20_000))
+    tracemalloc.start()
+    for key in range(30):
+        held.add(key, text.split(), len(text))
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(held.terms) == 600_000 and size < 4_500_000  # as texts: 5 MB of references and 30 MB of words
+    assert G.segments(0, held)["n_places"].to_pylist()[0] == 30 * 4
+
+
+def test_a_search_meets_rows_for_its_limit_only(spark):
+    index = spark.range(6_000).selectExpr("concat('w', lpad(id % 300, 3, '0')) AS token", "id AS symbol_key")
+    searches = spark.range(50).selectExpr("id AS search", "0 AS word_ord", "'w' AS word")
+    found = S.search_many(index, searches, 5)
+    assert found.count() == 250 and {(r.token, r.is_complete) for r in found.collect()} == {("w000", False)}
+    plan = found._jdf.queryExecution()
+    found.collect()
+    metrics = []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if "Join" in node.nodeName() and node.metrics().get("numOutputRows").isDefined():
+            metrics.append(node.metrics().get("numOutputRows").get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan.executedPlan())
+    assert metrics and max(metrics) <= 50 * 6 * 2  # each search met all 300 tokens before: 15,000 rows
