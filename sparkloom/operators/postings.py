@@ -10,9 +10,10 @@ is in all documents is as many rows as there are segments, never one list.
 from __future__ import annotations
 
 import sys
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -67,16 +68,36 @@ def running(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[starts] - values[starts], lengths)
 
 
+class Block:
+    """Documents and their terms, these as numbers: a word takes four bytes, and its text is held once."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)  # of each term, by where it comes first
+        self.ids, self.sizes, self.terms, self.size = array("q"), array("q"), array("i"), 0
+
+    def add(self, key: int, words: list[str], size: int = 0) -> None:
+        self.ids.append(key)
+        self.sizes.append(len(words))
+        self.terms.extend(map(self.numbers.__getitem__, words))
+        self.size += size
+
+
 def coded(block: int, ids: list[int], lists: list[list[str]]) -> pa.RecordBatch:
     """The segments of a block: document numbers and their terms in order."""
-    by_id = sorted(range(len(ids)), key=ids.__getitem__)
-    numbers: dict[str, int] = defaultdict(count().__next__)  # of each term, by where it comes first
-    term = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists[i] for i in by_id)), np.int32)
-    sizes = np.array([len(lists[i]) for i in by_id], np.int64)
-    doc = np.repeat(np.array([ids[i] for i in by_id], np.int64), sizes)
-    place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.argsort(term, kind="stable")  # documents and places are in order already
-    term, doc, place = term[order], doc[order], place[order]
+    held = Block()
+    for key, words in zip(ids, lists, strict=True):
+        held.add(key, words)
+    return segments(block, held)
+
+
+def segments(block: int, held: Block) -> pa.RecordBatch:
+    numbers, term = held.numbers, np.frombuffer(held.terms, np.int32) if held.terms else np.zeros(0, np.int32)
+    ids, sizes = np.array(held.ids, np.int64), np.array(held.sizes, np.int64)
+    row = np.repeat(np.argsort(np.argsort(ids, kind="stable"), kind="stable").astype(np.int32), sizes)  # the document's place among all
+    place = (np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    order = np.lexsort((row, term))  # places are in order already
+    term, doc, place = term[order], np.sort(ids)[row[order]], place[order]
+    del row, order
     new_doc = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(doc, prepend=doc[:1]) != 0))
     heads, owners = doc[new_doc], term[new_doc]  # a row for each (term, document)
     counts = np.diff(np.append(new_doc, len(term)))
@@ -108,17 +129,16 @@ def build(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
 
         from pyspark import TaskContext
 
-        cut, block, held, size = re.compile(pattern), TaskContext.get().partitionId() << 32, ([], []), 0
+        cut, block, held = re.compile(pattern), TaskContext.get().partitionId() << 32, Block()
         for b in batches:
-            for i, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
-                held[0].append(i)
-                held[1].append(cut.findall(t or ""))
-                size += len(t or "")
-                if size >= BLOCK:
-                    yield coded(block, *held)
-                    block, held, size = block + 1, ([], []), 0
-        if held[0]:
-            yield coded(block, *held)
+            for i, t in zip(b.column(key), b.column(text), strict=True):  # one text at a time: a batch may be of long ones
+                t = t.as_py() or ""
+                held.add(i.as_py(), cut.findall(t), len(t))
+                if held.size >= BLOCK:
+                    yield segments(block, held)
+                    block, held = block + 1, Block()
+        if held.ids:
+            yield segments(block, held)
 
     return texts.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, SCHEMA)
 
