@@ -31,24 +31,28 @@ class Quiet(StatefulProcessor):
         return pd.DataFrame([(*key, *c) for c in calls], columns=[self.key, "value", "at", "n"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending = self.pending.get() if self.pending.exists() else None
+        pending, timer = self.pending.get(), None
         if pending is not None:
-            self.handle.deleteTimer((pending[1] + self.seconds) * 1000)
+            timer = (pending[1] + self.seconds) * 1000
         done = []
-        calls = pd.concat(list(rows)).sort_values(["at", "value"])
-        for value, at in zip(calls["value"].tolist(), calls["at"].tolist()):
+        calls = [c for part in rows for c in zip(part["at"].tolist(), part["value"].tolist(), strict=True)]
+        for at, value in sorted(calls):
             if pending is not None and at - pending[1] >= self.seconds:  # the quiet time passed inside this batch
                 done.append(pending)
                 pending = None
             pending = (value, at, 1 if pending is None else pending[2] + 1)
         self.pending.update(pending)
-        self.handle.registerTimer((pending[1] + self.seconds) * 1000)
+        ends = (pending[1] + self.seconds) * 1000
+        if timer is not None and timer != ends:
+            self.handle.deleteTimer(timer)
+        if timer != ends:
+            self.handle.registerTimer(ends)
         if done:
             yield self._rows(key, done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            last = self.pending.get()
+        last = self.pending.get()
+        if last is not None:
             self.pending.clear()
             yield self._rows(key, [tuple(last)])
 

@@ -179,3 +179,26 @@ def test_late_rows_are_counted(spark):
 
     rows = stream_queries.stream_tumbling(spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n_late for r in rows) > 0 and sum(r.n + r.n_late for r in rows) == 1000
+
+
+def test_a_call_that_changes_no_timer_asks_the_state_once():
+    import pandas as pd
+
+    from sparkloom.streaming.timers import Quiet
+
+    asked = []
+
+    class Fake:
+        held = (7, 100, 2)
+
+        def __getattr__(self, name):
+            return lambda *a: asked.append((name, *a)) or (self.held if name == "get" else None)
+
+    quiet = Quiet("user", 10)
+    quiet.handle = quiet.pending = Fake()
+    calls = pd.DataFrame({"at": [100, 99], "value": [9, 8]})
+    assert list(quiet.handleInputRows(("u",), iter([calls]), None)) == []
+    assert asked == [("get",), ("update", (9, 100, 4))]
+    later = pd.DataFrame({"at": [120], "value": [1]})
+    assert [tuple(r) for p in quiet.handleInputRows(("u",), iter([later]), None) for r in p.itertuples(index=False)] == [("u", 7, 100, 2)]
+    assert asked[2:] == [("get",), ("update", (1, 120, 1)), ("deleteTimer", 110_000), ("registerTimer", 130_000)]
