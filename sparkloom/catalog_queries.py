@@ -310,9 +310,18 @@ WORDS_SQL = "SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS ref
 ORDERED_SQL = "SELECT doc_id, list_extract(ws, i) AS ref, i - 1 AS place FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]+') AS ws, unnest(range(1, len(regexp_extract_all(text, '[a-zA-Z]+')) + 1)) AS i FROM documents)"
 
 
+#: Characters of texts whose words a task counts.
+CHARS_PER_TASK = 8_000_000
+
+
 @query(f"SELECT doc_id, ref, count(*) AS n, CAST(min(place) AS BIGINT) AS first_place FROM ({ORDERED_SQL}) GROUP BY doc_id, ref")
 def postings_build(spark, d):
-    return R.postings(_words(spark, d), "doc_id", "ref", "place", places=False).select("doc_id", "ref", "n", _big(F.col("first")).alias("first_place"))
+    """Texts are dealt out by document, not their words with it: a document's words are counted where its text is."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS_PER_TASK))
+    words = docs.repartition(parts, "doc_id").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("place", "ref"))
+    return R.postings(words, "doc_id", "ref", "place", places=False).select("doc_id", "ref", "n", _big(F.col("first")).alias("first_place"))
 
 
 REFS = ["License", "password", "secret"]

@@ -202,3 +202,13 @@ def test_a_call_that_changes_no_timer_asks_the_state_once():
     later = pd.DataFrame({"at": [120], "value": [1]})
     assert [tuple(r) for p in quiet.handleInputRows(("u",), iter([later]), None) for r in p.itertuples(index=False)] == [("u", 7, 100, 2)]
     assert asked[2:] == [("get",), ("update", (1, 120, 1)), ("deleteTimer", 110_000), ("registerTimer", 130_000)]
+
+
+def test_postings_move_texts_and_not_their_words(spark, tmp_path):
+    from sparkloom.catalog_queries import postings_build
+
+    spark.sql("SELECT * FROM VALUES (1L, 'b a b'), (2L, 'c'), (1L, 'a'), (3L, NULL) t(doc_id, text)").write.parquet(f"{tmp_path}/documents.parquet")
+    df = postings_build(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "a", 2, 0), (1, "b", 2, 0), (2, "c", 1, 0)]
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "ref" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])
