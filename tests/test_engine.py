@@ -136,6 +136,18 @@ def test_files_of_a_small_table_are_dealt_out_and_rows_handed_on_in_parts(spark,
     assert len(parts) > 1 and max(parts) < php.HELD + 1_000
 
 
+def test_tokens_are_found_in_few_steps_with_the_same_places():
+    text = "<?php\r\nclass Ä\\B\xa0{ /* c */ #[At(1)]\n public $é = 'a;b'; } $x?->y(...) <=> 1.5e3; ?> html <?= <<<E\n t\n E;"
+    assert [(t.kind, t.text) for t in php.lex(text)] == [
+        ("name", "class"), ("name", "Ä\\B\xa0"), ("op", "{"), ("op", "#["), ("name", "At"), ("op", "("), ("number", "1"), ("op", ")"), ("op", "]"), ("name", "public"), ("var", "$é"), ("op", "="), ("string", "'a;b'"), ("op", ";"), ("op", "}"),
+        ("var", "$x"), ("op", "?->"), ("name", "y"), ("op", "("), ("op", "..."), ("op", ")"), ("op", "<=>"), ("number", "1.5e3"), ("op", ";"), ("op", ";"), ("heredoc", "<<<E\n t\n E"), ("op", ";"),
+    ]
+    assert all(text[t.start : t.end] == t.text or text[t.start : t.end] == "?>" for t in php.lex(text))
+    rows = php.Extractor("u", "<?php try { f(); } catch (A | B $e) {\n $e->x(); }").run()
+    assert all(len(r) == len(php.COLUMNS) for r in rows) and [r[php.SEQ] for r in rows] == list(range(len(rows)))
+    assert [r[php.TYPES] for r in rows if r[php.TAG] == "expr" and r[php.NAME] == "$e"][0] == "\\A|\\B"
+
+
 def test_streams(spark, tmp_path):
     from sparkloom.streaming import edits
 
