@@ -65,10 +65,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def most(edges: DataFrame, seeds: DataFrame) -> bool:
+    """Whether distinct seeds are so many of the nodes that doubled steps of all nodes cost less than to follow each seed."""
+    return (n := seeds.count()) >= MANY and n * 2 >= edges.count()
+
+
 def whole_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """closure_loop in the folder that driver and executors share, or closure_of_all where the seeds are so many that its doubled steps cost less."""
     seeds = seeds.select("seed").distinct()
-    if (n := seeds.count()) >= MANY and n * 2 >= edges.count():
+    if most(edges, seeds):
         return closure_of_all(edges, seeds)
     return closure_loop(edges, seeds, f"{shared_folder(edges.sparkSession)}/closure-{uuid.uuid4().hex}")
 
@@ -126,6 +131,28 @@ def nearest_of_each(edges: DataFrame, own: DataFrame, keys: list[str], order: li
         length *= 2
 
 
+def first_above(edges: DataFrame, own: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """own(node, keys, depth, more): for each node and key the first row by ``order`` of the node's own and those of all nodes that it reaches
+    over edges(child, parent), whose steps are added to their depth.  Rows may begin at any depth, so a farther one may come first.
+
+    By doubled steps, of first rows and not of all that is reached: after n rounds rows less than 2^n steps above are known.  It ends when a
+    round brings no node a better row: then ways twice as long bring none, and so ways of any length do not.  Cycles end too."""
+    folder = f"{shared_folder(edges.sparkSession)}/above-{uuid.uuid4().hex}"
+    kind = own.schema["node"].dataType
+    jumps = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").cast(kind).alias("node"), F.col("parent").cast(kind).alias("to")).distinct()
+    jumps, columns, by, length = written(jumps, folder), own.columns, ["node", *keys], 1
+    known = written(first_wins(own, by, order).select(columns), folder)
+    while True:
+        above = known.withColumnRenamed("node", "to").withColumn("depth", F.col("depth") + length).join(jumps, "to").select(columns)
+        both = known.withColumn("_new", F.lit(0)).unionByName(above.withColumn("_new", F.lit(1)))
+        better = written(first_wins(both, by, [*order, "_new"]), folder)
+        if better.where("_new = 1").isEmpty():
+            return known
+        known = better.select(columns)
+        jumps = written(jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("_far")), "to").select("node", F.col("_far").alias("to")).distinct(), folder)
+        length *= 2
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds the place of each row in an order, from 0: rows are dealt to ranges, and the sizes of the ranges before one are added to its own places."""
     spark = df.sparkSession

@@ -250,8 +250,35 @@ class Catalog:
 
     ORDER = ("phase", "depth", "ord", "uri", "seq")
 
+    def first_members(self, kind: str, classes: DataFrame, own: Column, handed: Column) -> DataFrame:
+        """Of each name the first of what ``inherited`` gives, for most classes at once: members that are ``own`` count for their class, those
+        ``handed`` on for all that reach it.  No row is made for each class and each one above it: only first rows go down."""
+        line, ids = self.edges.where("kind = 'extends'").select("child", "parent"), ["uri", "seq"]
+        rows = self.symbols.where(F.col("kind") == kind).select(F.col("owner").alias("of"), "name", *ids, *[F.coalesce(rule, F.lit(False)).alias(n) for rule, n in ((own, "_own"), (handed, "_handed"))])
+        given, at = rows.where("_handed").drop("_own", "_handed"), [F.col("depth").cast("long").alias("depth"), F.col("ord").cast("int").alias("ord")]
+        start = given.select(F.col("of").alias("node"), "name", "of", F.lit(0).alias("phase"), F.lit(0).alias("depth"), F.lit(0).alias("ord"), *ids)
+        if kind == "method":
+            traits = self.edges.where("kind = 'use'").select(F.col("child").alias("node"), F.col("parent").alias("of"), F.lit(0).alias("phase"), F.lit(0).alias("depth"), (F.col("ord") + 1).alias("ord"))
+            start = start.unionByName(traits.join(given, "of"))
+        faces = self.edges.where("kind = 'implements'").select(F.col("child").alias("node"), F.col("parent").alias("face"))
+        reach = H.whole_closure(line, faces.select(F.col("face").alias("seed"))).select(F.col("seed").alias("face"), F.col("node").alias("of"), F.lit(1).alias("phase"), "depth", F.lit(0).alias("ord"))
+        start = start.unionByName(faces.join(H.first_wins(reach.join(given, "of"), ["face", "name"], ["depth", "uri", "seq"]), "face").drop("face"))
+        columns, order = ["node", "name", "of", "phase", "depth", "ord", *ids], list(self.ORDER)
+        found = H.first_above(line, start.withColumns({"depth": at[0], "ord": at[1]}).select(columns), ["name"], order)
+        alone = rows.where("_own AND NOT _handed").select(F.col("of").alias("node"), "name", "of", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("depth"), F.lit(0).alias("ord"), *ids)
+        wanted = found.unionByName(alone).join(classes.select(F.col("seed").alias("node")).distinct(), "node", "left_semi")
+        first = H.first_wins(wanted, ["node", "name"], order).select(F.col("node").alias("seed"), "of", "phase", "depth", "ord", *ids)
+        whole = first.join(self.symbols.where(F.col("kind") == kind).dropDuplicates(ids), ids)
+        return whole.select("seed", "name", "of", "phase", "depth", "ord", *[c for c in self.symbols.columns if c != "name"])
+
+    def _many(self, classes: DataFrame) -> bool:
+        return H.most(self.edges.where("kind = 'extends'"), classes.select("seed").distinct())
+
     def instance_members(self, kind: str, classes: DataFrame, current: str = "", via_this: bool = False) -> DataFrame:
         """What ``$x->`` reaches: first of each name that the access rule allows."""
+        if not current and self._many(classes):  # else the rule differs by the class asked for
+            rule = H.instance_access(F.col("visibility"), F.col("owner"), F.lit(current), F.lit(False), F.lit(via_this))
+            return self.first_members(kind, classes, rule, rule)
         rows = self.inherited(kind, classes)
         ok = H.instance_access(F.col("visibility"), F.col("owner"), F.lit(current), F.col("seed") == current, F.lit(via_this))
         return H.first_wins(rows.where(ok), ["seed", "name"], list(self.ORDER))
@@ -260,8 +287,11 @@ class Catalog:
         """What ``X::`` reaches; how: parent, relative or name. Constants count as static.
 
         Protected members of classes that the named one inherits from are reached too: constants always, others where ``related`` asks for it."""
-        rows = self.inherited(kind, classes).withColumn("related", (F.col("of") != F.col("seed")) & F.lit(related or kind == "class_const"))
-        static = F.lit(True) if kind == "class_const" else F.coalesce("is_static", F.lit(False))
+        static, kin = F.lit(True) if kind == "class_const" else F.coalesce("is_static", F.lit(False)), related or kind == "class_const"
+        if self._many(classes):
+            own, handed = (H.static_access(F.col("visibility"), static, F.col("owner"), F.lit(current), F.lit(how), F.lit(mine), F.lit(kin and not mine)) for mine in (True, False))
+            return self.first_members(kind, classes, own, handed)
+        rows = self.inherited(kind, classes).withColumn("related", (F.col("of") != F.col("seed")) & F.lit(kin))
         ok = H.static_access(F.col("visibility"), static, F.col("owner"), F.lit(current), F.lit(how), F.col("seed") == F.col("owner"), F.col("related"))
         return H.first_wins(rows.where(ok).drop("related"), ["seed", "name"], list(self.ORDER))
 

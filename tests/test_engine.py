@@ -148,6 +148,34 @@ def test_tokens_are_found_in_few_steps_with_the_same_places():
     assert [r[php.TYPES] for r in rows if r[php.TAG] == "expr" and r[php.NAME] == "$e"][0] == "\\A|\\B"
 
 
+def test_members_of_most_classes_without_a_row_for_each_class_above(spark, monkeypatch):
+    import random
+
+    from sparkloom.operators import hierarchy as H
+
+    rnd, texts = random.Random(3), []
+    some = lambda kind, n: rnd.sample([f"{kind}{i}" for i in range(n)], rnd.randrange(3))
+    for i in range(8):
+        body = [f"use {', '.join(t)};" for t in [some("T", 6)] if t] + [f"const K{rnd.randrange(4)} = {i};", f"protected const L{rnd.randrange(3)} = {i};"]
+        body += [f"{rnd.choice(['public', 'protected', 'private'])} {rnd.choice(['', 'static '])}function m{m}() {{}}" for m in rnd.sample(range(8), 3)]
+        faces = some("I", 8)
+        above = f" extends C{3 if i == 0 else max(i - rnd.randrange(1, 4), 0)}"  # C0 and C3 are on a cycle
+        texts.append(f"<?php class C{i}{above}{' implements ' + ', '.join(faces) if faces else ''} {{ {' '.join(body)} }}")
+    texts += [f"<?php interface I{i}{' extends ' + ', '.join(up) if (up := some('I', 8)) else ''} {{ const K{i % 4} = 'i'; public function m{i % 8}(); public static function s{i}(); }}" for i in range(8)]
+    texts += [f"<?php trait T{i} {{ public function m{i}() {{}} protected static function m{i + 1}() {{}} public static function s{i}() {{}} }}" for i in range(6)]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "uri string, content string")
+    catalog = Catalog(php.extract(files)).kept()
+    classes = catalog.symbols.where("kind = 'class'").select(F.col("fqn").alias("seed"))
+    asks = [lambda: catalog.instance_members("method", classes), lambda: catalog.static_members("class_const", classes), lambda: catalog.static_members("method", classes, related=True)]
+    def answers():
+        return [(found.columns, sorted(map(str, found.collect()))) for found in (ask() for ask in asks)]
+
+    plain = answers()
+    monkeypatch.setattr(H, "most", lambda edges, seeds: True)
+    monkeypatch.setattr(Catalog, "inherited", None)
+    assert answers() == plain and all(rows for _, rows in plain)
+
+
 def test_streams(spark, tmp_path):
     from sparkloom.streaming import edits
 
