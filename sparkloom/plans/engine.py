@@ -26,6 +26,8 @@ STUBS = "loomstubs"
 #: Kinds in the order of workspace results; members have an owner.
 KINDS = ("class", "const", "class_const", "define", "function", "interface", "method", "property", "trait")
 MEMBERS = ("class_const", "method", "property")
+#: Names that are broadcast to the declarations; beyond, both sides are dealt by kind and key.
+BROADCAST_PROBES = 50_000
 #: Version of the tables that are written, and the oldest that is read; an older catalog is cleared.
 VERSION, OLDEST = (0, 2, 0), (0, 2, 0)
 
@@ -144,9 +146,12 @@ class Catalog:
         return self.symbols.where((F.col("kind") == kind) & (F.col("lookup_key") == key))
 
     def find_many(self, probes: DataFrame) -> DataFrame:
-        """Declarations of many names at once: probes(kind, probe), looked up as find does, by equality of kind and key."""
+        """Declarations of many names at once: probes(kind, probe), looked up as find does, by equality of kind and key.
+
+        Spark takes made-up rows for as small as the file they come from, and would hand millions of them through the driver: only counted ones are broadcast."""
         probe = F.col("probe")
         asked = probes.withColumn("lookup_key", F.when(F.col("kind") == "class", N.lookup_key(probe)).when(F.col("kind") == "method", F.lower(probe)).otherwise(probe))
+        asked = F.broadcast(asked) if probes.count() <= BROADCAST_PROBES else asked.hint("merge")
         return asked.join(self.symbols, ["kind", "lookup_key"])
 
     def search_many(self, searches: DataFrame, limit: int = S.LIMIT) -> DataFrame:

@@ -15,11 +15,13 @@ from .sources import php
 
 
 def _files(spark, d):
-    """(uri, content): the source of each part, dealt out by key: the table's few bytes are one split, its files' work is not one task's."""
+    """(uri, content): the source of each part, dealt out by key: the table's few bytes are one split, its files' work is not one task's.
+
+    The part above is found by a merge: a table of few bytes may hold more rows than the driver has room to broadcast."""
     table = _t(spark, d, "part")
     part = table.select(F.col("p_partkey").cast("string").alias("k"), F.initcap("p_type").alias("t"), F.col("p_size").cast("string").alias("size"), "p_partkey", F.expr("p_partkey div 2").alias("up"))
     above = part.select(F.col("p_partkey").alias("up"), F.col("k").alias("pk"), F.col("t").alias("pt"))
-    rows = part.join(above, "up", "left").withColumn("pk", F.when(F.col("p_partkey") > 0, F.col("pk"))).repartition(php.tasks(spark, table.count()), "p_partkey")
+    rows = part.join(above.hint("merge"), "up", "left").withColumn("pk", F.when(F.col("p_partkey") > 0, F.col("pk"))).repartition(php.tasks(spark, table.count()), "p_partkey")
     every = lambda n, *text: F.when(F.col("p_partkey") % n == 0, F.concat(*text)).otherwise("")
     c = lambda *x: F.concat(*[F.col(v[1:]) if v.startswith("@") else F.lit(v) for v in x])
     child = F.col("pk").isNotNull()

@@ -176,6 +176,20 @@ def test_members_of_most_classes_without_a_row_for_each_class_above(spark, monke
     assert answers() == plain and all(rows for _, rows in plain)
 
 
+def test_rows_made_of_a_small_table_do_not_go_through_the_driver(spark, catalog, tmp_path):
+    from sparkloom import source_queries
+
+    joins = lambda df: [j for j in ("BroadcastHashJoin", "SortMergeJoin") if j in df._jdf.queryExecution().executedPlan().toString()]
+    spark.range(30_000).selectExpr("id AS p_partkey", "'PROMO TIN' AS p_type", "3 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert joins(source_queries._files(spark, str(tmp_path))) == ["SortMergeJoin"]
+    asked = F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(name), F.when(F.col("p_partkey") > 0, F.col("p_partkey").cast("string")).otherwise("")).alias("probe")) for kind, name in [("class", "\\Lib\\BASE"), ("function", "\\Lib\\help")]])
+    probes = spark.read.parquet(f"{tmp_path}/part.parquet").select("p_partkey", F.explode(asked).alias("x")).select("p_partkey", "x.*")  # 60,000, of which two find something
+    want = [("class", "\\Lib\\BASE", "\\Lib\\Base"), ("function", "\\Lib\\help", "\\Lib\\help")]
+    for of, join in [(probes, "SortMergeJoin"), (probes.where("p_partkey < 100"), "BroadcastHashJoin")]:
+        found = catalog.find_many(of.select("kind", "probe"))
+        assert joins(found) == [join] and names(found, "kind", "probe", "fqn") == want
+
+
 def test_streams(spark, tmp_path):
     from sparkloom.streaming import edits
 
